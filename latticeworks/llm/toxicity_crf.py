@@ -15,7 +15,7 @@ from ._repeats import fingerprint
 TRAIN_DOCUMENTS = 24_000
 #: Features are a word and its prefixes of so many bytes.
 PREFIXES = (3, 4, 5, 6, 7)
-LEAST_TOXIC, LEAST_SHARE, MOST_FEATURES = 5, 0.8, 20_000
+LEAST_TOXIC, LEAST_SHARE, MOST_FEATURES = 5, 0.9, 20_000
 #: Words on each side of a marked word in a training sequence; sequences at most; rounds of training.
 CONTEXT, SEQUENCES, ROUNDS = 5, 40_000, 150
 THRESHOLD = 0.7
