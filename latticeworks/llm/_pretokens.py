@@ -15,6 +15,8 @@ from . import _text as X
 from ._repeats import fingerprint
 
 LETTER, NUMBER, BLANK = 1, 2, 3
+#: Bytes of text that are split at once.
+PIECE = 1 << 19
 #: Unicode's White_Space property.
 WHITE_SPACE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _classes: list[np.ndarray] = []
@@ -22,8 +24,8 @@ _classes: list[np.ndarray] = []
 
 def classes() -> np.ndarray:
     if not _classes:
-        kinds = [unicodedata.category(chr(i))[0] for i in range(0x110000)]
-        table = np.array([LETTER if k == "L" else NUMBER if k == "N" else 0 for k in kinds], np.uint8)
+        number = {"L": LETTER, "N": NUMBER}
+        table = np.fromiter((number.get(unicodedata.category(chr(i))[0], 0) for i in range(0x110000)), np.uint8, 0x110000)
         table[WHITE_SPACE] = BLANK
         _classes.append(table)
     return _classes[0]
@@ -65,28 +67,38 @@ class DistinctEncoder:
     encode: list of bytes -> list of id lists.  At most ``limit`` pre-tokens are remembered between blocks.
     """
 
-    def __init__(self, encode: Callable[[list[bytes], np.ndarray], list], limit: int = 1_000_000):
+    def __init__(self, encode: Callable[[list[bytes], np.ndarray], list], limit: int = 800_000):
         self.encode, self.limit = encode, limit
         self.forget()
 
     def forget(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.keys, self.slots, self.known = np.zeros(0, np.uint64), np.zeros(0, np.int32), 0
         self.ids, self.used = np.zeros(1 << 16, np.int32), 0
-        self.at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-
-    def _learn(self, keys: list[int], ids: list) -> None:
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for one in ids for x in one), np.int32, int(sizes.sum()))
-        n = len(self.slot)
-        while len(self.at) < n + len(keys):
+        self.at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+
+    def _find(self, key: np.ndarray) -> np.ndarray:
+        """Slots of sorted keys, -1 for those not known."""
+        if not len(self.keys):
+            return np.full(len(key), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.slots[at], -1)
+
+    def _learn(self, key: np.ndarray, ids: list) -> None:
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+        total = int(sizes.sum())
+        flat = np.fromiter((x for one in ids for x in one), np.int32, total)
+        n = self.known
+        while len(self.at) < n + len(key):
             self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
-        while len(self.ids) < self.used + len(flat):
+        while len(self.ids) < self.used + total:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.at[n : n + len(keys)] = self.used + np.cumsum(sizes) - sizes
-        self.size[n : n + len(keys)] = sizes
-        self.used += len(flat)
-        self.slot.update(zip(keys, range(n, n + len(keys))))
+        self.ids[self.used : self.used + total] = flat
+        self.at[n : n + len(key)] = self.used + np.cumsum(sizes, dtype=np.int64) - sizes
+        self.size[n : n + len(key)] = sizes
+        self.used, self.known = self.used + total, n + len(key)
+        keys, slots = np.concatenate([self.keys, key]), np.concatenate([self.slots, np.arange(n, self.known, dtype=np.int32)])
+        order = np.argsort(keys, kind="stable")  # two sorted runs
+        self.keys, self.slots = keys[order], slots[order]
 
     def rows(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows and the n + 1 offsets of the rows' ids."""
@@ -96,15 +108,16 @@ class DistinctEncoder:
         end = np.append(at[1:], len(data))
         fp = fingerprint(21)
         key, where, back = np.unique(fp.slices(fp.prefix(data), at, end), return_index=True, return_inverse=True)
-        if len(self.slot) > self.limit:
+        if self.known > self.limit:
             self.forget()
-        known = key.tolist()
-        new = [i for i, k in enumerate(known) if k not in self.slot]
-        if new:
+        slot = self._find(key)
+        new = np.flatnonzero(slot < 0)
+        if len(new):
             raw, pick = data.tobytes(), where[new]
             pieces = [raw[a:b] for a, b in zip(at[pick].tolist(), end[pick].tolist())]
-            self._learn([known[i] for i in new], self.encode(pieces, key[new]))
-        slot = np.fromiter(map(self.slot.__getitem__, known), np.int64, len(known))[back]
-        size = self.size[slot]
+            self._learn(key[new], self.encode(pieces, key[new]))
+            slot = self._find(key)
+        slot = slot[back]
+        size = self.size[slot].astype(np.int64)
         ids = self.ids[np.repeat(self.at[slot], size) + X.ranges(size)]
         return ids, np.concatenate([[0], np.cumsum(size)])[row_off]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import _text as X
 from ._mph import MinimalPerfectHash
-from ._pretokens import DistinctEncoder
+from ._pretokens import PIECE, DistinctEncoder
 from ._repeats import fingerprint
 
 
@@ -115,7 +115,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         v = vocabulary(path)
         for batch in batches:
             doc = batch.column(0)
-            for lo, hi, data, off in X.blocks(batch, "text"):
+            for lo, hi, data, off in X.blocks(batch, "text", PIECE):
                 ids, id_off = v.encoder.rows(data, off)
                 yield pa.RecordBatch.from_arrays([doc[lo:hi], _lists(ids, id_off)], names=["doc_id", "ids"])
 

@@ -23,7 +23,7 @@ from ..plans.storage import new_folder, shared_folder
 from . import _text as X
 from ._files import opened, replaced
 from ._mph import MinimalPerfectHash
-from ._pretokens import DistinctEncoder
+from ._pretokens import PIECE, DistinctEncoder
 
 HEAD = np.dtype([("magic", "S4"), ("version", "<u4"), ("documents", "<u8"), ("ids", "<u8"), ("width", "<u4"), ("hash", "<u4")])
 ENTRY = np.dtype([("fingerprint", "<u4"), ("length", "<u4"), ("first", "<u8")])
@@ -73,7 +73,7 @@ def _write(tokenizer: str, folder: str, width: int):
         keys, lengths, parts = [], [], []
         for batch in batches:
             docs = X.column_ints(batch, "doc_id")
-            for lo, hi, data, off in X.blocks(batch, "text"):
+            for lo, hi, data, off in X.blocks(batch, "text", PIECE):
                 ids, id_off = enc.rows(data, off)
                 n = np.diff(id_off)
                 out = np.full(len(ids) + len(n), END_ID, f"<u{width}")
