@@ -1,4 +1,42 @@
-"""Queries that write files and read them again."""
+"""Streaming queries over the events table, run to its end."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import functions as F
+
+from ..streaming import jobs
+from .inputs import VIEWS
+from .storage import new_folder
+
+
+def _events(spark, sf_dir, name: str):
+    """The edits or session_events view over a stream of the events table."""
+    path = f"{sf_dir}/events.parquet"
+    raw = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
+    columns = re.search(r"SELECT (.*) FROM events", VIEWS[name], re.S)[1]
+    out = spark.sql(f"SELECT {columns} FROM {{events}}", events=raw)
+    return out.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _query(name: str, make, view: str, mode: str, key: list[str]):
+    def run(spark, sf_dir):
+        return jobs.run_available(spark, make(_events(spark, sf_dir, view)), new_folder(spark, name), mode, key)
+
+    return run
+
+
+QUERIES = {
+    "stream_edits": _query("edits", jobs.stream_edits, "edits", "update", ["x", "y", "z"]),
+    "tick_batches": _query("ticks", jobs.tick_batches, "edits", "update", ["tick"]),
+    "stream_session_counters": _query("counters", jobs.stream_session_counters, "session_events", "update", ["session_id"]),
+    "stream_dirty_cells": _query("dirty", jobs.stream_dirty_cells, "edits", "append", ["cx", "cy", "cz"]),
+    "rate_metrics": _query("rates", jobs.rate_metrics, "session_events", "update", ["start", "kind"]),
+    "stream_throttle": _query("throttle", lambda s: jobs.stream_throttle(s, 3_600_000_000), "session_events", "append", ["session_id", "t"]),
+}
+SQL = {
+    "stream_edits": "SELECT x, y, z, arg_max(v, (ts, event_id)) AS v FROM edits GROUP BY x, y, z",
+    "stream_session_counters": "SELECT session_id, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS \"{k}\"" for k in ("bm", "bp", "cr", "join", "leave")) + " FROM session_events GROUP BY session_id",
+    "stream_dirty_cells": "WITH d(dx, dy, dz) AS (VALUES (0,0,0),(1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)) SELECT DISTINCT CAST(floor((x+dx)/16) AS INT) AS cx, CAST(floor((y+dy)/16) AS INT) AS cy, CAST(floor((z+dz)/16) AS INT) AS cz FROM edits CROSS JOIN d",
+}
