@@ -174,7 +174,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     )
                 shard.close()
 
-    return manifest.select("path", "start").repartition("path").mapInArrow(scan, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    shards = max(1, manifest.count())  # a number given is kept; else small rows would meet in one task
+    return manifest.select("path", "start").repartition(shards, "path").mapInArrow(scan, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(manifest: DataFrame, keys: list[int]) -> DataFrame:

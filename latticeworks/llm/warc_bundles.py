@@ -162,7 +162,8 @@ def read_bundles(index: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
-    placed = index.select("path", "frame", "offset").repartition("path").sortWithinPartitions("path", "frame", "offset")
+    bundles = max(1, index.select("path").distinct().count())  # a number given is kept; else small rows would meet in one task
+    placed = index.select("path", "frame", "offset").repartition(bundles, "path").sortWithinPartitions("path", "frame", "offset")
     return placed.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string")
 
 
