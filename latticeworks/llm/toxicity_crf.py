@@ -16,6 +16,7 @@ TRAIN_DOCUMENTS = 24_000
 #: Features are a word and its prefixes of so many bytes.
 PREFIXES = (3, 4, 5, 6, 7)
 LEAST_TOXIC, LEAST_SHARE, MOST_FEATURES = 5, 0.9, 20_000
+PRIOR_DOCUMENTS = 3
 #: Words on each side of a marked word in a training sequence; sequences at most; rounds of training.
 CONTEXT, SEQUENCES, ROUNDS = 5, 40_000, 150
 THRESHOLD = 0.7
@@ -82,9 +83,10 @@ def _known(ordered: np.ndarray, f: np.ndarray) -> np.ndarray:
 COUNTS = "feature long, n_toxic long, n_clean long"
 
 
-def marking_features(train: DataFrame) -> np.ndarray:
+def marking_features(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Features that stand in LEAST_TOXIC toxic documents or more, LEAST_SHARE of all that hold them, and more often than
-    chance allows for so many features; sorted, bounded."""
+    chance alone makes likely; sorted, bounded.  With each its trust: the share of toxic documents, shrunk to the base rate
+    as if PRIOR_DOCUMENTS more had been seen, so that one word of little evidence doesn't decide a text."""
     total = lambda df: df.groupBy("feature").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean"))
     often = total(train.where("toxic = 1").mapInArrow(_document_counts(None), COUNTS)).where(f"n_toxic >= {LEAST_TOXIC}")
     often = often.orderBy(F.desc("n_toxic"), "feature").limit(10 * MOST_FEATURES).select("feature")
@@ -94,9 +96,12 @@ def marking_features(train: DataFrame) -> np.ndarray:
     both = total(train.mapInArrow(_document_counts(chosen), COUNTS)).where(f"n_toxic >= {LEAST_SHARE} * (n_toxic + n_clean)")
     n, share = F.col("n_toxic") + F.col("n_clean"), F.col("n_toxic") / (F.col("n_toxic") + F.col("n_clean"))
     clean = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0)
-    both = both.where(n * (share * F.log(share / base) + clean) > float(np.log(10 * max(len(chosen), 1))))
-    best = both.orderBy(F.desc("n_toxic"), "feature").limit(MOST_FEATURES).select("feature").toArrow()["feature"].to_numpy()
-    return np.sort(best.view(np.uint64))
+    both = both.where(n * (share * F.log(share / base) + clean) > 0.5 * float(np.log(10 * max(len(chosen), 1))))
+    trust = (F.col("n_toxic") + PRIOR_DOCUMENTS * base) / (n + PRIOR_DOCUMENTS)
+    best = both.orderBy(F.desc("n_toxic"), "feature").limit(MOST_FEATURES).select("feature", trust.alias("trust")).toArrow()
+    marks = best["feature"].to_numpy().view(np.uint64)
+    order = np.argsort(marks)
+    return marks[order], best["trust"].to_numpy()[order]
 
 
 def _sequences(marks: np.ndarray):
@@ -130,8 +135,9 @@ def _sequences(marks: np.ndarray):
 class Crf:
     """Two tags (0 clean, 1 toxic); a word's score for tag 1 is bias plus its features' weights; step[a, b] scores a change of tag."""
 
-    def __init__(self, marks: np.ndarray, weights: np.ndarray, bias: float, step: np.ndarray):
+    def __init__(self, marks: np.ndarray, weights: np.ndarray, bias: float, step: np.ndarray, trust: np.ndarray | None = None):
         self.marks, self.weights, self.bias, self.step = marks, weights, bias, step
+        self.trust = np.append(np.ones(len(marks)) if trust is None else trust, 0.0)
 
     @staticmethod
     def _chains(unary: np.ndarray, valid: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,15 +222,16 @@ class Crf:
 
 def train_crf(labelled: DataFrame) -> Crf:
     """labelled: doc_id, text, toxic; learns from at most TRAIN_DOCUMENTS of them and SEQUENCES word sequences."""
-    marks = marking_features(labelled)
+    marks, trust = marking_features(labelled)
     rows = labelled.mapInArrow(_sequences(marks), "features binary, tags binary")
     rows = rows.orderBy(F.xxhash64("features", "tags")).limit(SEQUENCES).toArrow()
     wide = 2 * CONTEXT + 1
     if not rows.num_rows:
-        return Crf(marks, np.zeros(len(marks) + 1), -2.0, np.zeros((2, 2)))
+        return Crf(marks, np.zeros(len(marks) + 1), -2.0, np.zeros((2, 2)), trust)
     features = np.frombuffer(b"".join(x.as_py() for x in rows["features"]), np.int32).reshape(-1, wide, 1 + len(PREFIXES))
     tags = np.frombuffer(b"".join(x.as_py() for x in rows["tags"]), np.int8).reshape(-1, wide)
-    return Crf.fit(marks, np.where(features < 0, len(marks), features), tags)
+    crf = Crf.fit(marks, np.where(features < 0, len(marks), features), tags)
+    return Crf(marks, crf.weights, crf.bias, crf.step, trust)
 
 
 def score_texts(docs: DataFrame, crf) -> DataFrame:
@@ -241,14 +248,14 @@ def score_texts(docs: DataFrame, crf) -> DataFrame:
                 known = _known(model.marks, f)
                 hit = np.flatnonzero(known.any(axis=1))
                 number = np.where(known[hit], np.searchsorted(model.marks, f[hit]), len(model.marks))
-                value = model.bias + model.weights[number].sum(axis=1)
+                value, trust = model.bias + model.weights[number].sum(axis=1), model.trust[number].max(axis=1, initial=0.0)
                 cut = np.searchsorted(hit, word_off)
                 score, spans = np.full(hi - lo, floor), [[] for _ in range(hi - lo)]
                 for r in np.flatnonzero(np.diff(cut)).tolist():
                     own = hit[cut[r] : cut[r + 1]]
                     gap = np.diff(np.concatenate([[word_off[r] - 1], own, [word_off[r + 1]]])) - 1
                     p = model.marginals(value[cut[r] : cut[r + 1]], gap)
-                    score[r] = 1 - (1 - floor) * float(np.prod(1 - p))
+                    score[r] = 1 - (1 - floor) * float(np.prod(1 - p * trust[cut[r] : cut[r + 1]]))
                     spans[r] = [{"start": int(a), "end": int(b), "marginal": float(q)} for a, b, q in zip(starts[own] - off[r], ends[own] - off[r], p) if q >= 0.5]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(np.clip(score, 0.0, 1.0)), pa.array(spans, kind)], names=["doc_id", "score", "spans"])
 
@@ -259,7 +266,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Score every whole text; labels: doc_id and toxic (1 or 0), to learn from.
 
     Words that mark toxic documents are tagged in the labelled texts, a linear-chain field is fitted to those tags, and its
-    forward-backward marginals give each text's score (one less the chance that no word is toxic) and its offending words.
+    forward-backward marginals, each times its word's trust, give each text's score (one less the chance that no word is toxic) and its offending words.
 
     Returns doc_id, score, spans (byte offsets), one row per input row.  A null or empty text has the score of a word without
     marks.  Null ids or labels take no part in learning; with no labels every score is that floor.  Repeated rows score
