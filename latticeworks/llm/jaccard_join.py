@@ -20,7 +20,8 @@ BINS, SEGMENT = 1 << 23, 1 << 16
 #: Orders that a candidate pair must share a prefix token under, beside the first.
 OTHER_ORDERS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 #: Rounds in which a token's documents meet the one with most links that was no hub yet, before all open pairs are compared.
-HUB_ROUNDS = 2
+#: A round is spared where the open groups hold at most PAIRS_A_ROW pairs a row, that is, where they are small.
+HUB_ROUNDS, PAIRS_A_ROW = 2, 100
 #: Up to so many document ids are sent to the texts; beyond, the texts are exchanged.
 SEND_IDS = 200_000
 
@@ -272,20 +273,25 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     hub_pairs = shared.where((F.col("hub") != F.col("doc_id")) & able("place", "hub_place")).select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
     links = _links(hub_pairs, profile, texts)
-    used, rest = shared.select("hub").distinct(), shared.select("token", "doc_id", "place")
+    used, comp = shared.select("hub").distinct(), components(links)
+    rest = _still_open(shared, comp).checkpoint()
+    classes.destroy()  # what needed it is written
     for _ in range(HUB_ROUNDS):
-        rest = _still_open(rest, components(links)).checkpoint()
+        size = rest.groupBy("token").agg(F.count("*").alias("n")).agg(F.sum("n").alias("rows"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).first()
+        if not size["rows"] or size["pairs"] <= PAIRS_A_ROW * size["rows"]:
+            break
         degree = links.select(F.col("a").alias("doc_id")).union(links.select("b")).groupBy("doc_id").agg(F.count("*").alias("degree"))
         fresh = rest.join(used, rest.doc_id == used.hub, "left_anti").join(degree, "doc_id", "left")
-        best = fresh.groupBy("token").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), turn.alias("turn"), F.col("doc_id").alias("hub"), F.col("place").alias("hub_place"), F.col("comp").alias("hub_comp"))).alias("s")).select("token", "s.*")
-        best = best.select("token", "hub", "hub_place", "hub_comp").checkpoint()
+        best = fresh.groupBy("token").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), turn.alias("turn"), F.col("doc_id").alias("hub"), F.col("place").alias("hub_place"), F.col("comp").alias("hub_comp"))).alias("s")).select("token", "s.hub", "s.hub_place", "s.hub_comp").checkpoint()
         pairs = rest.join(best, "token").where((F.col("comp") != F.col("hub_comp")) & able("place", "hub_place"))
         links = links.union(_links(pairs.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct(), profile, texts))
-        used = used.union(best.select("hub")).distinct()
-    rest = _still_open(rest, components(links)).checkpoint()
+        used, comp = used.union(best.select("hub")).distinct(), components(links)
+        rest = _still_open(rest, comp).checkpoint()
     x, y = (rest.select("token", F.col("doc_id").alias(c), F.col("place").alias(f"{c}_place"), F.col("comp").alias(f"{c}_comp")) for c in "ab")
     rest_pairs = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp")) & able("a_place", "b_place")).select("a", "b").distinct()
-    comp = components(links.union(_links(rest_pairs, profile, texts)))
+    more = _links(rest_pairs, profile, texts)
+    if not more.isEmpty():
+        comp = components(links.union(more))
     ids = profile.select("doc_id", "k1", "k2", "n").distinct().join(same, ["k1", "k2", "n"], "left").join(comp, F.col("rep") == F.col("node"), "left")
     ids = ids.groupBy("doc_id").agg(F.max("n").cast("long").alias("n_shingles"), F.min(F.coalesce("comp", "rep", "doc_id")).alias("component_id"))
     return given.select("doc_id").join(ids, "doc_id", "left").withColumn("n_shingles", F.coalesce("n_shingles", F.lit(0).cast("long")))
