@@ -277,8 +277,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rest = _still_open(shared, comp).checkpoint()
     classes.destroy()  # what needed it is written
     for _ in range(HUB_ROUNDS):
-        size = rest.groupBy("token").agg(F.count("*").alias("n")).agg(F.sum("n").alias("rows"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).first()
-        if not size["rows"] or size["pairs"] <= PAIRS_A_ROW * size["rows"]:
+        held = rest.groupBy("token").agg(F.count("*").alias("n")).agg(F.sum("n").alias("rows"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).first()
+        if not held["rows"] or held["pairs"] <= PAIRS_A_ROW * held["rows"]:
             break
         degree = links.select(F.col("a").alias("doc_id")).union(links.select("b")).groupBy("doc_id").agg(F.count("*").alias("degree"))
         fresh = rest.join(used, rest.doc_id == used.hub, "left_anti").join(degree, "doc_id", "left")
