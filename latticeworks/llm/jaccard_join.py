@@ -240,6 +240,18 @@ def _still_open(rows: DataFrame, comp: DataFrame) -> DataFrame:
     return labelled.join(tokens, "token")
 
 
+def _ordered(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of documents and hubs, once each."""
+    return rows.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
+
+
+def _apart(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """Rows whose document and hub are in different components."""
+    one, two = (comp.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp")) for c in ("doc_id", "hub"))
+    labelled = rows.join(one, "doc_id", "left").join(two, "hub", "left")
+    return labelled.where(F.coalesce("doc_id_comp", "doc_id") != F.coalesce("hub_comp", "hub"))
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """Group documents whose sets of five-word shingles have a Jaccard similarity of 0.75 or more, transitively.
 
@@ -247,8 +259,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     shingle; one without words or text has none and is linked with nothing.  Documents of equal sets are folded into their
     smallest doc_id first.  A pair is a candidate if it shares a token of both prefixes under the first order (rare bins
     first), then if parity bitmaps leave the overlap possible, then if it shares prefix tokens under two more orders; then the
-    sets are compared.  In a token's group every document meets a hub first; only pairs still in different components
-    follow, all of them.
+    sets are compared.  In a token's group every document meets a hub: first each document the hub of most of its tokens, then
+    its other hubs, if they are still in different components; then all pairs that still are.
 
     Returns doc_id, n_shingles, component_id (the smallest doc_id that links reach), one row per input row; a null doc_id
     keeps a null component_id.  Other columns are ignored.  Two rows of one doc_id share a component if either links.
@@ -271,8 +283,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         need = F.ceil((size(p) + size(q)) * PERCENT / (100 + PERCENT))
         return (100 * F.least(size(p), size(q)) >= PERCENT * F.greatest(size(p), size(q))) & (F.least(size(p) - pos(p), size(q) - pos(q)) >= need)
 
-    hub_pairs = shared.where((F.col("hub") != F.col("doc_id")) & able("place", "hub_place")).select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
-    links = _links(hub_pairs, profile, texts)
+    meets = shared.where((F.col("hub") != F.col("doc_id")) & able("place", "hub_place")).groupBy("doc_id", "hub").agg(F.count("*").alias("n")).checkpoint()
+    nearest = meets.groupBy("doc_id").agg(F.max(F.struct("n", "hub")).alias("s")).select("doc_id", "s.hub")
+    links = _links(_ordered(nearest), profile, texts)
+    links = links.union(_links(_ordered(_apart(meets, components(links))), profile, texts))
     used, comp = shared.select("hub").distinct(), components(links)
     rest = _still_open(shared, comp).checkpoint()
     classes.destroy()  # what needed it is written
@@ -284,7 +298,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         fresh = rest.join(used, rest.doc_id == used.hub, "left_anti").join(degree, "doc_id", "left")
         best = fresh.groupBy("token").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), turn.alias("turn"), F.col("doc_id").alias("hub"), F.col("place").alias("hub_place"), F.col("comp").alias("hub_comp"))).alias("s")).select("token", "s.hub", "s.hub_place", "s.hub_comp").checkpoint()
         pairs = rest.join(best, "token").where((F.col("comp") != F.col("hub_comp")) & able("place", "hub_place"))
-        links = links.union(_links(pairs.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct(), profile, texts))
+        links = links.union(_links(_ordered(pairs), profile, texts))
         used, comp = used.union(best.select("hub")).distinct(), components(links)
         rest = _still_open(rest, comp).checkpoint()
     x, y = (rest.select("token", F.col("doc_id").alias(c), F.col("place").alias(f"{c}_place"), F.col("comp").alias(f"{c}_comp")) for c in "ab")
