@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as X
@@ -233,10 +234,19 @@ def _links(pairs: DataFrame, profile: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(_verify, "a long, b long").checkpoint()
 
 
+def _early() -> Column:
+    """Whether a link with a set of the same size or a larger one can have this token as its first common one.
+
+    Of sets of sizes m <= n that link, m * 2 * PERCENT / (100 + PERCENT) tokens are common at least.
+    """
+    size = F.shiftright("place", 32)
+    return (size - F.col("place").bitwiseAND(0xFFFFFFFF)) * (100 + PERCENT) >= size * 2 * PERCENT
+
+
 def _still_open(rows: DataFrame, comp: DataFrame) -> DataFrame:
-    """Rows (token, doc_id, place, comp) of tokens whose documents are in several components."""
+    """Rows (token, doc_id, place, comp) of tokens whose documents are in several components, one of them early enough."""
     labelled = rows.select("token", "doc_id", "place").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    tokens = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+    tokens = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(_early()).alias("early")).where("lo < hi AND early").select("token")
     return labelled.join(tokens, "token")
 
 
@@ -301,8 +311,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         links = links.union(_links(_ordered(pairs), profile, texts))
         used, comp = used.union(best.select("hub")).distinct(), components(links)
         rest = _still_open(rest, comp).checkpoint()
-    x, y = (rest.select("token", F.col("doc_id").alias(c), F.col("place").alias(f"{c}_place"), F.col("comp").alias(f"{c}_comp")) for c in "ab")
-    rest_pairs = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp")) & able("a_place", "b_place")).select("a", "b").distinct()
+    # The smaller set's token is early; sizes that can link are in one band or the next, as a band is wider than 100 / PERCENT.
+    band = F.floor(F.log(size("place").cast("double")) / math.log(100 / PERCENT + 0.01))
+    x, y = (rest.withColumn("band", band).select("token", "band", F.col("doc_id").alias(c), F.col("place").alias(f"{c}_place"), F.col("comp").alias(f"{c}_comp"), _early().alias(f"{c}_early")) for c in ("doc_id", "hub"))
+    x = x.where("doc_id_early").withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
+    smaller = (size("doc_id_place") < size("hub_place")) | ((size("doc_id_place") == size("hub_place")) & (F.col("doc_id") < F.col("hub")))
+    rest_pairs = _ordered(x.join(y, ["token", "band"]).where(smaller & (F.col("doc_id_comp") != F.col("hub_comp")) & able("doc_id_place", "hub_place")))
     more = _links(rest_pairs, profile, texts)
     if not more.isEmpty():
         comp = components(links.union(more))
