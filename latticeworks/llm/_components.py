@@ -5,20 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import new_folder
+
+
+def written(rows: DataFrame) -> DataFrame:
+    """Rows written to the shared folder and read again.
+
+    Unlike checkpoint() this also drops the constraints that the optimizer has inferred, which grow with every round of an
+    iteration until planning takes longer than the work.
+    """
+    folder = new_folder(rows.sparkSession, "rows")
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of edges (a, b): comp is the smallest node that can be reached.
 
     Each round takes the least label among a node and its neighbours, then the label's own label, so paths halve; a round's
-    result is cut off with checkpoint().  The driver sees one count a round.
+    result is written and read again.  The driver sees one count a round.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("comp")).checkpoint()
+    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = written(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("comp")))
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("comp").alias("near"))
         pulled = labels.join(near, labels.node == near.a, "left").select("node", F.col("comp").alias("was"), F.least("comp", F.coalesce("near", "comp")).alias("comp"))
         up = labels.select(F.col("node").alias("n2"), F.col("comp").alias("c2"))
-        jumped = pulled.join(up, pulled.comp == up.n2, "left").select("node", "was", F.least("comp", F.coalesce("c2", "comp")).alias("comp")).checkpoint()
+        jumped = written(pulled.join(up, pulled.comp == up.n2, "left").select("node", "was", F.least("comp", F.coalesce("c2", "comp")).alias("comp")))
         moved = jumped.where("was <> comp").limit(1).count()
         labels = jumped.select("node", "comp")
         if not moved:

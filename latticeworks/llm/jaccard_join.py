@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._components import components
+from ._components import components, written
 from ._repeats import fingerprint
 
 WORDS = 5
@@ -298,7 +298,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     links = _links(_ordered(nearest), profile, texts)
     links = links.union(_links(_ordered(_apart(meets, components(links))), profile, texts))
     used, comp = shared.select("hub").distinct(), components(links)
-    rest = _still_open(shared, comp).checkpoint()
+    rest = written(_still_open(shared, comp))
     classes.destroy()  # what needed it is written
     for _ in range(HUB_ROUNDS):
         held = rest.groupBy("token").agg(F.count("*").alias("n")).agg(F.sum("n").alias("rows"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).first()
@@ -306,11 +306,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             break
         degree = links.select(F.col("a").alias("doc_id")).union(links.select("b")).groupBy("doc_id").agg(F.count("*").alias("degree"))
         fresh = rest.join(used, rest.doc_id == used.hub, "left_anti").join(degree, "doc_id", "left")
-        best = fresh.groupBy("token").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), turn.alias("turn"), F.col("doc_id").alias("hub"), F.col("place").alias("hub_place"), F.col("comp").alias("hub_comp"))).alias("s")).select("token", "s.hub", "s.hub_place", "s.hub_comp").checkpoint()
+        best = written(fresh.groupBy("token").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), turn.alias("turn"), F.col("doc_id").alias("hub"), F.col("place").alias("hub_place"), F.col("comp").alias("hub_comp"))).alias("s")).select("token", "s.hub", "s.hub_place", "s.hub_comp"))
         pairs = rest.join(best, "token").where((F.col("comp") != F.col("hub_comp")) & able("place", "hub_place"))
         links = links.union(_links(_ordered(pairs), profile, texts))
         used, comp = used.union(best.select("hub")).distinct(), components(links)
-        rest = _still_open(rest, comp).checkpoint()
+        rest = written(_still_open(rest, comp))
     # The smaller set's token is early; sizes that can link are in one band or the next, as a band is wider than 100 / PERCENT.
     band = F.floor(F.log(size("place").cast("double")) / math.log(100 / PERCENT + 0.01))
     x, y = (rest.withColumn("band", band).select("token", "band", F.col("doc_id").alias(c), F.col("place").alias(f"{c}_place"), F.col("comp").alias(f"{c}_comp"), _early().alias(f"{c}_early")) for c in ("doc_id", "hub"))
