@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,8 @@ OTHER_ORDERS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 #: Rounds in which a token's documents meet the one with most links that was no hub yet, before all open pairs are compared.
 #: A round is spared where the open groups hold at most PAIRS_A_ROW pairs a row, that is, where they are small.
 HUB_ROUNDS, PAIRS_A_ROW = 2, 100
+#: Bits of the parity bitmap that open pairs are judged by as they are joined, in words of 64.
+PARITY_WORDS = 8
 #: Up to so many document ids are sent to the texts; beyond, the texts are exchanged.
 SEND_IDS = 200_000
 
@@ -94,8 +98,17 @@ def _bitmaps(gram: np.ndarray, off: np.ndarray) -> list[bytes]:
     return [packed[a // 8 : b // 8] for a, b in zip(base[:-1].tolist(), base[1:].tolist())]
 
 
+def _parities(gram: np.ndarray, off: np.ndarray) -> pa.Array:
+    """Parity bitmaps of PARITY_WORDS words, whatever the set's size, as lists of 64-bit integers."""
+    n, bits = len(off) - 1, 64 * PARITY_WORDS
+    where = np.repeat(np.arange(n), np.diff(off)) * bits + (X.mix(gram) % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(where, minlength=n * bits) & 1).astype(np.uint8)
+    packed = np.packbits(odd, bitorder="little").view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * PARITY_WORDS), pa.array(packed))
+
+
 def _profile(batches):
-    """doc_id, two fingerprints of the set, its size and its bitmap."""
+    """doc_id, two fingerprints of the set, its size and its two bitmaps."""
     for batch in batches:
         docs = X.column_ints(batch, "doc_id")
         for lo, hi, data, off in X.blocks(batch, "text"):
@@ -103,7 +116,7 @@ def _profile(batches):
             n = np.diff(set_off)
             sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(X.mix(gram ^ np.uint64(s)))]) for s in (0x1234567, 0x7654321 << 8)]
             keys = [X.i64(s[set_off[1:]] - s[set_off[:-1]]) for s in sums]
-            yield pa.RecordBatch.from_arrays([pa.array(docs[lo:hi]), *map(pa.array, keys), pa.array(n.astype(np.int32)), pa.array(_bitmaps(gram, set_off), pa.binary())], names=["doc_id", "k1", "k2", "n", "bitmap"])
+            yield pa.RecordBatch.from_arrays([pa.array(docs[lo:hi]), *map(pa.array, keys), pa.array(n.astype(np.int32)), pa.array(_bitmaps(gram, set_off), pa.binary()), _parities(gram, set_off)], names=["doc_id", "k1", "k2", "n", "bitmap", "parity"])
 
 
 def _prefixes(classes) -> Callable:
@@ -270,7 +283,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     smallest doc_id first.  A pair is a candidate if it shares a token of both prefixes under the first order (rare bins
     first), then if parity bitmaps leave the overlap possible, then if it shares prefix tokens under two more orders; then the
     sets are compared.  In a token's group every document meets a hub: first each document the hub of most of its tokens, then
-    its other hubs, if they are still in different components; then all pairs that still are.
+    its other hubs, if they are still in different components; then all pairs that still are, unless a parity bitmap of
+    fixed size rules them out as they are joined.
 
     Returns doc_id, n_shingles, component_id (the smallest doc_id that links reach), one row per input row; a null doc_id
     keeps a null component_id.  Other columns are ignored.  Two rows of one doc_id share a component if either links.
@@ -279,7 +293,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     texts = given.where("doc_id IS NOT NULL")
     spark = docs.sparkSession
     classes = spark.sparkContext.broadcast(frequency_classes(texts))
-    profile = texts.mapInArrow(_profile, "doc_id long, k1 long, k2 long, n int, bitmap binary").checkpoint()
+    profile = texts.mapInArrow(_profile, "doc_id long, k1 long, k2 long, n int, bitmap binary, parity array<long>").checkpoint()
     same = profile.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
     firsts = texts.mapInArrow(_prefixes(classes), "k1 long, k2 long, prefix binary").groupBy("k1", "k2").agg(F.first("prefix").alias("prefix"))
     reps = firsts.join(same, ["k1", "k2"]).select(F.col("rep").alias("doc_id"), F.col("n").cast("long").alias("n"), "prefix")
@@ -313,10 +327,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         rest = written(_still_open(rest, comp))
     # The smaller set's token is early; sizes that can link are in one band or the next, as a band is wider than 100 / PERCENT.
     band = F.floor(F.log(size("place").cast("double")) / math.log(100 / PERCENT + 0.01))
-    x, y = (rest.withColumn("band", band).select("token", "band", F.col("doc_id").alias(c), F.col("place").alias(f"{c}_place"), F.col("comp").alias(f"{c}_comp"), _early().alias(f"{c}_early")) for c in ("doc_id", "hub"))
+    rest = rest.join(profile.select("doc_id", "parity"), "doc_id").withColumn("band", band)
+    x, y = (rest.select("token", "band", F.col("doc_id").alias(c), F.col("place").alias(f"{c}_place"), F.col("comp").alias(f"{c}_comp"), F.col("parity").alias(f"{c}_parity"), _early().alias(f"{c}_early")) for c in ("doc_id", "hub"))
     x = x.where("doc_id_early").withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
     smaller = (size("doc_id_place") < size("hub_place")) | ((size("doc_id_place") == size("hub_place")) & (F.col("doc_id") < F.col("hub")))
-    rest_pairs = _ordered(x.join(y, ["token", "band"]).where(smaller & (F.col("doc_id_comp") != F.col("hub_comp")) & able("doc_id_place", "hub_place")))
+    # Bits that differ are at most the tokens that only one set has, of which a link leaves this share of both sizes.
+    differ = reduce(add, (F.bit_count(F.col("doc_id_parity")[k].bitwiseXOR(F.col("hub_parity")[k])) for k in range(PARITY_WORDS)))
+    near = differ * (100 + PERCENT) <= (size("doc_id_place") + size("hub_place")) * (100 - PERCENT)
+    rest_pairs = _ordered(x.join(y, ["token", "band"]).where(smaller & (F.col("doc_id_comp") != F.col("hub_comp")) & able("doc_id_place", "hub_place") & near))
     more = _links(rest_pairs, profile, texts)
     if not more.isEmpty():
         comp = components(links.union(more))
