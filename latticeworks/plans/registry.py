@@ -202,6 +202,13 @@ query("fill_enclosed", """WITH RECURSIVE w AS (SELECT DISTINCT x % 16 AS x, y %
 e AS (SELECT x, y, z FROM (SELECT x, y, unnest(range(z0, z1+1)) AS z FROM (SELECT x, unnest(range(y0, y1+1)) AS y, z0, z1 FROM (SELECT unnest(range(x0, x1+1)) AS x, y0, y1, z0, z1 FROM b))) EXCEPT SELECT x, y, z FROM w),
 o AS (SELECT e.x, e.y, e.z FROM e CROSS JOIN b WHERE x IN (x0, x1) OR y IN (y0, y1) OR z IN (z0, z1) UNION SELECT e.x, e.y, e.z FROM o JOIN e ON abs(e.x-o.x)+abs(e.y-o.y)+abs(e.z-o.z) = 1)
 SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(z AS INT) AS z FROM (SELECT x, y, z FROM e EXCEPT SELECT x, y, z FROM o)""")(lambda v: N.fill_enclosed(voxels(v).where("x >= 0 AND x < 96 AND prio > 2").select((F.col("x") % 16).alias("x"), (F.col("y") % 16).alias("y"), "z").distinct()))
+# The query above keeps the cut of its SQL; this one fills the whole table.
+query("fill_enclosed_all", """WITH RECURSIVE b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM voxels),
+w AS (SELECT x, y, z FROM voxels UNION ALL SELECT x, y, unnest([z0-1, z1+1]) FROM (SELECT x, unnest(range(y0, y1+1)) AS y, z0, z1 FROM (SELECT unnest(range(x0, x1+1)) AS x, y0, y1, z0, z1 FROM b))),
+r AS (SELECT x, y, z + 1 AS a, n - 1 AS e FROM (SELECT x, y, z, lead(z) OVER (PARTITION BY x, y ORDER BY z) AS n FROM w) WHERE n > z + 1), s(dx, dy) AS (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)),
+o AS (SELECT r.* FROM r CROSS JOIN b WHERE x IN (x0, x1) OR y IN (y0, y1) OR a = z0 OR e = z1
+  UNION SELECT r.x, r.y, r.a, r.e FROM (SELECT x + dx AS x, y + dy AS y, a, e FROM o CROSS JOIN s) p JOIN r ON r.x = p.x AND r.y = p.y AND r.a <= p.e AND p.a <= r.e)
+SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(unnest(range(a, e+1)) AS INT) AS z FROM (SELECT * FROM r EXCEPT SELECT * FROM o)""")(lambda v: N.fill_enclosed(voxels(v)))
 
 # -- world -----------------------------------------------------------------------------------------------------------
 query("last_write_wins", "SELECT x, y, z, arg_max(v, (ts, event_id)) AS v FROM edits GROUP BY x, y, z")(lambda v: W.last_write_wins(v("edits")))
