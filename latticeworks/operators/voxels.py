@@ -146,18 +146,29 @@ def voxelize_surface(triangles: DataFrame, pitch: float, origin: tuple[float, fl
     """Distinct lattice cells that the surfaces of triangles touch, for each class.
 
     A triangle is split into n x n parts, n the power of two that brings its longest edge to half a pitch; the corners of
-    the parts are snapped.  Rows of corners are dealt out before the corners of a row, so a large triangle is shared.
+    the parts are snapped.  Where n is over 2**k_max, the triangle is first split into pieces of 2**k_max x 2**k_max parts.
+    Rows of corners are dealt out before the corners of a row, so a large triangle is shared.
     """
     def edge(p, q):
         return S.distance(*((f"{p}{c}", f"{q}{c}") for c in "xyz"))
 
-    n = F.pow(2, F.least(F.lit(k_max), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(edge("a", "b"), edge("b", "c"), edge("a", "c"), F.lit(1e-12)) * 2 / pitch))))).cast("int")
-    rows = triangles.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), "n")))
-    rows = rows.repartition("element_id", "face_no", "i") if "face_no" in triangles.columns else rows
+    k = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(edge("a", "b"), edge("b", "c"), edge("a", "c"), F.lit(1e-12)) * 2 / pitch)))
+    sized = triangles.withColumn("k", k).withColumns({"n": F.pow(2, F.least(F.lit(k_max), "k")).cast("int"), "pieces": F.pow(2, F.greatest(F.lit(0), F.col("k") - k_max)).cast("int")})
+    # Piece (p, q) has its corners at p and q pieces along both edges; a turned one is the other half of that parallelogram.
+    lines = sized.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    pieces = lines.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1 - F.col("p"))))
+    pieces = pieces.withColumn("turned", F.explode(F.when(F.col("p") + F.col("q") < F.col("pieces") - 1, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    rows = pieces.withColumn("i", F.explode(F.sequence(F.lit(0), "n")))
+    rows = rows.repartition("element_id", "face_no", "p", "q", "turned", "i") if "face_no" in triangles.columns else rows
     points = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("i"))))
 
+    def share(piece: str, step: str) -> Column:
+        """Along an edge, of its whole length."""
+        n, at = F.col("n").cast("long"), F.col(piece).cast("long")
+        return F.when(F.col("turned"), (at + 1) * n - F.col(step)).otherwise(at * n + F.col(step)) / (n * F.col("pieces"))
+
     def cell(c: str, o: float) -> Column:
-        v = F.col(f"a{c}") + F.col("i") / F.col("n") * (F.col(f"b{c}") - F.col(f"a{c}")) + F.col("j") / F.col("n") * (F.col(f"c{c}") - F.col(f"a{c}"))
+        v = F.col(f"a{c}") + share("p", "i") * (F.col(f"b{c}") - F.col(f"a{c}")) + share("q", "j") * (F.col(f"c{c}") - F.col(f"a{c}"))
         return F.greatest(F.lit(0), F.rint((F.rint(v / pitch) * pitch - o) / pitch)).cast("int").alias(c)
 
     return points.select("cls", *(cell(c, o) for c, o in zip("xyz", origin))).distinct()

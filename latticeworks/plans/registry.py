@@ -131,6 +131,26 @@ t AS (SELECT cls, x0 AS ax, y0 AS ay, dx AS ux, 0 AS uy, 0 AS vx, dy AS vy, z0,
 n AS (SELECT *, CAST(pow(2, least(12, greatest(0, ceil(log2(sqrt(dx*dx+dy*dy)*2/4.0))))) AS INT) AS n FROM t),
 i AS (SELECT *, unnest(range(n+1)) AS i FROM n), j AS (SELECT *, unnest(range(n-i+1)) AS j FROM i)
 SELECT DISTINCT cls, CAST(greatest(0, round_even((ax + i/n*ux + j/n*vx)/4.0, 0)) AS INT) AS x, CAST(greatest(0, round_even((ay + i/n*uy + j/n*vy)/4.0, 0)) AS INT) AS y, CAST(greatest(0, round_even(z0/4.0, 0)) AS INT) AS z FROM j""")(lambda v: V.voxelize_surface(_triangles(v), 4.0, (0.0, 0.0, 0.0)))
+# The query above keeps the cut of its SQL; this one takes all twelve triangles of every element with geometry.
+SIDES = [("z", "x", "y"), ("x", "y", "z"), ("y", "z", "x")]  # the axis across, and the two along
+
+
+def _box_triangles(v: View) -> DataFrame:
+    """Two triangles of each side of each element's cuboid."""
+    e = V.classify(v("elements").where("has_representation"), v("class_dim"))
+    at = lambda far: {c: (F.col(f"{c}0") + (F.col(f"d{c}") if c in far else 0)).cast("double") for c in "xyz"}
+    faces = [face for n, u, w in SIDES for far in ("", n) for face in ((far, u + far, w + far), (u + w + far, w + far, u + far))]
+    corners = lambda face: F.struct(F.lit(faces.index(face)).alias("face_no"), *(x.alias(f"{p}{c}") for p, far in zip("abc", face) for c, x in at(far).items()))
+    return e.select("element_id", "cls", F.explode(F.array(*map(corners, faces))).alias("t")).select("element_id", "cls", "t.*")
+
+
+query("voxelize_surface_all", """WITH e AS (SELECT e.*, coalesce(c.cls, 'other') AS cls FROM elements e LEFT JOIN class_dim c ON c.ifc_type = e.ifc_type WHERE has_representation),
+f(fx, fy, fz, ux, uy, uz, vx, vy, vz) AS (VALUES (0,0,0, 1,0,0, 0,1,0), (1,1,0, -1,0,0, 0,-1,0), (0,0,1, 1,0,0, 0,1,0), (1,1,1, -1,0,0, 0,-1,0), (0,0,0, 0,1,0, 0,0,1), (0,1,1, 0,-1,0, 0,0,-1),
+  (1,0,0, 0,1,0, 0,0,1), (1,1,1, 0,-1,0, 0,0,-1), (0,0,0, 0,0,1, 1,0,0), (1,0,1, 0,0,-1, -1,0,0), (0,1,0, 0,0,1, 1,0,0), (1,1,1, 0,0,-1, -1,0,0)),
+t AS (SELECT cls, x0+fx*dx AS ax, y0+fy*dy AS ay, z0+fz*dz AS az, ux*dx AS ux, uy*dy AS uy, uz*dz AS uz, vx*dx AS vx, vy*dy AS vy, vz*dz AS vz FROM e CROSS JOIN f),
+n AS (SELECT *, CAST(pow(2, greatest(0, ceil(log2(sqrt(ux*ux+uy*uy+uz*uz+vx*vx+vy*vy+vz*vz)*2/4.0)))) AS INT) AS n FROM t),
+i AS (SELECT *, unnest(range(n+1)) AS i FROM n), j AS (SELECT *, unnest(range(n-i+1)) AS j FROM i)
+SELECT DISTINCT cls, CAST(greatest(0, round_even((ax + i/n*ux + j/n*vx)/4.0, 0)) AS INT) AS x, CAST(greatest(0, round_even((ay + i/n*uy + j/n*vy)/4.0, 0)) AS INT) AS y, CAST(greatest(0, round_even((az + i/n*uz + j/n*vz)/4.0, 0)) AS INT) AS z FROM j""")(lambda v: V.voxelize_surface(_box_triangles(v), 4.0, (0.0, 0.0, 0.0)))
 query("overlay_layers", """WITH l AS (SELECT x, y, z, prio + 1 AS v, 0 AS k, 0 AS t FROM (SELECT x, z AS y, y AS z, prio FROM voxels) UNION ALL SELECT x, y, z, arg_max(v, (ts, event_id)), 1, 0 FROM edits GROUP BY x, y, z)
 SELECT x, y, z, arg_max(v, k) AS v FROM l GROUP BY x, y, z HAVING arg_max(v, k) <> 0""")(lambda v: V.overlay_layers(valued(v), W.last_write_wins(v("edits"))))
 

@@ -1,10 +1,13 @@
 """Queries that take the whole tables, against brute force on small fixtures."""
 
+import math
 import random
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
+from latticeworks.operators import voxels as V
 from latticeworks.plans import registry
 
 
@@ -33,3 +36,37 @@ def test_fill_takes_every_voxel(spark, tmp_path):
     empty, outside = _outside(walls)
     got = [tuple(r) for r in registry.queries()["fill_enclosed_all"](spark, str(tmp_path)).collect()]
     assert len(got) > 27 and sorted(got) == sorted(empty - outside)
+
+
+def _cells(a, b, c, pitch):
+    """Cells of a triangle's points half a pitch apart at most."""
+    n = 2 ** max(0, math.ceil(math.log2(max(math.dist(a, b), math.dist(b, c), math.dist(a, c)) * 2 / pitch)))
+    return {tuple(max(0, round((p + i / n * (q - p) + j / n * (r - p)) / pitch)) for p, q, r in zip(a, b, c)) for i in range(n + 1) for j in range(n + 1 - i)}
+
+
+@pytest.mark.parametrize("k_max", [0, 2, 12])
+def test_large_triangles_have_no_gaps(spark, k_max):
+    triangles = [((0.0, 0.0, 0.0), (33.0, 3.0, 1.0), (5.0, 29.0, 7.0)), ((1.0, 1.0, 1.0), (2.0, 1.0, 1.0), (1.0, 2.0, 3.0))]
+    rows = [("wall", i, 0, *map(float, sum(t, ()))) for i, t in enumerate(triangles)]
+    df = spark.createDataFrame(rows, "cls string, element_id long, face_no int, " + ", ".join(f"{p}{c} double" for p in "abc" for c in "xyz"))
+    got = [(r.x, r.y, r.z) for r in V.voxelize_surface(df, 1.0, (0.0, 0.0, 0.0), k_max).collect()]
+    want = set().union(*(_cells(*t, 1.0) for t in triangles))
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_every_side_of_every_element(spark, tmp_path):
+    keys = [1, 2, 3, 4, 40]  # element 3 has no geometry
+    pq.write_table(pa.table({"p_partkey": keys, "p_name": ["n"] * 5, "p_brand": ["b"] * 5, "p_size": pa.array([11, 5, 9, 0, 23], pa.int32())}), tmp_path / "part.parquet")
+    want = set()
+    for k, size in zip(keys, (11, 5, 9, 0, 23)):
+        if k % 10 == 3:
+            continue
+        lo = ((k * 37) % 480, (k * 53) % 400, (k * 11) % 120)
+        hi = tuple(a + d for a, d in zip(lo, (1 + size % 12, 1 + (k * 7) % 30, 2 + (k * 5) % 28)))
+        for axis in range(3):
+            for end in (lo, hi):
+                u, w = [i for i in range(3) if i != axis]
+                corner = lambda far: tuple(end[i] if i == axis else hi[i] if i in far else lo[i] for i in range(3))
+                want |= _cells(corner(()), corner((u,)), corner((w,)), 4.0) | _cells(corner((u, w)), corner((w,)), corner((u,)), 4.0)
+    got = [(r.x, r.y, r.z) for r in registry.queries()["voxelize_surface_all"](spark, str(tmp_path)).collect()]
+    assert set(got) == want and len({z for _, _, z in got}) > 5
