@@ -131,10 +131,10 @@ def collapse_spaces(text) -> Column:
 
 
 def mask_words(text, words: list[str], mask: str = "****") -> Column:
-    """Listed words (a bounded list) replaced, in any case, where they stand alone."""
+    """Listed words (a bounded list) replaced, in any case, where no letter, mark, number or underscore of any script is beside them."""
     import re
 
-    return F.regexp_replace(col(text), r"(?i)\b(" + "|".join(map(re.escape, words)) + r")\b", mask)
+    return F.regexp_replace(col(text), r"(?iu)(?<![\p{L}\p{M}\p{N}_])(" + "|".join(map(re.escape, words)) + r")(?![\p{L}\p{M}\p{N}_])", mask)
 
 
 def safe_name(name, words: list[str], seed) -> Column:

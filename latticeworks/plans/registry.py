@@ -328,4 +328,7 @@ query("unit_factor", "SELECT p_partkey, CAST(CASE p_size % 6 WHEN 0 THEN 0.001 W
 query("door_facing", "SELECT element_id, CASE WHEN x1-x0 <= y1-y0 THEN 'east' ELSE 'south' END AS facing, CAST(coalesce(least(greatest(1, round_even(width_dm/10.0, 0)), 3), 1) AS INT) AS leaves FROM doors")(lambda v: v("doors").select("element_id", S.door_facing(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).alias("facing"), S.leaf_count("width_dm", 10.0, F.lit(3)).alias("leaves")))
 query("collapse_spaces", "SELECT conv_id, turn, length(regexp_replace(text, '[ \\t\\n\\r\\f\\v]{2,}', ' ', 'g')) AS n FROM messages")(lambda v: v("messages").select("conv_id", "turn", F.length(S.collapse_spaces("text")).cast("long").alias("n")))
 query("mask_words", "SELECT conv_id, turn, md5(regexp_replace(text, '\\b(the|und|les)\\b', '****', 'gi')) AS h FROM messages WHERE role = 'user' AND regexp_matches(text, '^[ -~\\s]*$')")(lambda v: v("messages").where(F.col("role") == "user").where(F.col("text").rlike(r"^[ -~\s]*$")).select("conv_id", "turn", F.md5(S.mask_words("text", ["the", "und", "les"])).alias("h")))
+# The query above keeps the cut of its SQL; this one masks every message. The SQL's engine can't look around, so a sign between two words needs a second pass.
+_alone = lambda text: f"regexp_replace({text}, '(^|[^\\pL\\pM\\pN_])(?:the|und|les)([^\\pL\\pM\\pN_]|$)', '\\1****\\2', 'gi')"
+query("mask_words_all", f"SELECT conv_id, turn, md5({_alone(_alone('text'))}) AS h FROM messages")(lambda v: v("messages").select("conv_id", "turn", F.md5(S.mask_words("text", ["the", "und", "les"])).alias("h")))
 query("safe_name")(lambda v: v("supplier").select("s_suppkey", S.safe_name(F.when(F.col("s_suppkey") % 3 > 0, F.col("s_name")), ["nobody"], "s_suppkey").alias("name")))

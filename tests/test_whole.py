@@ -1,7 +1,9 @@
 """Queries that take the whole tables, against brute force on small fixtures."""
 
+import hashlib
 import math
 import random
+import re
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -70,3 +72,21 @@ def test_every_side_of_every_element(spark, tmp_path):
                 want |= _cells(corner(()), corner((u,)), corner((w,)), 4.0) | _cells(corner((u, w)), corner((w,)), corner((u,)), 4.0)
     got = [(r.x, r.y, r.z) for r in registry.queries()["voxelize_surface_all"](spark, str(tmp_path)).collect()]
     assert set(got) == want and len({z for _, _, z in got}) > 5
+
+
+def test_every_message_is_masked(spark, tmp_path):
+    texts = ["The cat", "the the\nTHE the", "théâtre, les élèves", "für und über", "undé éund und_ _und und1 ²und", "Straße und Ärger: LES, Und!", "the\u0301 the", "漢the the漢 the", "", None, "bathe others bundle"]
+    roles = ["user", "assistant", "system"]
+    rows = [(i, j, role, t) for i, t in enumerate(texts) for j, role in enumerate(roles)]
+    pq.write_table(pa.table(dict(zip(("conv_id", "turn", "role", "text"), map(list, zip(*rows))))), tmp_path / "conversations.parquet")
+
+    def masked(text):
+        if text is None:
+            return None
+        # Python's words have no combining marks, so these are told apart by a letter in their place.
+        inner = re.sub("[\u0300-\u036f]", lambda m: chr(0xE000 + ord(m[0])), text)
+        inner = re.sub(r"(?<![\w\ue300-\ue36f])(the|und|les)(?![\w\ue300-\ue36f])", "****", inner, flags=re.I)
+        return hashlib.md5(re.sub("[\ue300-\ue36f]", lambda m: chr(ord(m[0]) - 0xE000), inner).encode()).hexdigest()
+
+    got = sorted(tuple(r) for r in registry.queries()["mask_words_all"](spark, str(tmp_path)).collect())
+    assert got == [(i, j, masked(t)) for i, j, _, t in rows]
