@@ -67,3 +67,18 @@ def run_pipeline(hits: DataFrame, priority_dim: DataFrame, style_dim: DataFrame,
         styled = V.style_blocks(blocks, style_dim).select("x", "y", "z", "r", "g", "b")
         made |= {v: W.raster_ortho(styled, v) for v in ("plan", "front", "side")} | {"iso": W.raster_iso(styled, 2)}
     return made
+
+
+def write_outputs(made: dict[str, DataFrame], out: str, pitch: float, name: str = "run") -> DataFrame:
+    """Write all that ``run_pipeline`` made, the catalogue and the manifest; the manifest: output, format, count of its rows."""
+    spark = made["blocks"].sparkSession
+    rows = []
+    for output, df in made.items():
+        if output != "blocks":  # these are written
+            df.write.mode("overwrite").parquet(f"{out}/{output}")
+        rows.append((output, "parquet", spark.read.parquet(f"{out}/{output}").count()))
+    write_dataset_catalog(spark.createDataFrame([(name, name, rows[0][2], pitch)], "name string, label string, count long, pitch double"), f"{out}/catalog")
+    rows.append(("catalog", "json", spark.read.json(f"{out}/catalog").count()))
+    manifest = spark.createDataFrame(rows, "output string, format string, count long")
+    manifest.coalesce(1).write.mode("overwrite").json(f"{out}/manifest")
+    return manifest

@@ -73,8 +73,9 @@ def run_pipeline(spark, sf_dir):
     from .registry import _boxes
 
     get = lambda name: view(spark, sf_dir, name)
-    made = X.run_pipeline(get("voxel_hits"), get("priority_dim"), get("style_dim"), _boxes(get), 10.0, new_folder(spark, "run"))
-    return made["counts"]
+    out = new_folder(spark, "run")
+    made = X.run_pipeline(get("voxel_hits"), get("priority_dim"), get("style_dim"), _boxes(get), 10.0, out)
+    return X.write_outputs(made, out, 10.0)
 
 
 QUERIES = {f.__name__: f for f in (scan_blocks, write_blocks, scan_world_stamp, scan_saved_deltas, scan_session_log, export_grouped_points, export_sample_json, scan_dataset_catalog, round_trip_check, run_pipeline)}

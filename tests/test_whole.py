@@ -90,3 +90,14 @@ def test_every_message_is_masked(spark, tmp_path):
 
     got = sorted(tuple(r) for r in registry.queries()["mask_words_all"](spark, str(tmp_path)).collect())
     assert got == [(i, j, masked(t)) for i, j, _, t in rows]
+
+
+def test_run_pipeline_writes_every_output(spark, monkeypatch, tmp_path):
+    from latticeworks.plans import files
+
+    monkeypatch.setattr(files, "new_folder", lambda spark, what: f"file://{tmp_path}/{what}")
+    got = {r.output: (r.format, r["count"]) for r in registry.queries()["run_pipeline"](spark, "/root/testdata/sf0.001").collect()}
+    assert set(got) == {"blocks", "counts", "chunks", "groups", "points", "plan", "front", "side", "iso", "catalog"}
+    assert all(n == spark.read.format(kind).load(f"file://{tmp_path}/run/{output}").count() > 0 for output, (kind, n) in got.items())
+    assert got["points"][1] == got["blocks"][1] == spark.read.parquet(f"file://{tmp_path}/run/counts").groupBy().sum("n").first()[0]
+    assert {(r.output, r["count"]) for r in spark.read.json(f"file://{tmp_path}/run/manifest").collect()} == {(k, n) for k, (_, n) in got.items()}
