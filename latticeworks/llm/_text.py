@@ -75,34 +75,63 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(starts, off)
 
 
+#: A Mersenne prime: sums are reduced by a mask and a shift.
+PRIME = U64((1 << 31) - 1)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """A value below 2**32 that is congruent modulo PRIME, for x below 2**63."""
+    return (x & PRIME) + (x >> U64(31))
+
+
+def _residue(x: np.ndarray) -> np.ndarray:
+    """The remainder modulo PRIME, for x below 2**63."""
+    x = _reduced(_reduced(x))
+    x[x >= PRIME] -= PRIME
+    return x
+
+
 class Fingerprint:
-    """64-bit fingerprints of any slice of a symbol sequence by one pass of prefix sums.
+    """Fingerprints of any slice of a symbol sequence by one pass of prefix sums.
 
-    The sum of symbol values times powers of an odd base, modulo 2**64, divided by the power at the slice's start.
+    Two sums of symbol values times powers of a base, modulo the prime 2**31 - 1, each divided by the power at the slice's
+    start; values and bases of the two are drawn apart.  Two different slices of n symbols agree for at most a share of
+    (n / 2**31)**2 of all bases, whatever the slices are; a modulus of 2**64 has no such bound (Thue-Morse sequences).
     """
 
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
-        self.table = rng.integers(0, 1 << 63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
-        self.base = U64((int(rng.integers(1 << 40, 1 << 62)) * 8 + 5) % (1 << 64))
-        self.inverse = U64(pow(int(self.base), -1, 1 << 64))
-        self.up = self.down = np.ones(1, U64)
+        self.tables = [rng.choice(int(PRIME) - 1, 256, replace=False).astype(U64) + U64(1) for _ in range(2)]
+        bases = [int(rng.integers(1 << 29, int(PRIME) - 1)) for _ in range(2)]
+        self.bases = [(b, pow(b, -1, int(PRIME))) for b in bases]
+        self.powers: list[tuple[np.ndarray, np.ndarray]] = [(np.ones(1, U64), np.ones(1, U64))] * 2
+
+    @staticmethod
+    def _powers(base: int, n: int) -> np.ndarray:
+        out = np.ones(1, U64)
+        while len(out) < n:
+            out = np.concatenate([out, _residue(out * U64(pow(base, len(out), int(PRIME))))])
+        return out
 
     def grow(self, n: int) -> None:
-        if len(self.up) < n:
+        if len(self.powers[0][0]) < n:
             n = max(n, 1 << 16)
-            self.up, self.down = (np.concatenate([np.ones(1, U64), np.cumprod(np.full(n, b, U64))]) for b in (self.base, self.inverse))
+            self.powers = [(self._powers(up, n), self._powers(down, n)) for up, down in self.bases]
 
-    def prefix(self, symbols: np.ndarray) -> np.ndarray:
-        """Prefix sums of bytes (uint8) or of 64-bit symbols."""
+    def prefix(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The two prefix sums of bytes (uint8) or of 64-bit symbols (fingerprints)."""
         self.grow(len(symbols) + 1)
-        values = self.table[symbols] if symbols.dtype == np.uint8 else symbols * U64(0x9E3779B97F4A7C15) + self.table[0]
-        out = np.zeros(len(symbols) + 1, U64)
-        np.cumsum(values * self.up[: len(symbols)], out=out[1:])
-        return out
-
-    def slices(self, prefix: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        return mix((prefix[hi] - prefix[lo]) * self.down[lo] + (hi - lo).astype(U64))
+        out = []
+        for k, (table, (up, _)) in enumerate(zip(self.tables, self.powers)):
+            values = table[symbols] if symbols.dtype == np.uint8 else (symbols >> U64(33 * k)) & PRIME
+            total = np.zeros(len(symbols) + 1, U64)
+            np.cumsum(_reduced(values * up[: len(symbols)]), out=total[1:])
+            out.append(total)
+        return out[0], out[1]
+
+    def slices(self, prefix: tuple[np.ndarray, np.ndarray], lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        one, two = (_residue(_reduced(_reduced(total[hi] - total[lo])) * down[lo]) for total, (_, down) in zip(prefix, self.powers))
+        return mix(mix(one | two << U64(31)) + (hi - lo).astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
 def word_symbols(fp: Fingerprint, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

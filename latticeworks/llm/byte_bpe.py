@@ -20,29 +20,30 @@ from ._repeats import fingerprint
 class Vocabulary:
     """Ranks of a byte-level BPE file.
 
-    Whole pre-tokens that are entries are found by a minimal perfect hash with the entry's fingerprint; others are merged
-    with a heap of pair ranks over linked bytes.
+    Whole pre-tokens that are entries are found by a minimal perfect hash, whose entry's fingerprint and bytes are compared;
+    others are merged with a heap of pair ranks over linked bytes.
     """
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        tokens = sorted(self.ranks, key=self.ranks.__getitem__)
-        self.numbers = np.array([self.ranks[t] for t in tokens], np.int64)
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        tokens = sorted(ranks, key=ranks.__getitem__)
+        self.numbers = np.array([ranks[t] for t in tokens], np.int64)
         data, off = np.frombuffer(b"".join(tokens), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
         fp = fingerprint(21)
         keys = fp.slices(fp.prefix(data), off[:-1], off[1:])
         self.mph = MinimalPerfectHash.build(keys)
         place = self.mph.number(keys)
         self.stored, self.entry = np.zeros(len(keys), np.uint64), np.zeros(len(keys), np.int64)
-        self.stored[place], self.entry[place] = keys, self.numbers
+        self.stored[place], self.entry[place] = keys, np.arange(len(keys))
+        self.tokens = tokens
         most = int(self.numbers.max()) + 1
         self.at, self.size = np.zeros(most, np.int64), np.zeros(most, np.int64)
         self.at[self.numbers], self.size[self.numbers], self.data = off[:-1], np.diff(off), data
         self.text = [str(i) for i in range(most)]
-        self.single = [self.ranks[bytes([i])] for i in range(256)]
-        get, pairs = self.ranks.get, {}
-        for t, rank in self.ranks.items():
+        self.single = [ranks[bytes([i])] for i in range(256)]
+        get, pairs = ranks.get, {}
+        for t, rank in ranks.items():
             for k in range(1, len(t)):
                 a, b = get(t[:k]), get(t[k:])
                 if a is not None and b is not None:
@@ -83,8 +84,8 @@ class Vocabulary:
     def encode_pieces(self, pieces: list[bytes], keys: np.ndarray) -> list:
         place = self.mph.number(keys)
         hit = (place >= 0) & (self.stored[place] == keys)
-        entry, merge, ranks = self.entry[place].tolist(), self.merge, self.ranks
-        return [(e,) if h and ranks.get(p) == e else merge(p) for p, h, e in zip(pieces, hit.tolist(), entry)]
+        entry, merge, tokens, number = self.entry[place].tolist(), self.merge, self.tokens, self.numbers.tolist()
+        return [(number[e],) if h and tokens[e] == p else merge(p) for p, h, e in zip(pieces, hit.tolist(), entry)]
 
     def decode(self, ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = self.size[ids]

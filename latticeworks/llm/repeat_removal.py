@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._repeats import Plan, repeated_starts
+from ._repeats import Plan, numbered, repeated_starts
 
 WORD_WINDOW = 20
 BYTE_WINDOW = 400
@@ -39,7 +39,7 @@ def _sums(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def _cut_words(batches):
     for batch in batches:
-        ids = batch.column(batch.schema.get_field_index("doc_id"))
+        ids, turns = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "turn"))
         for lo, hi, data, off in X.blocks(batch, "text"):
             starts, ends, word_off = X.words(data, off)
             gone = _marked(batch, lo, hi, word_off, WORD_WINDOW)
@@ -55,14 +55,14 @@ def _cut_words(batches):
             keep[ends[more]] = True
             new_off = np.concatenate([[0], np.cumsum(keep)])[off]
             yield pa.RecordBatch.from_arrays(
-                [ids[lo:hi], pa.array(np.diff(word_off).astype(np.int64)), pa.array(_sums(gone, word_off)), _binary(out[keep], new_off, pa.string())],
-                names=["doc_id", "n_words", "n_removed", "kept_text"],
+                [ids[lo:hi], turns[lo:hi], pa.array(np.diff(word_off).astype(np.int64)), pa.array(_sums(gone, word_off)), _binary(out[keep], new_off, pa.string())],
+                names=["doc_id", "turn", "n_words", "n_removed", "kept_text"],
             )
 
 
 def _cut_bytes(batches):
     for batch in batches:
-        ids = batch.column(batch.schema.get_field_index("doc_id"))
+        ids, turns = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "turn"))
         for lo, hi, data, off in X.blocks(batch, "text"):
             gone = _marked(batch, lo, hi, off, BYTE_WINDOW)
             opens = gone.copy()
@@ -70,15 +70,15 @@ def _cut_bytes(batches):
             inner = off[:-1][(np.diff(off) > 0)]
             opens[inner] = gone[inner]
             yield pa.RecordBatch.from_arrays(
-                [ids[lo:hi], pa.array(np.diff(off).astype(np.int64)), pa.array(_sums(gone, off)), pa.array(_sums(opens, off)), _binary(data[~gone], np.concatenate([[0], np.cumsum(~gone)])[off], pa.binary())],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
+                [ids[lo:hi], turns[lo:hi], pa.array(np.diff(off).astype(np.int64)), pa.array(_sums(gone, off)), pa.array(_sums(opens, off)), _binary(data[~gone], np.concatenate([[0], np.cumsum(~gone)])[off], pa.binary())],
+                names=["doc_id", "turn", "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
 
 def _apply(docs: DataFrame, plan: Plan, cut, schema: str) -> DataFrame:
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = numbered(docs, plan.first)
     none = F.expr("cast(array() as array<struct<start:int,size:int>>)")
-    joined = texts.join(repeated_starts(docs, plan), "doc_id", "left").withColumn("starts", F.coalesce("starts", none))
+    joined = texts.select("doc_id", "turn", "text").join(repeated_starts(texts, plan), ["doc_id", "turn"], "left").withColumn("starts", F.coalesce("starts", none))
     return joined.mapInArrow(cut, schema)
 
 
@@ -89,11 +89,12 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     earlier start; windows are judged on the input.  Anchors that windows share are joined and extended both ways to whole
     runs of windows (see ``_repeats``), so the cost follows the text and not the pairs of its copies.
 
-    Returns doc_id, n_words, n_removed, kept_text (the kept words joined by one space), one row per input row.  A null text
-    has no words and an empty kept_text.  A null doc_id is kept as it is, unjudged.  Two rows of one doc_id count as a
-    document and its copy, and lose the union of what either repeats.  Other columns are ignored.
+    Returns doc_id, turn, n_words, n_removed, kept_text (the kept words joined by one space), one row per input row.  A null text
+    has no words and an empty kept_text.  A null doc_id is kept as it is, unjudged.  Rows of one doc_id follow each other by
+    their texts, each judged on its own, so one of several equal rows keeps what no other document has earlier; ``turn`` (0
+    for the first) tells them apart.  Other columns are ignored.
     """
-    return _apply(docs, Plan(WORD_WINDOW, 6, 15, True, True), _cut_words, "doc_id long, n_words long, n_removed long, kept_text string")
+    return _apply(docs, Plan(WORD_WINDOW, 6, 15, True, True), _cut_words, "doc_id long, turn int, n_words long, n_removed long, kept_text string")
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
@@ -103,10 +104,11 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     first by the core around a sampled anchor, then by the whole run, then single positions by the pair of ranks of their
     first and second 200 bytes; a position leaves the sort as soon as its rank is unique or covers 400 bytes.
 
-    Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the remaining bytes), one row per input row.
-    Nulls, repeated rows and other columns as in ``substring_dedup``.
+    Returns doc_id, turn, n_bytes, n_removed, n_spans (maximal removed runs), kept (the remaining bytes), one row per input row.
+    Equal rows (of doc_id and text) are one document given twice and both get that document's result; different texts under
+    one doc_id are documents of their own.  Nulls and other columns as in ``substring_dedup``.
     """
-    return _apply(docs, Plan(BYTE_WINDOW, 32, 96, False, False), _cut_bytes, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return _apply(docs, Plan(BYTE_WINDOW, 32, 96, False, False), _cut_bytes, "doc_id long, turn int, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,6 +72,58 @@ def test_repeats(docs, texts, empty, words):
     assert f(empty).count() == 0
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_texts_that_collide_modulo_powers_of_two(spark):
+    import tiktoken
+
+    one, two = thue_morse(2048), thue_morse(2048, "b", "a")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    df = spark.createDataFrame([(1, one), (2, two), (3, " ".join([one] * 20)), (4, " ".join([two] * 20))], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in byte_bpe.decode(byte_bpe.encode(df, path), path).collect()}
+    assert got[1].ids == library.encode_ordinary(one) and got[2].ids == library.encode_ordinary(two) and bytes(got[2].decoded).decode() == two
+    assert repeat_removal.substring_dedup(df).where("n_removed > 0").count() == 0
+    few = df.where("doc_id < 3")
+    count = Counter(x[i : i + 400] for x in (one, two) for i in range(2048 - 399))
+    gone = [np.zeros(2048, bool) for _ in range(2)]
+    for g, x in zip(gone, (one, two)):
+        for i in range(2048 - 399):
+            if count[x[i : i + 400]] > 1:
+                g[i : i + 400] = True
+    assert {r.doc_id: r.n_removed for r in repeat_removal.suffix_dedup(few).collect()} == {1: gone[0].sum(), 2: gone[1].sum()}
+    assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df).collect()} == {k: k for k in range(1, 5)}
+
+
+def test_pre_tokens_of_one_fingerprint(monkeypatch):
+    from latticeworks.llm import _pretokens, _text
+
+    monkeypatch.setattr(_text.Fingerprint, "slices", lambda self, pre, lo, hi: (hi - lo).astype(np.uint64))
+    encoder = _pretokens.DistinctEncoder(lambda pieces, _: [list(p) for p in pieces])
+    for texts in (["one two", " six ten", ""], ["ten six two", "owt"]):
+        raw = [t.encode() for t in texts]
+        ids, off = encoder.rows(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(b) for b in raw])]))
+        assert [bytes(ids[a:b].tolist()) for a, b in zip(off[:-1], off[1:])] == raw
+
+
+def test_rows_of_one_doc_id(spark):
+    rng = random.Random(8)
+    line = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    alone, passage, tail = line(120), line(80), line(90)
+    rows = [(1, alone), (1, alone), (2, passage + " " + tail), (2, "short"), (3, line(5) + " " + passage), (None, alone)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in repeat_removal.substring_dedup(df).collect())
+    assert got == Counter([(1, 120, 0), (1, 120, 120), (2, 170, 0), (2, 1, 0), (3, 85, 80), (None, 120, 0)])
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed) for r in repeat_removal.suffix_dedup(df).collect())
+    n = len(passage)
+    assert got == Counter([(1, len(alone), 0)] * 2 + [(2, len(rows[2][1]), n), (2, 5, 0), (3, len(rows[4][1]), n + 0), (None, len(alone), 0)])
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, None: None} and jaccard_join.jaccard_components(df).count() == len(rows)
+
+
 def test_jaccard_components(docs, texts, empty):
     sets = []
     for t in texts:
@@ -115,7 +167,6 @@ def test_token_shards(spark, docs, texts):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     manifest = token_shards.write_shards(docs, path, new_folder(spark, "shards"))
     got = {r.doc_id: tuple(r)[1:] for r in token_shards.read_shards(manifest).collect()}
     start = 0
@@ -127,6 +178,21 @@ def test_token_shards(spark, docs, texts):
     assert set(found) == {0, 7} and found[0] == [0]
 
 
+def test_token_shards_special_tokens_and_turns(spark):
+    from tokenizers import Tokenizer
+
+    path, rows = public_tokenizers.path("byte_bpe_50k.json"), [(1, "before <|endoftext|> after"), (2, "<|endoftext|><|endoftext|>  x"), (3, "<|endof"), (4, "text|>"), (5, "two"), (5, "one"), (5, "one"), (5, None)]
+    df, library = spark.createDataFrame(rows, "doc_id long, text string"), Tokenizer.from_file(path)
+    for plain in (False, True):
+        library.encode_special_tokens = plain
+        manifest = token_shards.write_shards(df, path, new_folder(spark, "shards"), plain=plain)
+        assert token_shards.read_shards(manifest).count() == len(rows)
+        found = Counter((r.doc_id, tuple(r.ids)) for r in token_shards.lookup(manifest, [1, 2, 3, 4, 5]).collect())
+        assert found == Counter((k, (*library.encode(t or "", add_special_tokens=False).ids, 0)) for k, t in rows)
+    with pytest.raises(Exception, match="needs more than 1 bytes"):
+        token_shards.write_shards(df, path, new_folder(spark, "shards"), width=1)
+
+
 def test_minimal_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 62, 50_000).astype(np.uint64))
     h = _mph.MinimalPerfectHash.load(_mph.MinimalPerfectHash.build(keys).dump())
@@ -237,6 +303,35 @@ def test_tiff_tiles():
     assert (page[1][:, :, 0] == image).all()
 
 
+@pytest.fixture(scope="module")
+def small_sf(spark):
+    folder = new_folder(spark, "sf")
+    spark.createDataFrame([(1, "a benchmark item of some ten words that are not common")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(k, 1, 0) for k in range(8)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+def test_pipeline_stages_on_repeats_nulls_and_clashes(spark, small_sf):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    line = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    passage = line(60)
+    rows = [(1, line(100)), (2, line(50) + " " + passage), (3, line(70) + " " + passage), (3, "another text"), (None, line(30)), (4, None), (5, "")]
+    rows.insert(1, rows[0])
+    rows = [(i, t, "en", "s", len(t or ""), "keep", 7, "sh", "n") for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, turn string, n_removed int, kept_text string, hub string")
+    near = corpus_pipeline.keep_one_of_near_copies(spark, docs, small_sf)
+    assert sorted(near.columns) == sorted(docs.columns) and near.count() == len(rows) - 1
+    cut = corpus_pipeline.cut_repeats(spark, docs, small_sf)
+    assert cut.columns == docs.columns and cut.count() == len(rows) and cut.where("turn = 'keep' AND n_removed = 7 AND kept_text = 'sh'").count() == len(rows)
+    assert Counter((r.doc_id, len((r.text or "").split())) for r in cut.collect()) == Counter([(1, 100), (1, 0), (2, 110), (3, 70), (3, 2), (None, 30), (4, 0), (5, 0)])
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        assert set(stage(spark, docs, small_sf).columns) == set(docs.columns)
+        assert stage(spark, docs.limit(0), small_sf).count() == 0
+    assert corpus_pipeline.tokenize(spark, docs.limit(0), small_sf).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
