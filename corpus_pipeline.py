@@ -1,4 +1,8 @@
-"""A training corpus in five stages, each over all that the one before kept."""
+"""A training corpus in five stages, each over all that the one before kept.
+
+Rows of one doc_id are judged together where a stage decides by document, and rows without a doc_id stay, unjudged; no stage
+makes more rows of them.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from latticeworks.llm._repeats import repeated_ids, with_turns
 from latticeworks.llm.byte_bpe import encode
 from latticeworks.llm.decontamination import benchmark_leaks
 from latticeworks.llm.jaccard_join import jaccard_components
@@ -25,18 +30,29 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each group of near-duplicates."""
+    """Keep the smallest doc_id of each group of near-duplicates, and one of its rows of equal text."""
     others = jaccard_components(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(others, "doc_id", "left_anti")
+    kept, again = docs.join(others, "doc_id", "left_anti"), repeated_ids(docs)
+    if again.isEmpty():
+        return kept
+    several = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, "doc_id", "left_anti").unionByName(several)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove words in 20-word windows that also start earlier; texts without such words stay as they are."""
-    cut = substring_dedup(docs).where("n_removed > 0").select("doc_id", "kept_text")
-    text = F.coalesce("kept_text", "text")
-    joined = docs.join(cut, "doc_id", "left")
-    changed = F.col("kept_text").isNotNull()
-    return joined.withColumn("n_chars", F.when(changed, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).withColumn("text", text).select(*docs.columns)
+    turn = "_turn"
+    while turn in docs.columns:
+        turn += "_"
+    cut = substring_dedup(docs).where("n_removed > 0").select(F.col("doc_id").alias("cut_id"), F.col("turn").alias("cut_turn"), "kept_text")
+    rows = with_turns(docs, turn).alias("rows")
+    joined = rows.join(cut.alias("cut"), (F.col("rows.doc_id") == F.col("cut.cut_id")) & (F.col(f"rows.{turn}") == F.col("cut.cut_turn")), "left")
+    changed = F.col("cut.kept_text").isNotNull()
+    cells = {c: F.col(f"rows.`{c}`") for c in docs.columns}
+    cells["text"] = F.coalesce("cut.kept_text", "rows.text")
+    if "n_chars" in cells:
+        cells["n_chars"] = F.when(changed, F.length("cut.kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(cells["n_chars"])
+    return joined.select(*(v.alias(c) for c, v in cells.items()))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
