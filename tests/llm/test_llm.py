@@ -228,10 +228,54 @@ def test_quality(spark, docs, empty):
     assert quality_lm.classify(empty, spark.createDataFrame([], "doc_id long")).count() == 0
 
 
-def test_kneser_ney_sums_to_one(spark):
-    table = quality_lm.train(spark.createDataFrame([("some text, any text. " * 5 + "Other words here",)], "text string"))
-    p = (2.0**-table.astype(float)).reshape(-1, quality_lm.SYMBOLS).sum(axis=1)
-    assert np.allclose(p, 1, atol=1e-3)
+def kneser_ney(texts, order):
+    """Bits a text, by dictionaries: interpolated modified Kneser-Ney."""
+    pad = chr(quality_lm.START) * (order - 1)
+    grams = lambda t: [(pad + t)[i : i + order] for i in range(len(t))]
+    counts = {order: Counter(g for t in texts for g in grams(t))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    discount = {}
+    for k, c in counts.items():
+        n = [sum(v == j for v in c.values()) for j in range(1, 5)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0
+        discount[k] = [min(max(j - (j + 1) * y * b / a, 0.05 * j), 0.95 * j) if a and b else 0.5 for a, b, j in zip(n, n[1:], (1, 2, 3))]
+
+    def p(gram):
+        k = len(gram)
+        if k == 0:
+            return 1 / (len(counts[1]) + 1)
+        after = {g: v for g, v in counts[k].items() if g[:-1] == gram[:-1]}
+        if not after:
+            return p(gram[1:])
+        cut = lambda v: discount[k][min(v, 3) - 1]
+        total = sum(after.values())
+        own = after[gram] - cut(after[gram]) if gram in after else 0
+        return (own + sum(map(cut, after.values())) * p(gram[1:])) / total
+
+    return lambda t: sum(-np.log2(p(g)) for g in grams(t))
+
+
+@pytest.mark.parametrize("send", [10**6, 0])
+def test_quality_bits_equal_brute_force(spark, monkeypatch, send):
+    monkeypatch.setattr(quality_lm, "HEAD", 20)
+    trusted = ["some text, any text. " * 3 + "Other words hére", "another, shorter one", "漢字 and words", "a"]
+    asked = [*trusted, "quite other letters: zzz", "漢", "words words words", "", None, "words words words"]
+    want = kneser_ney(trusted, quality_lm.ORDER)
+    model = quality_lm.train(spark.createDataFrame([(t,) for t in trusted], "text string"))
+    rows = quality_lm.bits_of_texts(spark.createDataFrame(list(enumerate(asked)), "id long, text string"), model, send).collect()
+    got = {r.id: (r.n_symbols, r.bits) for r in rows}
+    assert len(rows) == len(asked)
+    for i, t in enumerate(asked):
+        assert got[i] == ((len(t), pytest.approx(want(t), rel=1e-9)) if t else (None, None))
+
+
+def test_quality_on_labels(spark):
+    # Measured on sf0.1: 529 of 571 of low quality rejected, 9 of 3409 good ones.
+    sf = "/root/testdata/sf0.1"
+    rows = quality_lm.op3_quality_lm(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").groupBy("quality", "keep").count().collect()
+    n = {(r.quality, r.keep): r["count"] for r in rows}
+    assert n[0, False] >= 0.9 * (n[0, False] + n[0, True]) and n[1, False] <= 0.01 * (n[1, False] + n[1, True])
 
 
 def test_toxicity_held_out(spark):
