@@ -22,24 +22,32 @@ WIDTH = 64
 #: Rows of a page and of a strip at most.
 PAGE_ROWS, STRIP_ROWS = 16384, 4096
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
-#: Up to so many bytes of payload a text is stored with LZW, then with PackBits, then with deflate and the predictor.
-LZW_BYTES, PACKBITS_BYTES = 256, 512
+#: The codec of a text is chosen by the CRC of its payload, whatever its size; deflate goes with the predictor.
+CODECS = (LZW, PACKBITS, DEFLATE)
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 
 
 def packbits(data: bytes) -> bytes:
-    out, i, n = bytearray(), 0, len(data)
-    while i < n:
-        j = i + 1
-        while j < n and j - i < 128 and data[j] == data[i]:
-            j += 1
-        if j - i > 1:
-            out += bytes([257 - (j - i), data[i]])
-        else:
-            while j < n and j - i < 128 and not (j + 1 < n and data[j] == data[j + 1]):
-                j += 1
-            out += bytes([j - i - 1]) + data[i:j]
-        i = j
+    """Runs of three bytes or more are counted, all others are copied, at most 128 at a time."""
+    raw = np.frombuffer(data, np.uint8)
+    starts = np.flatnonzero(np.concatenate([[True], raw[1:] != raw[:-1]])) if len(raw) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(raw)))
+    long = sizes >= 3
+    out, done = bytearray(), 0
+
+    def copy(to: int) -> None:
+        for i in range(done, to, 128):
+            part = data[i : min(i + 128, to)]
+            out.append(len(part) - 1)
+            out.extend(part)
+
+    for at, n in zip(starts[long].tolist(), sizes[long].tolist()):
+        copy(at)
+        done = at + n
+        for k in range(0, n, 128):
+            m = min(128, n - k)
+            out += bytes([257 - m, data[at]]) if m > 1 else bytes([0, data[at]])
+    copy(len(data))
     return bytes(out)
 
 
@@ -65,37 +73,35 @@ def _bit_width(entries: int) -> int:
 
 def lzw(data: bytes) -> bytes:
     """TIFF's LZW: clear code 256, end code 257, high bits first, codes one step wider than the table needs."""
-    table, acc, bits, out = {bytes([i]): i for i in range(256)}, 0, 0, bytearray()
-
-    def put(code: int, size: int) -> None:
-        nonlocal acc, bits
-        acc, bits = (acc << size) | code, bits + size
-        while bits >= 8:
-            bits -= 8
-            out.append(acc >> bits & 255)
-        acc &= (1 << bits) - 1
-
-    put(256, 9)
-    used, word = 258, b""
-    for k in range(len(data)):
-        longer = word + data[k : k + 1]
-        if longer in table:
+    if not data:
+        return bytes([0x80, 0x40, 0x40])
+    table: dict[int, int] = {}
+    get, acc, bits, out = table.get, 256, 9, bytearray()
+    used, word, size = 258, data[0], 9
+    for byte in data[1:]:
+        pair = word << 8 | byte
+        longer = get(pair)
+        if longer is not None:
             word = longer
             continue
-        put(table[word], _bit_width(used))
-        table[longer] = used
+        acc, bits = acc << size | word, bits + size
+        table[pair] = used
         used += 1
+        size = _bit_width(used)
         if used == 4094:
-            put(256, 12)
-            table, used = {bytes([i]): i for i in range(256)}, 258
-        word = data[k : k + 1]
-    if word:
-        put(table[word], _bit_width(used))
-        used += 1
-    put(257, _bit_width(used))
-    if bits:
-        put(0, 8 - bits)
-    return bytes(out)
+            acc, bits = acc << 12 | 256, bits + 12
+            table.clear()
+            used, size = 258, 9
+        if bits > 512:
+            rest = bits & 7
+            out += (acc >> rest).to_bytes(bits >> 3, "big")
+            acc, bits = acc & ((1 << rest) - 1), rest
+        word = byte
+    acc, bits = acc << size | word, bits + size
+    size = _bit_width(used + 1)
+    acc, bits = acc << size | 257, bits + size
+    fill = -bits % 8
+    return bytes(out) + (acc << fill).to_bytes((bits + fill) >> 3, "big")
 
 
 def unlzw(data: bytes) -> bytes:
@@ -133,7 +139,7 @@ def _packed(raw: np.ndarray, compression: int, predictor: int) -> bytes:
 
 def write_tiff(payload: np.ndarray) -> bytes:
     """A little-endian TIFF of WIDTH columns with one page for each PAGE_ROWS rows; payload: bytes, a multiple of WIDTH."""
-    compression = LZW if len(payload) <= LZW_BYTES else PACKBITS if len(payload) <= PACKBITS_BYTES else DEFLATE
+    compression = CODECS[zlib.crc32(payload) % len(CODECS)]
     predictor = 2 if compression == DEFLATE else 1
     image = payload.reshape(-1, WIDTH)
     parts, at, link = [b"II*\0\0\0\0\0"], 8, 4
@@ -238,48 +244,85 @@ def encode_media(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
-def decode_pages(media: DataFrame) -> DataFrame:
-    """One row for each page of each media file: doc_id, page, width, height, compression, predictor, mean, samples (the pixels).
+def decode_pages(media: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row for each page of each media file: the columns to keep, file (its number within the task), media_bytes,
+    media_sha256, page, width, height, compression, predictor, mean, samples (the pixels).
 
-    Null media have no pages; a file that is not a TIFF of the supported kinds fails the job.
+    Null media have no pages; a file that is not a TIFF of the supported kinds fails the job.  The pages of a file follow each
+    other.  Repeated rows are files of their own.
     """
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.binary())
+    names = ["file", "media_bytes", "media_sha256", "page", "width", "height", "compression", "predictor", "mean", "samples"]
 
     def scan(batches):
+        file = 0
         for batch in batches:
-            doc = batch.column(0)
-            rows, where = [], []
-            for i, m in enumerate(batch.column(1)):
-                for page, image, compression, predictor in read_tiff(m.as_buffer().to_pybytes()) if m.is_valid else ():
+            rows, where, held = [], [], 0
+
+            def out():
+                kept = [batch.column(k).take(pa.array(where, pa.int64())) for k in range(len(keep))]  # noqa: B023
+                return pa.RecordBatch.from_arrays([*kept, *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names=[*keep, *names])  # noqa: B023
+
+            for i, m in enumerate(batch.column(len(keep))):
+                if not m.is_valid:
+                    continue
+                raw = m.as_buffer().to_pybytes()
+                whole = hashlib.sha256(raw).hexdigest()
+                for page, image, compression, predictor in read_tiff(raw):
                     where.append(i)
-                    rows.append((page, image.shape[1], image.shape[0], compression, predictor, float(image.mean()), image.tobytes()))
-            yield pa.RecordBatch.from_arrays([doc.take(pa.array(where, pa.int64())), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.binary())))], names=["doc_id", "page", "width", "height", "compression", "predictor", "mean", "samples"])
+                    rows.append((file, len(raw), whole, page, image.shape[1], image.shape[0], compression, predictor, float(image.mean()), image.tobytes()))
+                    held += image.size
+                    if held >= X.BLOCK:
+                        yield out()
+                        rows, where, held = [], [], 0
+                file += 1
+            yield out()
 
-    return media.select("doc_id", "media").mapInArrow(scan, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, page int, width int, height int, compression int, predictor int, mean double, samples binary")
+    fields = ", ".join(f"`{c}` {media.schema[c].dataType.simpleString()}" for c in keep)
+    return media.select(*keep, "media").mapInArrow(scan, f"{fields}, file long, media_bytes long, media_sha256 string, page int, width int, height int, compression int, predictor int, mean double, samples binary")
 
 
 def media_digest(media: DataFrame) -> DataFrame:
-    """Read each stored file back and sum it up; the pages of a file are next to each other, so nothing is exchanged."""
+    """Each stored file read back page by page and summed up; the pages of a file follow each other, so nothing is exchanged."""
+
+    class Sum:
+        def __init__(self, own: tuple):
+            self.own, self.whole, self.tail, self.total, self.pages, self.kinds = own, hashlib.sha256(), b"", 0, 0, set()
+            self.histogram = np.zeros(256, np.int64)
+
+        def add(self, data: bytes, kind: str) -> None:
+            self.whole.update(data)
+            self.tail, self.total, self.pages = (self.tail + data[-64:])[-64:], self.total + len(data), self.pages + 1
+            self.kinds.add(kind)
+            self.histogram += np.bincount(np.frombuffer(data, np.uint8), minlength=256)
+
+        def row(self) -> tuple:
+            doc, n, media_bytes, media_sha256 = self.own
+            share = self.histogram[self.histogram > 0] / max(self.total, 1)
+            feature = {"pages": self.pages, "rows": self.total // WIDTH, "kinds": sorted(self.kinds), "mean": round(float(self.histogram @ np.arange(256)) / max(self.total, 1), 6), "entropy": round(float(-(share * np.log2(share)).sum()), 6) + 0.0}
+            return doc, n, self.total, self.whole.hexdigest(), zlib.crc32(self.tail), media_bytes, media_sha256, json.dumps(feature, sort_keys=True)
+
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def scan(batches):
+        last, current = None, None
         for batch in batches:
-            out = []
-            for m in batch.column(2):
-                raw = m.as_buffer().to_pybytes()
-                whole, tail, total, pages, kinds = hashlib.sha256(), b"", 0, 0, set()
-                histogram = np.zeros(256, np.int64)
-                for _, image, compression, predictor in read_tiff(raw):
-                    data = image.tobytes()
-                    whole.update(data)
-                    tail, total, pages = (tail + data[-64:])[-64:], total + len(data), pages + 1
-                    kinds.add(f"{compression}/{predictor}")
-                    histogram += np.bincount(image.reshape(-1), minlength=256)
-                p = histogram[histogram > 0] / max(total, 1)
-                feature = {"pages": pages, "rows": total // WIDTH, "kinds": sorted(kinds), "mean": round(float(histogram @ np.arange(256)) / max(total, 1), 6), "entropy": round(float(-(p * np.log2(p)).sum()), 6) + 0.0}
-                out.append((total, whole.hexdigest(), zlib.crc32(tail), len(raw), hashlib.sha256(raw).hexdigest(), json.dumps(feature, sort_keys=True)))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in out], t) for k, t in enumerate(kinds))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(scan, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+            rows = []
+            cells = [batch.column(k).to_pylist() for k in range(5)]
+            form = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("compression", "predictor")]
+            pixels = batch.column(batch.schema.get_field_index("samples"))
+            for i, (doc, n, file, size, digest) in enumerate(zip(*cells)):
+                if file != last:
+                    if current is not None:
+                        rows.append(current.row())
+                    last, current = file, Sum((doc, n, size, digest))
+                current.add(pixels[i].as_buffer().to_pybytes(), f"{form[0][i]}/{form[1][i]}")
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+        rows = [current.row()] if current is not None else []
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+
+    return decode_pages(media, ("doc_id", "n_bytes")).mapInArrow(scan, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op9_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:

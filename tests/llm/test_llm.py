@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -313,6 +314,15 @@ def test_tiff(docs, texts):
         assert (got[i].n_bytes, got[i].payload_bytes, got[i].payload_sha256, got[i].tail_crc32) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
     pages = media_tiff.decode_pages(media_tiff.encode_media(docs)).where("doc_id = 12").orderBy("page").collect()
     assert b"".join(bytes(r.samples) for r in pages).rstrip(b"\0") == texts[12].encode()
+    assert {f'{c}/{2 if c == media_tiff.DEFLATE else 1}' for c in media_tiff.CODECS} == {k for r in got.values() for k in json.loads(r.feature)["kinds"]}
+
+
+def test_tiff_of_many_pages(spark, empty):
+    text = "a line of text, repeated. " * 60_000
+    row = media_tiff.media_digest(media_tiff.encode_media(spark.createDataFrame([(1, text), (1, text), (None, None)], "doc_id long, text string").coalesce(1))).collect()
+    payload = text.encode() + b"\0" * (-len(text) % 64)
+    assert [r.payload_sha256 for r in row[:2]] == [hashlib.sha256(payload).hexdigest()] * 2 and json.loads(row[0].feature)["pages"] == 2
+    assert len(row) == 3 and media_tiff.media_digest(media_tiff.encode_media(empty)).count() == 0
 
 
 @pytest.mark.parametrize("size", [0, 1, 300, 70_000])
