@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,14 +13,17 @@ from ..plans.storage import shared_folder
 from . import _text as X
 from ._repeats import fingerprint
 
-#: Labelled documents to learn from, at most: those of smallest hashed id.
-TRAIN_DOCUMENTS = 24_000
-#: Features are a word and its prefixes of so many bytes.
+#: The fit is bounded: labelled documents to learn from (those of smallest hashed id), features that are counted and kept
+#: (those of most toxic documents), and word sequences (of smallest hash).  Scoring has no bound.
+TRAIN_DOCUMENTS, MOST_COUNTED, MOST_FEATURES, SEQUENCES = 24_000, 200_000, 20_000, 40_000
+#: Features are a word and its prefixes of so many bytes, its shape, and whether its neighbours are marked.
 PREFIXES = (3, 4, 5, 6, 7)
-LEAST_TOXIC, LEAST_SHARE, MOST_FEATURES = 5, 0.9, 20_000
+SHAPES = 12
+#: A mark stands in so many toxic documents, and so large a share of all documents that hold it are toxic.
+LEAST_TOXIC, LEAST_SHARE = 3, 0.5
 PRIOR_DOCUMENTS = 3
-#: Words on each side of a marked word in a training sequence; sequences at most; rounds of training.
-CONTEXT, SEQUENCES, ROUNDS = 5, 40_000, 150
+#: Words on each side of a marked word in a training sequence; rounds of training.
+CONTEXT, ROUNDS = 5, 150
 THRESHOLD = 0.7
 WORD_BYTE = np.array([chr(i).isalnum() and i < 128 or i >= 128 for i in range(256)])
 
@@ -83,13 +88,57 @@ def _known(ordered: np.ndarray, f: np.ndarray) -> np.ndarray:
 COUNTS = "feature long, n_toxic long, n_clean long"
 
 
-def marking_features(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+class Marks:
+    """Features that mark toxic documents, sorted, with the documents that hold each: toxic ones and all."""
+
+    def __init__(self, features: np.ndarray, n_toxic: np.ndarray, n_all: np.ndarray, base: float):
+        o = np.argsort(features)
+        self.features, self.n_toxic, self.n_all, self.base = features[o], n_toxic[o], n_all[o], base
+
+    def trust(self, less_toxic: int = 0, less_all: int = 0) -> np.ndarray:
+        """Each mark's share of toxic documents, shrunk to the base rate as if PRIOR_DOCUMENTS more had been seen, without so
+        many documents of its own (0 where the rest wouldn't make it a mark); the last entry is for no mark."""
+        toxic, every = self.n_toxic - less_toxic, self.n_all - less_all
+        out = (toxic + PRIOR_DOCUMENTS * self.base) / (every + PRIOR_DOCUMENTS)
+        return np.append(np.where((toxic >= LEAST_TOXIC) & (toxic >= LEAST_SHARE * every), out, 0.0), 0.0)
+
+    def numbers(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """words x features: numbers of marks (their number: none), then of shapes and of marked neighbours; with the words'
+        starts, ends and rows' offsets."""
+        starts, ends, word_off = _words(data, off)
+        f, none = _features(data, starts, ends), len(self.features)
+        known = _known(self.features, f)
+        marked = known.any(axis=1)
+        out = np.full((len(starts), f.shape[1] + 3), none, np.int32)
+        out[:, :-3][known] = np.searchsorted(self.features, f[known])
+        out[:, -3] = none + 1 + _shapes(data, starts, ends)
+        inner = np.ones(len(starts) + 1, bool)
+        inner[word_off] = False
+        out[1:, -2][marked[:-1] & inner[1:-1]] = none + 1 + SHAPES
+        out[:-1, -1][marked[1:] & inner[1:-1]] = none + 2 + SHAPES
+        return out, starts, ends, word_off
+
+    @property
+    def columns(self) -> int:
+        """Marks, none, shapes and neighbours."""
+        return len(self.features) + 3 + SHAPES
+
+
+def _shapes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Lower case, capitalised, upper case or with digits, of up to three, up to eight or more bytes."""
+    upper = np.concatenate([[0], np.cumsum((data >= 65) & (data <= 90))])
+    digit = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
+    n, capital = ends - starts, upper[ends] - upper[starts]
+    kind = np.select([digit[ends] > digit[starts], 2 * capital > n, capital > 0], [3, 2, 1], 0)
+    return kind * 3 + np.select([n <= 3, n <= 8], [0, 1], 2)
+
+
+def marking_features(train: DataFrame) -> Marks:
     """Features that stand in LEAST_TOXIC toxic documents or more, LEAST_SHARE of all that hold them, and more often than
-    chance alone makes likely; sorted, bounded.  With each its trust: the share of toxic documents, shrunk to the base rate
-    as if PRIOR_DOCUMENTS more had been seen, so that one word of little evidence doesn't decide a text."""
+    chance alone makes likely."""
     total = lambda df: df.groupBy("feature").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean"))
     often = total(train.where("toxic = 1").mapInArrow(_document_counts(None), COUNTS)).where(f"n_toxic >= {LEAST_TOXIC}")
-    often = often.orderBy(F.desc("n_toxic"), "feature").limit(10 * MOST_FEATURES).select("feature")
+    often = often.orderBy(F.desc("n_toxic"), "feature").limit(MOST_COUNTED).select("feature")
     chosen = np.sort(X.U64(1) * often.toArrow()["feature"].to_numpy().view(np.uint64))
     toxic, all_docs = train.agg(F.sum("toxic"), F.count("*")).first()
     base = min(max((toxic or 0) / max(all_docs, 1), 1e-6), 1 - 1e-6)
@@ -97,37 +146,32 @@ def marking_features(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     n, share = F.col("n_toxic") + F.col("n_clean"), F.col("n_toxic") / (F.col("n_toxic") + F.col("n_clean"))
     clean = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0)
     both = both.where(n * (share * F.log(share / base) + clean) > 0.5 * float(np.log(10 * max(len(chosen), 1))))
-    trust = (F.col("n_toxic") + PRIOR_DOCUMENTS * base) / (n + PRIOR_DOCUMENTS)
-    best = both.orderBy(F.desc("n_toxic"), "feature").limit(MOST_FEATURES).select("feature", trust.alias("trust")).toArrow()
-    marks = best["feature"].to_numpy().view(np.uint64)
-    order = np.argsort(marks)
-    return marks[order], best["trust"].to_numpy()[order]
+    best = both.orderBy(F.desc("n_toxic"), "feature").limit(MOST_FEATURES).toArrow()
+    n_toxic = best["n_toxic"].to_numpy()
+    return Marks(best["feature"].to_numpy().view(np.uint64), n_toxic, n_toxic + best["n_clean"].to_numpy(), base)
 
 
-def _sequences(marks: np.ndarray):
-    """Training sequences: the features (numbers among the marks, -1: none) and tags of CONTEXT words around marked or some
-    evenly spaced other words.  A word is tagged toxic if it is marked and its document is."""
+def _sequences(marks: Marks):
+    """Training sequences: the features and tags of CONTEXT words around marked or some evenly spaced other words.  A word is
+    tagged toxic if it is marked and its document is; tag -1 stands beyond a text's ends."""
     wide = 2 * CONTEXT + 1
 
     def scan(batches):
         for batch in batches:
             toxic = X.column_ints(batch, "toxic")
             for lo, hi, data, off in X.blocks(batch, "text"):
-                starts, ends, word_off = _words(data, off)
+                number, starts, _, word_off = marks.numbers(data, off)
                 if not len(starts):
                     continue
-                f = _features(data, starts, ends)
-                known = _known(marks, f)
-                number = np.where(known, np.searchsorted(marks, f), -1).astype(np.int32)
                 row = np.repeat(np.arange(hi - lo), np.diff(word_off))
-                marked = known.any(axis=1)
+                marked = (number[:, :-3] < len(marks.features)).any(axis=1)
                 centre = np.union1d(np.flatnonzero(marked), np.arange(0, len(starts), 200))
                 at = centre[:, None] + np.arange(-CONTEXT, CONTEXT + 1)
                 valid = (at >= word_off[row[centre]][:, None]) & (at < word_off[row[centre] + 1][:, None])
                 at = np.where(valid, at, 0)
                 tags = np.where(valid, marked[at] & (toxic[lo + row[centre]] == 1)[:, None], -1).astype(np.int8)
-                feats = np.where(valid[:, :, None], number[at], -1)
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in feats.reshape(len(centre), wide * f.shape[1])], pa.binary()), pa.array([x.tobytes() for x in tags], pa.binary())], names=["features", "tags"])
+                feats = np.where(valid[:, :, None], number[at], len(marks.features)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in feats.reshape(len(centre), -1)], pa.binary()), pa.array([x.tobytes() for x in tags], pa.binary())], names=["features", "tags"])
 
     return scan
 
@@ -135,9 +179,8 @@ def _sequences(marks: np.ndarray):
 class Crf:
     """Two tags (0 clean, 1 toxic); a word's score for tag 1 is bias plus its features' weights; step[a, b] scores a change of tag."""
 
-    def __init__(self, marks: np.ndarray, weights: np.ndarray, bias: float, step: np.ndarray, trust: np.ndarray | None = None):
-        self.marks, self.weights, self.bias, self.step = marks, weights, bias, step
-        self.trust = np.append(np.ones(len(marks)) if trust is None else trust, 0.0)
+    def __init__(self, marks: Marks, weights: np.ndarray, bias: float, step: np.ndarray, slope: float = 1.0, offset: float = 0.0):
+        self.marks, self.weights, self.bias, self.step, self.slope, self.offset = marks, weights, bias, step, slope, offset
 
     @staticmethod
     def _chains(unary: np.ndarray, valid: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,12 +206,12 @@ class Crf:
         return p, (pair * both[:, :, None, None]).sum(axis=(0, 1))
 
     @classmethod
-    def fit(cls, marks: np.ndarray, features: np.ndarray, tags: np.ndarray) -> Crf:
+    def fit(cls, marks: Marks, features: np.ndarray, tags: np.ndarray) -> Crf:
         """Gradient ascent on the likelihood of tagged sequences, with a little shrinkage."""
-        k, valid = len(marks), tags >= 0
+        k, size, valid = len(marks.features), marks.columns, tags >= 0
         y = (tags == 1).astype(float)
-        weights, bias, step = np.zeros(k + 1), -2.0, np.zeros((2, 2))
-        squares = [np.full(k + 1, 1e-3), 1e-3, np.full((2, 2), 1e-3)]
+        weights, bias, step = np.zeros(size), -2.0, np.zeros((2, 2))
+        squares = [np.full(size, 1e-3), 1e-3, np.full((2, 2), 1e-3)]
         both = valid[:, :-1] & valid[:, 1:]
         seen = np.zeros((2, 2))
         for a in (0, 1):
@@ -179,7 +222,7 @@ class Crf:
             unary = bias + weights[features].sum(axis=2)
             p, pairs = cls._chains(unary, valid, step)
             error = np.where(valid, y - p, 0.0)
-            g = np.bincount(features.reshape(-1), np.repeat(error.reshape(-1), features.shape[2]), minlength=k + 1)[: k + 1]
+            g = np.bincount(features.reshape(-1), np.repeat(error.reshape(-1), features.shape[2]), minlength=size)
             g[k] = 0
             grads = [g / n - 1e-6 * weights, error.sum() / n - 1e-6 * bias, (seen - pairs) / n - 1e-6 * step]
             for i, grad in enumerate(grads):
@@ -187,51 +230,83 @@ class Crf:
             weights, bias, step = (x + 0.5 * grad / np.sqrt(s) for x, grad, s in zip((weights, bias, step), grads, squares))
         return cls(marks, weights, float(bias), step)
 
-    def marginals(self, score: np.ndarray, gap: np.ndarray) -> np.ndarray:
-        """Marginals of tag 1 at the marked words of one text by forward-backward: score of each; gap: words without marks
-        before each and after the last (their equal steps are one matrix power)."""
-        move, plain = np.exp(self.step), np.array([1.0, np.exp(self.bias)])
-        between = move * plain
-        power = lambda g: np.linalg.matrix_power(between / np.abs(np.linalg.eigvals(between)).max(), int(g))
-        n = len(score)
-        forward, backward = np.zeros((n, 2)), np.ones((n, 2))
-        state = plain.copy() if gap[0] else None
-        for i in range(n):
-            if i == 0:
-                come = state @ power(gap[0] - 1) @ move if gap[0] else np.ones(2)
-            else:
-                come = forward[i - 1] @ power(gap[i]) @ move
-            x = come * np.array([1.0, np.exp(min(score[i], 30.0))])
-            forward[i] = x / x.sum()
-        for i in range(n - 1, -1, -1):
-            if i == n - 1:
-                x = power(gap[n]) @ np.ones(2)
-            else:
-                x = power(gap[i + 1]) @ move @ (np.array([1.0, np.exp(min(score[i + 1], 30.0))]) * backward[i + 1])
-            backward[i] = x / x.sum()
-        p = forward * backward
-        return p[:, 1] / p.sum(axis=1)
-
-    def background(self) -> float:
-        """The marginal of a word without marks in a long text without any."""
-        move = np.exp(self.step) * np.array([1.0, np.exp(self.bias)])
-        v = np.linalg.matrix_power(move / np.abs(np.linalg.eigvals(move)).max(), 64)
-        left, right = np.ones(2) @ v, v @ np.ones(2)
-        return float(left[1] * right[1] / (left @ right))
+    def marginals(self, unary: np.ndarray, word_off: np.ndarray) -> np.ndarray:
+        """Marginals of tag 1 at all words of many texts, by forward-backward on the odds of the two tags; unary: each word's
+        score.  Texts step together, the longest first, so that those still running are a slice."""
+        n = np.diff(word_off)
+        order = np.argsort(-n, kind="stable")
+        start, size = word_off[:-1][order], n[order]
+        odds, m = np.exp(np.clip(unary, -30, 30)), np.exp(self.step)
+        running = np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), "right")
+        forward, after = odds.copy(), np.ones(len(unary))
+        for t in range(1, len(running)):
+            at = start[: running[t]] + t
+            f = np.minimum(forward[at - 1], 1e15)
+            forward[at] = odds[at] * (m[0, 1] + m[1, 1] * f) / (m[0, 0] + m[1, 0] * f)
+        for t in range(len(running) - 1, 0, -1):
+            at = start[: running[t]] + t
+            g = np.minimum(odds[at] * after[at], 1e15)
+            after[at - 1] = (m[1, 0] + m[1, 1] * g) / (m[0, 0] + m[0, 1] * g)
+        both = np.minimum(forward, 1e15) * after
+        return both / (1 + both)
+
+    def evidence(self, data: np.ndarray, off: np.ndarray, trust: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+        """Log odds of each row that one of its marked words is toxic, each word's marginal times its mark's trust; then the
+        rows, starts, ends and marginals of the marked words.  trust: (numbers of marks, rows) -> their trust."""
+        number, starts, ends, word_off = self.marks.numbers(data, off)
+        p = self.marginals(self.bias + self.weights[number].sum(axis=1), word_off)
+        hit = np.flatnonzero((number[:, :-3] < len(self.marks.features)).any(axis=1))
+        row = np.searchsorted(word_off, hit, "right") - 1
+        sure = trust(number[hit, :-3], row).max(axis=1, initial=0.0) * p[hit]
+        none = np.bincount(row, np.log1p(-np.minimum(sure, 1 - 1e-9)), len(off) - 1) + np.log1p(-FLOOR)
+        return np.log(np.maximum(-np.expm1(none), 1e-12)) - none, row, starts[hit], ends[hit], p[hit]
+
+    def score(self, odds: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * odds + self.offset, -30, 30)))
+
+
+#: The chance that a text without any mark is toxic, before calibration.
+FLOOR = 0.01
+
+
+def _left_out_odds(crf: Crf):
+    """odds, toxic of labelled texts, where each text's own label is taken out of its marks' trust."""
+
+    def scan(batches):
+        trusts = np.stack([crf.marks.trust(label, 1) for label in (0, 1)])
+        for batch in batches:
+            toxic = X.column_ints(batch, "toxic")
+            for lo, hi, data, off in X.blocks(batch, "text"):
+                odds = crf.evidence(data, off, lambda number, row: trusts[toxic[lo + row][:, None], number])[0]  # noqa: B023
+                yield pa.RecordBatch.from_arrays([pa.array(odds), pa.array(toxic[lo:hi])], names=["odds", "toxic"])
+
+    return scan
+
+
+def calibration(odds: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the logistic regression of toxic on odds, by Newton's method with a little shrinkage to (1, 0)."""
+    w, x = np.array([1.0, 0.0]), np.stack([odds, np.ones(len(odds))], axis=1)
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        gradient = x.T @ (p - toxic) + (w - [1.0, 0.0])
+        w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(2), gradient)
+    return max(float(w[0]), 1e-3), float(w[1])
 
 
 def train_crf(labelled: DataFrame) -> Crf:
-    """labelled: doc_id, text, toxic; learns from at most TRAIN_DOCUMENTS of them and SEQUENCES word sequences."""
-    marks, trust = marking_features(labelled)
+    """labelled: doc_id, text, toxic; at most TRAIN_DOCUMENTS of them.  The last step fits how a text's odds become a score."""
+    marks = marking_features(labelled)
     rows = labelled.mapInArrow(_sequences(marks), "features binary, tags binary")
     rows = rows.orderBy(F.xxhash64("features", "tags")).limit(SEQUENCES).toArrow()
-    wide = 2 * CONTEXT + 1
     if not rows.num_rows:
-        return Crf(marks, np.zeros(len(marks) + 1), -2.0, np.zeros((2, 2)), trust)
-    features = np.frombuffer(b"".join(x.as_py() for x in rows["features"]), np.int32).reshape(-1, wide, 1 + len(PREFIXES))
+        return Crf(marks, np.zeros(marks.columns), -2.0, np.zeros((2, 2)))
+    wide = 2 * CONTEXT + 1
+    features = np.frombuffer(b"".join(x.as_py() for x in rows["features"]), np.int32).reshape(-1, wide, 4 + len(PREFIXES))
     tags = np.frombuffer(b"".join(x.as_py() for x in rows["tags"]), np.int8).reshape(-1, wide)
-    crf = Crf.fit(marks, np.where(features < 0, len(marks), features), tags)
-    return Crf(marks, crf.weights, crf.bias, crf.step, trust)
+    crf = Crf.fit(marks, features, tags)
+    known = labelled.mapInArrow(_left_out_odds(crf), "odds double, toxic long").toArrow()  # one number a labelled document
+    crf.slope, crf.offset = calibration(known["odds"].to_numpy(), known["toxic"].to_numpy())
+    return crf
 
 
 def score_texts(docs: DataFrame, crf) -> DataFrame:
@@ -239,25 +314,16 @@ def score_texts(docs: DataFrame, crf) -> DataFrame:
 
     def scan(batches):
         model: Crf = crf.value
-        floor = min(model.background(), 0.5)
+        trust = model.marks.trust()
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())]))
         for batch in batches:
             for lo, hi, data, off in X.blocks(batch, "text"):
-                starts, ends, word_off = _words(data, off)
-                f = _features(data, starts, ends)
-                known = _known(model.marks, f)
-                hit = np.flatnonzero(known.any(axis=1))
-                number = np.where(known[hit], np.searchsorted(model.marks, f[hit]), len(model.marks))
-                value, trust = model.bias + model.weights[number].sum(axis=1), model.trust[number].max(axis=1, initial=0.0)
-                cut = np.searchsorted(hit, word_off)
-                score, spans = np.full(hi - lo, floor), [[] for _ in range(hi - lo)]
-                for r in np.flatnonzero(np.diff(cut)).tolist():
-                    own = hit[cut[r] : cut[r + 1]]
-                    gap = np.diff(np.concatenate([[word_off[r] - 1], own, [word_off[r + 1]]])) - 1
-                    p = model.marginals(value[cut[r] : cut[r + 1]], gap)
-                    score[r] = 1 - (1 - floor) * float(np.prod(1 - p * trust[cut[r] : cut[r + 1]]))
-                    spans[r] = [{"start": int(a), "end": int(b), "marginal": float(q)} for a, b, q in zip(starts[own] - off[r], ends[own] - off[r], p) if q >= 0.5]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(np.clip(score, 0.0, 1.0)), pa.array(spans, kind)], names=["doc_id", "score", "spans"])
+                odds, row, starts, ends, p = model.evidence(data, off, lambda number, _: trust[number])
+                spans: list[list] = [[] for _ in range(hi - lo)]
+                for r, a, b, q in zip(row.tolist(), (starts - off[row]).tolist(), (ends - off[row]).tolist(), p.tolist()):
+                    if q >= 0.5:
+                        spans[r].append({"start": a, "end": b, "marginal": q})
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(model.score(odds)), pa.array(spans, kind)], names=["doc_id", "score", "spans"])
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, spans array<struct<start:long,end:long,marginal:double>>")
 
@@ -265,11 +331,12 @@ def score_texts(docs: DataFrame, crf) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Score every whole text; labels: doc_id and toxic (1 or 0), to learn from.
 
-    Words that mark toxic documents are tagged in the labelled texts, a linear-chain field is fitted to those tags, and its
-    forward-backward marginals, each times its word's trust, give each text's score (one less the chance that no word is toxic) and its offending words.
+    Words that mark toxic documents are tagged in the labelled texts, and a linear-chain field over all words is fitted to those
+    tags by their prefixes, shapes and neighbours.  Its forward-backward marginals, each times its mark's trust, give the odds
+    that a text has a toxic word; how odds become scores is fitted to the labelled texts, each judged without its own label.
 
-    Returns doc_id, score, spans (byte offsets), one row per input row.  A null or empty text has the score of a word without
-    marks.  Null ids or labels take no part in learning; with no labels every score is that floor.  Repeated rows score
+    Returns doc_id, score, spans (byte offsets), one row per input row.  A null or empty text has the score of one without
+    marks.  Null ids or labels take no part in learning; with no labels every score is that one.  Repeated rows score
     alike; other columns are ignored.
     """
     spark = docs.sparkSession

@@ -280,13 +280,12 @@ def test_quality_on_labels(spark):
 
 
 def test_toxicity_held_out(spark):
-    # sf0.1 has some 300 toxic documents to learn from, so words seen in a few of them stay below the threshold.
-    # Measured: 108 of 144 toxic found, 1 of 1200 clean marked; on the check tables 718 of 718 and 1 of 6230.
+    # Measured: 128 of 144 toxic found, 1 of 1200 clean marked.
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     got = toxicity_crf.op8_toxicity_crf(spark, sf).where("held_out").join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()
     n = {(r.toxic, r.predicted): r["count"] for r in got}
-    assert n.get((1, 1), 0) >= 0.7 * (n.get((1, 1), 0) + n.get((1, 0), 0)) and n.get((0, 1), 0) <= 0.03 * (n.get((0, 1), 0) + n.get((0, 0), 0))
+    assert n.get((1, 1), 0) >= 0.85 * (n.get((1, 1), 0) + n.get((1, 0), 0)) and n.get((0, 1), 0) <= 0.01 * (n.get((0, 1), 0) + n.get((0, 0), 0))
 
 
 def test_toxicity_edges(docs, spark):
@@ -295,15 +294,18 @@ def test_toxicity_edges(docs, spark):
 
 
 def test_crf_marginals_equal_enumeration():
-    crf = toxicity_crf.Crf(np.zeros(0, np.uint64), np.zeros(1), -1.0, np.array([[0.3, -0.2], [-0.5, 0.7]]))
-    unary = np.array([-1.0, 2.0, -1.0, -1.0, 1.5, -1.0])
-    total, hit = 0.0, np.zeros(6)
-    for k in range(64):
-        tags = [(k >> i) & 1 for i in range(6)]
-        w = np.exp(sum(u for u, t in zip(unary, tags) if t) + sum(crf.step[a, b] for a, b in zip(tags, tags[1:])))
-        total += w
-        hit += w * np.array(tags)
-    assert np.allclose(crf.marginals(np.array([2.0, 1.5]), np.array([1, 2, 1])), (hit / total)[[1, 4]])
+    marks = toxicity_crf.Marks(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), 0.1)
+    crf = toxicity_crf.Crf(marks, np.zeros(marks.columns), -1.0, np.array([[0.3, -0.2], [-0.5, 0.7]]))
+    unary, off, expected = np.array([0.4, -1.0, 2.0, -1.0, -1.0, 1.5, -1.0, 0.2, -0.3]), np.array([0, 1, 1, 7, 9]), []
+    for lo, hi in zip(off[:-1], off[1:]):
+        total, hit, n = 0.0, np.zeros(hi - lo), int(hi - lo)
+        for k in range(1 << n):
+            tags = [(k >> i) & 1 for i in range(n)]
+            w = np.exp(sum(u for u, t in zip(unary[lo:hi], tags) if t) + sum(crf.step[a, b] for a, b in zip(tags, tags[1:])))
+            total += w
+            hit += w * np.array(tags)
+        expected += (hit / total).tolist()
+    assert np.allclose(crf.marginals(unary, off), expected)
 
 
 def test_tiff(docs, texts):
