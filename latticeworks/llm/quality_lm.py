@@ -168,18 +168,21 @@ class Lookup:
 
 
 def _sent_scores(texts: DataFrame, model: DataFrame) -> DataFrame:
-    """h1, h2, n_symbols, bits of each text, with the model sent to it."""
+    """texts without text, with n_symbols and bits; the model is sent to them, so nothing is exchanged."""
     t = model.toArrow()
     lookup = texts.sparkSession.sparkContext.broadcast(Lookup(t["gram"].to_pylist(), t["bits"].to_numpy(), t["below"].to_numpy()))
+    keep = [c for c in texts.columns if c != "text"]
 
     def scan(batches):
         for batch in batches:
             for lo, hi, data, off in X.blocks(batch, "text", X.BLOCK // 4):
                 sym, place, at = _symbols(data, off)
-                total = np.concatenate([[0.0], np.cumsum(lookup.value.symbol_bits(sym, place))])
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(np.diff(at).astype(np.int64)), pa.array(total[at[1:]] - total[at[:-1]])], names=["h1", "h2", "n_symbols", "bits"])
+                total, n = np.concatenate([[0.0], np.cumsum(lookup.value.symbol_bits(sym, place))]), np.diff(at)
+                kept = [batch.column(batch.schema.get_field_index(c))[lo:hi] for c in keep]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(n.astype(np.int64), mask=n == 0), pa.array(total[at[1:]] - total[at[:-1]], mask=n == 0)], names=[*keep, "n_symbols", "bits"])
 
-    return texts.select("h1", "h2", "text").mapInArrow(scan, "h1 long, h2 long, n_symbols long, bits double")
+    fields = ", ".join(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in keep)
+    return texts.mapInArrow(scan, f"{fields}, n_symbols long, bits double")
 
 
 def _text_grams(batches):
@@ -221,13 +224,11 @@ def _joined_scores(texts: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def bits_of_texts(texts: DataFrame, model: DataFrame, send: int = SEND_GRAMS) -> DataFrame:
-    """texts (any rows with text) with n_symbols and bits, null without text; equal texts have equal bits."""
-    hashes = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("again"), "text").alias("h2")]
-    own = texts.select("text", *hashes).where("text <> ''")
+    """texts without text, with n_symbols and bits, null without text; equal texts have equal bits."""
     if model.count() <= send:
-        scored = _sent_scores(own, model).groupBy("h1", "h2").agg(F.first("n_symbols").alias("n_symbols"), F.first("bits").alias("bits"))
-    else:
-        scored = _joined_scores(own.dropDuplicates(["h1", "h2"]), model)
+        return _sent_scores(texts, model)
+    hashes = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("again"), "text").alias("h2")]
+    scored = _joined_scores(texts.select("text", *hashes).where("text <> ''").dropDuplicates(["h1", "h2"]), model)
     return texts.select("*", *hashes).join(scored, ["h1", "h2"], "left").drop("h1", "h2", "text")
 
 
