@@ -28,7 +28,7 @@ HUB_ROUNDS, PAIRS_A_ROW = 2, 100
 #: Bits of the parity bitmap that open pairs are judged by as they are joined, in words of 64.
 PARITY_WORDS = 8
 #: Pairs of one hub that are compared in one group; the hub's row is copied to each of its groups.
-GROUP_PAIRS = 2_000
+GROUP_PAIRS = 256
 #: Up to so many document ids are sent to the texts; beyond, the texts are exchanged.
 SEND_IDS = 200_000
 
@@ -109,20 +109,8 @@ def _parities(gram: np.ndarray, off: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * PARITY_WORDS), pa.array(packed))
 
 
-def _other_prefixes(gram: np.ndarray, off: np.ndarray) -> list[bytes]:
-    """The first tokens of each set under each of OTHER_ORDERS, one order after another, as sorted 32-bit values."""
-    n = np.diff(off)
-    size, row, parts = _prefix_size(n), np.repeat(np.arange(len(n)), n), []
-    for order in OTHER_ORDERS:
-        place = X.mix(gram ^ np.uint64(order))
-        place = place[np.lexsort((place, row))]
-        parts.append((place[np.repeat(off[:-1], size) + X.ranges(size)] >> np.uint64(32)).astype(np.uint32))
-    at = np.concatenate([[0], np.cumsum(size)])
-    return [b"".join(x[a:b].tobytes() for x in parts) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-
-
 def _profile(batches):
-    """doc_id, two fingerprints of the set, its size, its two bitmaps and its prefixes under the other orders."""
+    """doc_id, two fingerprints of the set, its size and its two bitmaps."""
     for batch in batches:
         docs = X.column_ints(batch, "doc_id")
         for lo, hi, data, off in X.blocks(batch, "text"):
@@ -130,7 +118,7 @@ def _profile(batches):
             n = np.diff(set_off)
             sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(X.mix(gram ^ np.uint64(s)))]) for s in (0x1234567, 0x7654321 << 8)]
             keys = [X.i64(s[set_off[1:]] - s[set_off[:-1]]) for s in sums]
-            yield pa.RecordBatch.from_arrays([pa.array(docs[lo:hi]), *map(pa.array, keys), pa.array(n.astype(np.int32)), pa.array(_bitmaps(gram, set_off), pa.binary()), _parities(gram, set_off), pa.array(_other_prefixes(gram, set_off), pa.binary())], names=["doc_id", "k1", "k2", "n", "bitmap", "parity", "prefixes"])
+            yield pa.RecordBatch.from_arrays([pa.array(docs[lo:hi]), *map(pa.array, keys), pa.array(n.astype(np.int32)), pa.array(_bitmaps(gram, set_off), pa.binary()), _parities(gram, set_off)], names=["doc_id", "k1", "k2", "n", "bitmap", "parity"])
 
 
 def _prefixes(classes) -> Callable:
@@ -223,35 +211,28 @@ def _set_rows(batches):
                 yield pa.RecordBatch.from_arrays([pa.array([g["hub"] for g in groups[i]], pa.int64()), pa.array([g["part"] for g in groups[i]], pa.int64()), pa.array([int(docs[i])] * k, pa.int64()), pa.array([s] * k, pa.binary())], names=["hub", "part", "doc_id", "tokens"])
 
 
-def _against_hub(column: str, linked: Callable[[bytes, bytes], bool]) -> Callable:
-    """(hub, doc_id) of the rows that are linked with their hub, whose row comes first in each group."""
+def _first_under(order: int, s: np.ndarray) -> np.ndarray:
+    return np.sort(X.mix(s ^ np.uint64(order)))[: int(_prefix_size(np.array([len(s)]))[0])]
 
-    def scan(batches):
-        hub, own = None, b""
-        for batch in batches:
-            h, d = X.column_ints(batch, "hub"), X.column_ints(batch, "doc_id")
-            links = []
-            for i, value in enumerate(batch.column(batch.schema.get_field_index(column))):
-                if h[i] == d[i]:
-                    hub, own = h[i], value.as_buffer().to_pybytes()
-                elif hub == h[i] and linked(own, value.as_buffer().to_pybytes()):
-                    links.append((h[i], d[i]))
-            x = np.array(links, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["hub", "doc_id"])
-
-    return scan
 
-
-def _share_prefixes(one: bytes, two: bytes) -> bool:
-    """Whether two sets share a token of both prefixes under each of the other orders."""
-    a, b = (np.frombuffer(x, np.uint32).reshape(len(OTHER_ORDERS), -1) for x in (one, two))
-    return all(len(np.intersect1d(x, y)) for x, y in zip(a, b))
-
-
-def _similar(one: bytes, two: bytes) -> bool:
-    a, b = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * common >= PERCENT * (len(a) + len(b) - common)
+def _verify(batches):
+    """Links between the hub, whose row comes first in each group, and its documents."""
+    hub, own, own_prefixes = None, None, None
+    for batch in batches:
+        h, d = X.column_ints(batch, "hub"), X.column_ints(batch, "doc_id")
+        links = []
+        for i, tokens in enumerate(batch.column(batch.schema.get_field_index("tokens"))):
+            s = np.frombuffer(tokens.as_buffer().to_pybytes(), np.uint64)
+            if h[i] == d[i]:
+                hub, own, own_prefixes = h[i], s, [_first_under(o, s) for o in OTHER_ORDERS]
+                continue
+            if hub != h[i] or not all(len(np.intersect1d(p, _first_under(o, s), assume_unique=True)) for o, p in zip(OTHER_ORDERS, own_prefixes)):
+                continue
+            common = len(np.intersect1d(own, s, assume_unique=True))
+            if 100 * common >= PERCENT * (len(own) + len(s) - common):
+                links.append((h[i], d[i]))
+        x = np.array(links, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
 
 
 def _groups(pairs: DataFrame) -> DataFrame:
@@ -266,22 +247,17 @@ def _groups(pairs: DataFrame) -> DataFrame:
     return ends.union(ends.select(F.col("hub").alias("doc_id"), "hub", "part").distinct())
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
-    return rows.repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("hub") != F.col("doc_id"))
-
-
 def _links(pairs: DataFrame, profile: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of candidate pairs (a, b), those that link: by bitmap, then by prefixes under the other orders, then by the sets."""
+    """Of candidate pairs (a, b), those that link: by bitmap, then by the other orders and the sets themselves."""
     one = profile.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ma"))
     two = profile.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("mb"))
     left = pairs.join(one, "a").join(two, "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b", "na", "nb", "ma", "mb")
     left = left.mapInArrow(_bound, "a long, b long").checkpoint()
-    sent = F.broadcast if left.count() <= SEND_IDS else lambda df: df
-    met = _grouped(profile.select("doc_id", "prefixes").join(sent(_groups(left)), "doc_id")).mapInArrow(_against_hub("prefixes", _share_prefixes), "hub long, doc_id long")
-    left = met.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).checkpoint()
     groups = _groups(left).groupBy("doc_id").agg(F.collect_list(F.struct("hub", "part")).alias("groups"))
-    rows = _grouped(texts.join(sent(groups), "doc_id").mapInArrow(_set_rows, "hub long, part long, doc_id long, tokens binary"))
-    return rows.mapInArrow(_against_hub("tokens", _similar), "hub long, doc_id long").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).checkpoint()
+    small = left.count() <= SEND_IDS
+    rows = texts.join(F.broadcast(groups) if small else groups, "doc_id").mapInArrow(_set_rows, "hub long, part long, doc_id long, tokens binary")
+    rows = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("hub") != F.col("doc_id"))
+    return rows.mapInArrow(_verify, "a long, b long").checkpoint()
 
 
 def _early() -> Column:
@@ -330,7 +306,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     texts = given.where("doc_id IS NOT NULL")
     spark = docs.sparkSession
     classes = spark.sparkContext.broadcast(frequency_classes(texts))
-    profile = texts.mapInArrow(_profile, "doc_id long, k1 long, k2 long, n int, bitmap binary, parity array<long>, prefixes binary").checkpoint()
+    profile = texts.mapInArrow(_profile, "doc_id long, k1 long, k2 long, n int, bitmap binary, parity array<long>").checkpoint()
     same = profile.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
     firsts = texts.mapInArrow(_prefixes(classes), "k1 long, k2 long, prefix binary").groupBy("k1", "k2").agg(F.first("prefix").alias("prefix"))
     reps = firsts.join(same, ["k1", "k2"]).select(F.col("rep").alias("doc_id"), F.col("n").cast("long").alias("n"), "prefix")
