@@ -1,6 +1,6 @@
 """Vectorised helpers over the bytes of whole texts, used inside Spark tasks.
 
-An Arrow batch of texts is walked in blocks of about two megabytes, so a task's memory follows the longest text and not
+An Arrow batch of texts is walked in blocks of about a megabyte, so a task's memory follows the longest text and not
 the batch.  Nothing here knows about Spark.
 """
 
@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 #: White space between words: the space and the bytes 9 to 13.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -95,28 +95,29 @@ class Fingerprint:
     """Fingerprints of any slice of a symbol sequence by one pass of prefix sums.
 
     Two sums of symbol values times powers of a base, modulo the prime 2**31 - 1, each divided by the power at the slice's
-    start; values and bases of the two are drawn apart.  Two different slices of n symbols agree for at most a share of
+    start; values and bases of the two were drawn apart.  Two different slices of n symbols agree for at most a share of
     (n / 2**31)**2 of all bases, whatever the slices are; a modulus of 2**64 has no such bound (Thue-Morse sequences).
     """
 
+    #: Both bases with their inverses, and their powers, which all fingerprints of a process share.
+    bases = [(b, pow(b, -1, int(PRIME))) for b in (1_462_731_659, 1_903_528_171)]
+    powers = [(np.ones(1, np.uint32), np.ones(1, np.uint32))] * 2
+
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
         self.tables = [rng.choice(int(PRIME) - 1, 256, replace=False).astype(U64) + U64(1) for _ in range(2)]
-        bases = [int(rng.integers(1 << 29, int(PRIME) - 1)) for _ in range(2)]
-        self.bases = [(b, pow(b, -1, int(PRIME))) for b in bases]
-        self.powers: list[tuple[np.ndarray, np.ndarray]] = [(np.ones(1, U64), np.ones(1, U64))] * 2
 
     @staticmethod
     def _powers(base: int, n: int) -> np.ndarray:
-        out = np.ones(1, U64)
+        out = np.ones(1, np.uint32)
         while len(out) < n:
-            out = np.concatenate([out, _residue(out * U64(pow(base, len(out), int(PRIME))))])
+            out = np.concatenate([out, _residue(out * U64(pow(base, len(out), int(PRIME)))).astype(np.uint32)])
         return out
 
-    def grow(self, n: int) -> None:
-        if len(self.powers[0][0]) < n:
-            n = max(n, 1 << 16)
-            self.powers = [(self._powers(up, n), self._powers(down, n)) for up, down in self.bases]
+    @classmethod
+    def grow(cls, n: int) -> None:
+        if len(cls.powers[0][0]) < n:
+            cls.powers = [(cls._powers(up, max(n, 1 << 16)), cls._powers(down, max(n, 1 << 16))) for up, down in cls.bases]
 
     def prefix(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The two prefix sums of bytes (uint8) or of 64-bit symbols (fingerprints)."""
