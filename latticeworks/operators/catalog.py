@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .profile import row_numbers
+
 
 def recipe_bom(recipes: DataFrame) -> DataFrame:
     return recipes.where("item IS NOT NULL").groupBy("ordinal", "output", "item").agg(F.count("*").alias("n"))
@@ -37,8 +39,8 @@ def match_shapeless(slots: DataFrame, recipes: DataFrame) -> DataFrame:
 
 
 def assign_ids(names: DataFrame, ordinal: str = "ordinal") -> DataFrame:
-    """Dense ids from 1 in the order given; a registry is a short list."""
-    return names.withColumn("id", F.row_number().over(Window.orderBy(ordinal)))
+    """Dense ids from 1 in the order given."""
+    return row_numbers(names, ordinal, "id")
 
 
 def search_registry(registry: DataFrame, pattern: str) -> DataFrame:

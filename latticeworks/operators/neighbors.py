@@ -27,6 +27,14 @@ def neighbor_mask(voxels: DataFrame, offsets: list[Offset]) -> DataFrame:
     return bits.where(F.col("mask").bitwiseAND(own) != 0).withColumn("mask", F.col("mask").bitwiseAND(own - 1))
 
 
+def masked(asking: DataFrame, voxels: DataFrame, offsets: list[Offset]) -> DataFrame:
+    """asking (distinct cells of few voxels) with ``mask`` as in ``neighbor_mask``: only their own neighbour cells are joined."""
+    asked = asking.select("x", "y", "z", F.explode(F.array(*(F.struct(*((F.col(c) + d).alias(f"n{c}") for c, d in zip("xyz", o)), F.lit(1 << i).alias("bit")) for i, o in enumerate(offsets)))).alias("q")).select("x", "y", "z", "q.*")
+    there = voxels.select(*(F.col(c).alias(f"n{c}") for c in "xyz"))
+    bits = asked.join(there, ["nx", "ny", "nz"], "left_semi").groupBy("x", "y", "z").agg(F.bit_or("bit").alias("mask"))
+    return asking.join(bits, ["x", "y", "z"], "left").withColumn("mask", F.coalesce("mask", F.lit(0)))
+
+
 def _bit(i: int) -> Column:
     return F.col("mask").bitwiseAND(1 << i) != 0
 
@@ -39,20 +47,24 @@ def orient_stairs(voxels: DataFrame) -> DataFrame:
     """
     sides: list[tuple[str, int, int]] = [("east", 1, 0), ("west", -1, 0), ("north", 0, 1), ("south", 0, -1)]
     offsets: list[Offset] = [(0, 0, 1), *((dx, dy, 1) for _, dx, dy in sides), *((-dx, -dy, 0) for _, dx, dy in sides)]
-    mask = neighbor_mask(voxels, offsets)
+    cube = F.col("block").eqNullSafe(dims.STAIR_CUBE)
+    mask = masked(voxels.where(cube).select("x", "y", "z").distinct(), voxels, offsets)
     rises = sum(_bit(1 + i).cast("int") for i in range(4))
     facing = F.coalesce(*(F.when(_bit(1 + i) & ~_bit(5 + i), name) for i, (name, _, _) in enumerate(sides)), *(F.when(_bit(1 + i), name) for i, (name, _, _) in enumerate(sides)))
     turned = mask.where(~_bit(0) & rises.isin(1, 2)).select("x", "y", "z", facing.alias("facing"))
     shaped = S.format_block_state(F.lit(dims.STAIR_SHAPED), facing="facing", half=F.lit("bottom"), shape=F.lit("straight"))
-    out = voxels.join(turned, ["x", "y", "z"], "left")
-    return out.withColumn("block", F.when((F.col("block") == dims.STAIR_CUBE) & F.col("facing").isNotNull(), shaped).otherwise(F.col("block"))).drop("facing")
+    out = voxels.where(cube).join(turned, ["x", "y", "z"], "left")
+    out = out.withColumn("block", F.when(F.col("facing").isNotNull(), shaped).otherwise(F.col("block"))).drop("facing")
+    return voxels.where(~cube).unionByName(out)
 
 
 def thin_floor_slabs(voxels: DataFrame) -> DataFrame:
     """Floor cubes with nothing above and below become slabs (z is up)."""
-    alone = neighbor_mask(voxels, [(0, 0, 1), (0, 0, -1)]).where("mask = 0").select("x", "y", "z", F.lit(True).alias("alone"))
-    out = voxels.join(alone, ["x", "y", "z"], "left")
-    return out.withColumn("block", F.when((F.col("block") == dims.FLOOR_CUBE) & F.col("alone"), dims.SLAB_SHAPED).otherwise(F.col("block"))).drop("alone")
+    cube = F.col("block").eqNullSafe(dims.FLOOR_CUBE)
+    alone = masked(voxels.where(cube).select("x", "y", "z").distinct(), voxels, [(0, 0, 1), (0, 0, -1)]).where("mask = 0").select("x", "y", "z", F.lit(True).alias("alone"))
+    out = voxels.where(cube).join(alone, ["x", "y", "z"], "left")
+    out = out.withColumn("block", F.when(F.col("alone"), dims.SLAB_SHAPED).otherwise(F.col("block"))).drop("alone")
+    return voxels.where(~cube).unionByName(out)
 
 
 def box_cells(boxes: DataFrame, limits: DataFrame | None = None) -> DataFrame:
@@ -97,7 +109,7 @@ def visible_faces(voxels: DataFrame, transparent: DataFrame, loaded_cells: DataF
     loaded = F.lit(True)
     if loaded_cells is not None:
         cells = loaded_cells.select("cx", "cy", "cz").distinct().withColumn("loaded", F.lit(True))
-        seen = seen.withColumns({f"c{c}": S.cell_of(f"n{c}") for c in "xyz"}).join(F.broadcast(cells), ["cx", "cy", "cz"], "left")
+        seen = seen.withColumns({f"c{c}": S.cell_of(f"n{c}") for c in "xyz"}).join(cells, ["cx", "cy", "cz"], "left")
         loaded = F.coalesce("loaded", F.lit(False))
     beside = F.col("nv").isNull()
     shows = F.when(beside, ~F.col("clear") | loaded).otherwise(F.col("nclear") & (F.col("nv") != F.col("v")))

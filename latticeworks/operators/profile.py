@@ -16,19 +16,21 @@ def top_types(counts: DataFrame, k: int = 40) -> DataFrame:
     return counts.orderBy(F.desc("n"), "ifc_type").limit(k)
 
 
+def row_numbers(df: DataFrame, order: str, name: str) -> DataFrame:
+    """df and each row's number by order, from 1.  The rows are sorted by ranges, and the ranges' counts (one row a partition)
+    are summed, so no single task sorts all rows."""
+    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
+    local = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = local.groupBy("_part").agg(F.count("*").alias("_size")).withColumn("_base", F.coalesce(F.sum("_size").over(before), F.lit(0))).select("_part", "_base")
+    return local.join(F.broadcast(base), "_part").withColumn(name, F.col("_rn") + F.col("_base")).drop("_part", "_rn", "_base")
+
+
 def systematic_sample(df: DataFrame, order: str, max_samples: int = 40) -> DataFrame:
-    """Every step-th row by order, step = max(1, n // (4 * max)), those with geometry, the first max; a sampling operator.
-
-    The positions come from counts of ranges of the order column, so no single task sorts all rows.
-    """
-    n = df.count()
-    step = max(1, n // (4 * max_samples))
-    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("part", F.spark_partition_id())
-    local = ranged.withColumn("rn", F.row_number().over(Window.partitionBy("part").orderBy(order)))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    base = local.groupBy("part").agg(F.count("*").alias("size")).withColumn("base", F.coalesce(F.sum("size").over(before), F.lit(0))).select("part", "base")
-    numbered = local.join(F.broadcast(base), "part").where((F.col("rn") + F.col("base") - 1) % step == 0)
-    return numbered.where("has_representation").drop("rn", "part", "base").orderBy(order).limit(max_samples)
+    """Every step-th row by order, step = max(1, n // (4 * max)), those with geometry, the first max; a sampling operator."""
+    step = max(1, df.count() // (4 * max_samples))
+    chosen = row_numbers(df, order, "_number").where((F.col("_number") - 1) % step == 0)
+    return chosen.where("has_representation").drop("_number").orderBy(order).limit(max_samples)
 
 
 def geometry_scale(sample: DataFrame, value: str) -> DataFrame:

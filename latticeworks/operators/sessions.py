@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,17 +43,34 @@ def recent_n(messages: DataFrame, key: str, order: str, n: int = 100) -> DataFra
 def throttle(df: DataFrame, key: str, ts: str, min_gap: float, inclusive: bool = False) -> DataFrame:
     """Events (key, t as a number) accepted: more than min_gap (or as much, if inclusive) after the last accepted of the key.
 
-    The choice depends on accepted events only, so a key's sorted times are folded; one key's times are one array.
+    The choice depends on accepted events only.  Rows are sorted by key and time, and a task carries the last accepted time, so
+    its memory doesn't follow a key's events.
     """
-    start = F.expr("named_struct('last', cast(null as double), 'out', cast(array() as array<double>))")
-
-    def step(acc, t):
-        gap = t - acc["last"]
-        ok = acc["last"].isNull() | ((gap >= min_gap) if inclusive else (gap > min_gap))
-        return F.when(ok, F.struct(t.alias("last"), F.concat(acc["out"], F.array(t)).alias("out"))).otherwise(acc)
-
-    times = df.select(key, F.col(ts).cast("double").alias("t")).groupBy(key).agg(F.array_sort(F.collect_list("t")).alias("times"))
-    return times.select(key, F.explode(F.aggregate("times", start, step, lambda acc: acc["out"])).alias("t"))
+    rows = df.select(key, F.col(ts).cast("double").alias("t")).where(F.col("t").isNotNull())
+
+    def accept(batches):
+        known, last = None, -np.inf
+        for pdf in batches:
+            chosen = []
+            codes, keys = pd.factorize(pdf[key], use_na_sentinel=False)
+            times = pdf["t"].to_numpy()
+            cuts = np.flatnonzero(np.diff(codes)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(times)]):
+                if lo == hi:
+                    continue
+                name = keys[codes[lo]]
+                if known is None or known[0] != name:
+                    last = -np.inf
+                known = (name,)
+                while True:
+                    i = lo + int(np.searchsorted(times[lo:hi], last + min_gap, "left" if inclusive else "right"))
+                    if i >= hi:
+                        break
+                    chosen.append(i)
+                    last, lo = times[i], i + (not inclusive or min_gap <= 0)
+            yield pdf.iloc[chosen]
+
+    return rows.repartition(key).sortWithinPartitions(key, "t").mapInPandas(accept, rows.schema)
 
 
 def expire_ttl(entities: DataFrame, now, ttl_dim: DataFrame) -> DataFrame:

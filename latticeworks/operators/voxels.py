@@ -201,3 +201,13 @@ def reindex_faces(meshes: DataFrame, faces: DataFrame) -> DataFrame:
     w = Window.partitionBy("cls").orderBy("mesh_id").rowsBetween(Window.unboundedPreceding, -1)
     base = meshes.select("mesh_id", "cls", F.coalesce(F.sum("n_vertices").over(w), F.lit(0)).alias("base"))
     return faces.join(base, "mesh_id").select("cls", "mesh_id", "face_no", *((F.col(c) + F.col("base")).alias(c) for c in "ijk"))
+
+
+def palette_colours(blocks: DataFrame, palette: DataFrame) -> DataFrame:
+    """blocks with is_glass (the name is in the glass palette) and r, g, b (of either palette, else the default colour).
+
+    palette: block, glass, pr, pg, pb, some dozen rows; a name with a state is in no palette.
+    """
+    of = palette.groupBy("block").agg(F.bool_or("glass").alias("is_glass"), *(F.min_by(f"p{c}", "glass").alias(c) for c in "rgb"))
+    out = blocks.join(F.broadcast(of), "block", "left").withColumn("is_glass", F.coalesce("is_glass", F.lit(False)))
+    return out.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in zip("rgb", dims.DEFAULT_STYLE[1:4])})

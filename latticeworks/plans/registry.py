@@ -110,28 +110,13 @@ query("nearest_palette", f"""WITH pts AS (SELECT 0 AS kind, color_id, '' AS bloc
   UNION ALL SELECT 1, 0, block, glass, ordinal, pr, pg, pb FROM palette_dim), {LAB},
 k AS (SELECT c.color_id, p.block, row_number() OVER (PARTITION BY c.color_id ORDER BY round(pow(c.l-p.l,2)+pow(c.a2-p.a2,2)+pow(c.b2-p.b2,2), 6), p.ordinal) AS rn FROM lab c JOIN lab p ON c.kind = 0 AND p.kind = 1 AND c.glass = p.glass)
 SELECT color_id, block FROM k WHERE rn = 1""")(lambda v: V.nearest_palette(v("colors"), v("palette_dim")).select("color_id", "block"))
+query("palette_colours", "SELECT b.*, coalesce(glass, false) AS is_glass, coalesce(pr, 190) AS r, coalesce(pg, 120) AS g, coalesce(pb, 120) AS b FROM blocks b LEFT JOIN palette_dim p ON p.block = b.block")(lambda v: V.palette_colours(blocks(v), v("palette_dim")))
 query("chunk_counts", "SELECT x >> 4 AS cx, z >> 4 AS cz, x >> 9 AS rx, z >> 9 AS rz, count(*) AS n FROM blocks GROUP BY ALL")(lambda v: V.chunk_counts(blocks(v)))
 query("footprint", "SELECT CAST(floor((max(x)+1)*0.5+0.5) AS BIGINT) AS size_x, CAST(floor((max(y)+1)*0.5+0.5) AS BIGINT) AS size_y, CAST(floor((max(z)+1)*0.5+0.5) AS BIGINT) AS size_z, count(*) AS total FROM blocks")(lambda v: V.footprint(blocks(v), 0.5))
 query("column_top", "SELECT x, z, max(y) AS top FROM blocks WHERE y BETWEEN 1 AND 6 GROUP BY x, z")(lambda v: V.column_top(blocks(v), 6))
 query("group_offsets", "SELECT block, n, CAST(coalesce(sum(n) OVER (ORDER BY n DESC, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM (SELECT block, count(*) AS n FROM voxels GROUP BY block)")(lambda v: V.group_offsets(V.block_counts(voxels(v))))
 
 
-def _triangles(v: View) -> DataFrame:
-    """Two triangles of each element's base."""
-    e = V.classify(v("elements").where("NOT has_representation"), v("class_dim"))
-    corner = lambda *p: [F.col(f"{c}0") + (F.col(f"d{c}") if k else 0) for c, k in zip("xyz", p)]
-    out = []
-    for face, pts in enumerate(((corner(0, 0, 0), corner(1, 0, 0), corner(0, 1, 0)), (corner(1, 1, 0), corner(0, 1, 0), corner(1, 0, 0)))):
-        out.append(e.select("element_id", F.lit(face).alias("face_no"), "cls", *(x.cast("double").alias(f"{p}{c}") for p, q in zip("abc", pts) for c, x in zip("xyz", q))))
-    return V.concat_meshes(*out)
-
-
-query("voxelize_surface", """WITH e AS (SELECT e.*, coalesce(c.cls, 'other') AS cls FROM elements e LEFT JOIN class_dim c ON c.ifc_type = e.ifc_type WHERE NOT has_representation),
-t AS (SELECT cls, x0 AS ax, y0 AS ay, dx AS ux, 0 AS uy, 0 AS vx, dy AS vy, z0, dx, dy FROM e UNION ALL SELECT cls, x0+dx, y0+dy, -dx, 0, 0, -dy, z0, dx, dy FROM e),
-n AS (SELECT *, CAST(pow(2, least(12, greatest(0, ceil(log2(sqrt(dx*dx+dy*dy)*2/4.0))))) AS INT) AS n FROM t),
-i AS (SELECT *, unnest(range(n+1)) AS i FROM n), j AS (SELECT *, unnest(range(n-i+1)) AS j FROM i)
-SELECT DISTINCT cls, CAST(greatest(0, round_even((ax + i/n*ux + j/n*vx)/4.0, 0)) AS INT) AS x, CAST(greatest(0, round_even((ay + i/n*uy + j/n*vy)/4.0, 0)) AS INT) AS y, CAST(greatest(0, round_even(z0/4.0, 0)) AS INT) AS z FROM j""")(lambda v: V.voxelize_surface(_triangles(v), 4.0, (0.0, 0.0, 0.0)))
-# The query above keeps the cut of its SQL; this one takes all twelve triangles of every element with geometry.
 SIDES = [("z", "x", "y"), ("x", "y", "z"), ("y", "z", "x")]  # the axis across, and the two along
 
 
@@ -144,7 +129,7 @@ def _box_triangles(v: View) -> DataFrame:
     return e.select("element_id", "cls", F.explode(F.array(*map(corners, faces))).alias("t")).select("element_id", "cls", "t.*")
 
 
-query("voxelize_surface_all", """WITH e AS (SELECT e.*, coalesce(c.cls, 'other') AS cls FROM elements e LEFT JOIN class_dim c ON c.ifc_type = e.ifc_type WHERE has_representation),
+query("voxelize_surface", """WITH e AS (SELECT e.*, coalesce(c.cls, 'other') AS cls FROM elements e LEFT JOIN class_dim c ON c.ifc_type = e.ifc_type WHERE has_representation),
 f(fx, fy, fz, ux, uy, uz, vx, vy, vz) AS (VALUES (0,0,0, 1,0,0, 0,1,0), (1,1,0, -1,0,0, 0,-1,0), (0,0,1, 1,0,0, 0,1,0), (1,1,1, -1,0,0, 0,-1,0), (0,0,0, 0,1,0, 0,0,1), (0,1,1, 0,-1,0, 0,0,-1),
   (1,0,0, 0,1,0, 0,0,1), (1,1,1, 0,-1,0, 0,0,-1), (0,0,0, 0,0,1, 1,0,0), (1,0,1, 0,0,-1, -1,0,0), (0,1,0, 0,0,1, 1,0,0), (1,1,1, 0,0,-1, -1,0,0)),
 t AS (SELECT cls, x0+fx*dx AS ax, y0+fy*dy AS ay, z0+fz*dz AS az, ux*dx AS ux, uy*dy AS uy, uz*dz AS uz, vx*dx AS vx, vy*dy AS vy, vz*dz AS vz FROM e CROSS JOIN f),
@@ -218,12 +203,7 @@ query("radius_join", """WITH e AS (SELECT event_id AS entity_id, x AS ex, y AS e
 SELECT entity_id, min(player_id) AS player_id FROM e JOIN p ON (ex-px)*(ex-px)+(ey-py)*(ey-py)+(ez-pz)*(ez-pz) < 20.25 AND px BETWEEN ex - 5 AND ex + 5 GROUP BY entity_id""")(
     lambda v: N.radius_join(v("edits").select(F.col("event_id").alias("entity_id"), F.col("x").alias("ex"), F.col("y").alias("ey"), F.col("z").alias("ez")), v("part").select(F.col("p_partkey").alias("player_id"), F.col("p_partkey").alias("ordinal"), ((F.col("p_partkey") * 7) % 512 - 256).alias("px"), (F.col("p_partkey") % 8).alias("py"), ((F.col("p_partkey") * 3) % 256).alias("pz")), 4.5)
 )
-query("fill_enclosed", """WITH RECURSIVE w AS (SELECT DISTINCT x % 16 AS x, y % 16 AS y, z FROM voxels WHERE x >= 0 AND x < 96 AND prio > 2), b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM w),
-e AS (SELECT x, y, z FROM (SELECT x, y, unnest(range(z0, z1+1)) AS z FROM (SELECT x, unnest(range(y0, y1+1)) AS y, z0, z1 FROM (SELECT unnest(range(x0, x1+1)) AS x, y0, y1, z0, z1 FROM b))) EXCEPT SELECT x, y, z FROM w),
-o AS (SELECT e.x, e.y, e.z FROM e CROSS JOIN b WHERE x IN (x0, x1) OR y IN (y0, y1) OR z IN (z0, z1) UNION SELECT e.x, e.y, e.z FROM o JOIN e ON abs(e.x-o.x)+abs(e.y-o.y)+abs(e.z-o.z) = 1)
-SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(z AS INT) AS z FROM (SELECT x, y, z FROM e EXCEPT SELECT x, y, z FROM o)""")(lambda v: N.fill_enclosed(voxels(v).where("x >= 0 AND x < 96 AND prio > 2").select((F.col("x") % 16).alias("x"), (F.col("y") % 16).alias("y"), "z").distinct()))
-# The query above keeps the cut of its SQL; this one fills the whole table.
-query("fill_enclosed_all", """WITH RECURSIVE b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM voxels),
+query("fill_enclosed", """WITH RECURSIVE b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM voxels),
 w AS (SELECT x, y, z FROM voxels UNION ALL SELECT x, y, unnest([z0-1, z1+1]) FROM (SELECT x, unnest(range(y0, y1+1)) AS y, z0, z1 FROM (SELECT unnest(range(x0, x1+1)) AS x, y0, y1, z0, z1 FROM b))),
 r AS (SELECT x, y, z + 1 AS a, n - 1 AS e FROM (SELECT x, y, z, lead(z) OVER (PARTITION BY x, y ORDER BY z) AS n FROM w) WHERE n > z + 1), s(dx, dy) AS (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)),
 o AS (SELECT r.* FROM r CROSS JOIN b WHERE x IN (x0, x1) OR y IN (y0, y1) OR a = z0 OR e = z1
@@ -253,7 +233,11 @@ query("export_chunks", "WITH b AS (SELECT x - min(x) OVER () AS x, y - min(y) OV
 )
 query("unpack_chunks", "SELECT x - min(x) OVER () AS x, y - min(y) OVER () + 4 AS y, z - min(z) OVER () AS z, block FROM blocks")(lambda v: W.unpack_chunks(W.export_chunks(blocks(v), ground=False)))
 query("state_signatures", "SELECT split_part(block, '[', 1) AS base, concat_ws(';', CASE WHEN block LIKE '%facing=%' THEN 'facing=' || regexp_extract(block, 'facing=(\\w+)', 1) END, CASE WHEN block LIKE '%half=%' THEN 'half=' || regexp_extract(block, 'half=(\\w+)', 1) END) AS signature, count(*) AS n FROM block_states GROUP BY 1, 2")(lambda v: W.state_signatures(v("block_states"), ["facing", "half"]))
-query("capability_checks", "SELECT 'doors' AS \"check\", 'present-valid' AS status, count(*) FILTER (block LIKE '%door%') AS n FROM block_states UNION ALL SELECT 'stairs', 'present-valid', count(*) FILTER (block LIKE '%stairs%') FROM block_states UNION ALL SELECT 'slabs', 'present-valid', count(*) FILTER (block LIKE '%slab%') FROM block_states")(lambda v: W.capability_checks(v("block_states")))
+_found = lambda name, n, ok: f"SELECT '{name}' AS \"check\", CASE WHEN {n} = 0 THEN 'absent' WHEN {ok} THEN 'present-valid' ELSE 'present-broken' END AS status, {n} AS n FROM c"
+query("capability_checks", """WITH s AS (SELECT split_part(block, '[', 1) AS base, block LIKE '%facing=%' AS faced, block LIKE '%half=lower%' AS lower, block LIKE '%half=upper%' AS upper, block LIKE '%type=%' AS typed FROM block_states),
+c AS (SELECT count(*) FILTER (base LIKE '%\\_door' ESCAPE '\\') AS doors, count(*) FILTER (base LIKE '%\\_door' ESCAPE '\\' AND lower) AS lowers, count(*) FILTER (base LIKE '%\\_door' ESCAPE '\\' AND upper) AS uppers, count(*) FILTER (base LIKE '%\\_door' ESCAPE '\\' AND faced) AS faces,
+  count(*) FILTER (base LIKE '%\\_stairs' ESCAPE '\\') AS stairs, count(*) FILTER (base LIKE '%\\_stairs' ESCAPE '\\' AND faced) AS stairs_ok, count(*) FILTER (base LIKE '%\\_slab' ESCAPE '\\') AS slabs, count(*) FILTER (base LIKE '%\\_slab' ESCAPE '\\' AND typed) AS slabs_ok FROM s)
+""" + " UNION ALL ".join((_found("doors", "doors", "lowers > 0 AND uppers > 0 AND faces > 0"), _found("stairs", "stairs", "stairs_ok = stairs"), _found("slabs", "slabs", "slabs_ok = slabs"))))(lambda v: W.capability_checks(v("block_states")))
 
 
 def _coloured(v: View) -> DataFrame:
@@ -290,7 +274,7 @@ query("deny_list_anti", "SELECT DISTINCT session_id FROM session_events WHERE se
 query("stat_metrics", "SELECT kind, count(latency_ms) AS n, round(avg(latency_ms), 6) AS mean, round(CASE WHEN avg(latency_ms) > 0 THEN 1000 / avg(latency_ms) END, 6) AS rate FROM session_events GROUP BY kind")(lambda v: E.stat_metrics(v("session_events"), "kind", "latency_ms"))
 
 # -- recipes, registries, profiles -----------------------------------------------------------------------------------
-query("recipe_bom", "SELECT ordinal, output, item, count(*) AS n FROM recipe_dim GROUP BY ALL")(lambda v: C.recipe_bom(v("recipe_dim")))
+query("recipe_bom", "SELECT grid_id AS ordinal, 'grid' AS output, item, count(*) AS n FROM craft_slots WHERE item IS NOT NULL GROUP BY grid_id, item")(lambda v: C.recipe_bom(v("craft_slots").select(F.col("grid_id").alias("ordinal"), F.lit("grid").alias("output"), "item")))
 SIG = "string_agg(CAST(r - r0 AS VARCHAR) || ':' || CAST({c} AS VARCHAR) || ':' || item, '|' ORDER BY CAST(r - r0 AS VARCHAR) || ':' || CAST({c} AS VARCHAR) || ':' || item)"
 query("match_shaped", f"""WITH b AS (SELECT ordinal, output, mirrored, r, c, item, min(r) OVER (PARTITION BY ordinal) AS r0, min(c) OVER (PARTITION BY ordinal) AS c0, max(c) OVER (PARTITION BY ordinal) AS c1 FROM recipe_dim WHERE NOT shapeless AND item IS NOT NULL),
 k AS (SELECT ordinal, output, {SIG.format(c='c - c0')} AS s FROM b GROUP BY ordinal, output UNION SELECT ordinal, output, {SIG.format(c='c1 - c')} FROM b WHERE mirrored GROUP BY ordinal, output),
@@ -327,8 +311,7 @@ query("cell_id", "SELECT x, y, z, CAST(floor(x/16) AS INT) || ',' || CAST(floor(
 query("unit_factor", "SELECT p_partkey, CAST(CASE p_size % 6 WHEN 0 THEN 0.001 WHEN 1 THEN 0.01 WHEN 2 THEN 0.1 WHEN 3 THEN 1000 WHEN 4 THEN 0.000001 ELSE 1 END AS DOUBLE) AS factor FROM part")(lambda v: v("part").select("p_partkey", S.unit_factor(F.get(F.array(*map(F.lit, ("MILLI", "CENTI", "DECI", "KILO", "MICRO", ""))), F.col("p_size") % 6)).alias("factor")))
 query("door_facing", "SELECT element_id, CASE WHEN x1-x0 <= y1-y0 THEN 'east' ELSE 'south' END AS facing, CAST(coalesce(least(greatest(1, round_even(width_dm/10.0, 0)), 3), 1) AS INT) AS leaves FROM doors")(lambda v: v("doors").select("element_id", S.door_facing(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).alias("facing"), S.leaf_count("width_dm", 10.0, F.lit(3)).alias("leaves")))
 query("collapse_spaces", "SELECT conv_id, turn, length(regexp_replace(text, '[ \\t\\n\\r\\f\\v]{2,}', ' ', 'g')) AS n FROM messages")(lambda v: v("messages").select("conv_id", "turn", F.length(S.collapse_spaces("text")).cast("long").alias("n")))
-query("mask_words", "SELECT conv_id, turn, md5(regexp_replace(text, '\\b(the|und|les)\\b', '****', 'gi')) AS h FROM messages WHERE role = 'user' AND regexp_matches(text, '^[ -~\\s]*$')")(lambda v: v("messages").where(F.col("role") == "user").where(F.col("text").rlike(r"^[ -~\s]*$")).select("conv_id", "turn", F.md5(S.mask_words("text", ["the", "und", "les"])).alias("h")))
-# The query above keeps the cut of its SQL; this one masks every message. The SQL's engine can't look around, so a sign between two words needs a second pass.
+# The SQL's engine can't look around, so a sign between two words needs a second pass.
 _alone = lambda text: f"regexp_replace({text}, '(^|[^\\pL\\pM\\pN_])(?:the|und|les)([^\\pL\\pM\\pN_]|$)', '\\1****\\2', 'gi')"
-query("mask_words_all", f"SELECT conv_id, turn, md5({_alone(_alone('text'))}) AS h FROM messages")(lambda v: v("messages").select("conv_id", "turn", F.md5(S.mask_words("text", ["the", "und", "les"])).alias("h")))
+query("mask_words", f"SELECT conv_id, turn, md5({_alone(_alone('text'))}) AS h FROM messages")(lambda v: v("messages").select("conv_id", "turn", F.md5(S.mask_words("text", ["the", "und", "les"])).alias("h")))
 query("safe_name")(lambda v: v("supplier").select("s_suppkey", S.safe_name(F.when(F.col("s_suppkey") % 3 > 0, F.col("s_name")), ["nobody"], "s_suppkey").alias("name")))

@@ -36,7 +36,7 @@ def test_fill_takes_every_voxel(spark, tmp_path):
     rows = [(x + 256, y, z, float(i % 3)) for i, (x, y, z) in enumerate(sorted(walls))]
     pq.write_table(pa.table(dict(zip(("l_partkey", "l_suppkey", "l_linenumber", "l_quantity"), map(list, zip(*rows))))), tmp_path / "lineitem.parquet")
     empty, outside = _outside(walls)
-    got = [tuple(r) for r in registry.queries()["fill_enclosed_all"](spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in registry.queries()["fill_enclosed"](spark, str(tmp_path)).collect()]
     assert len(got) > 27 and sorted(got) == sorted(empty - outside)
 
 
@@ -70,7 +70,7 @@ def test_every_side_of_every_element(spark, tmp_path):
                 u, w = [i for i in range(3) if i != axis]
                 corner = lambda far: tuple(end[i] if i == axis else hi[i] if i in far else lo[i] for i in range(3))
                 want |= _cells(corner(()), corner((u,)), corner((w,)), 4.0) | _cells(corner((u, w)), corner((w,)), corner((u,)), 4.0)
-    got = [(r.x, r.y, r.z) for r in registry.queries()["voxelize_surface_all"](spark, str(tmp_path)).collect()]
+    got = [(r.x, r.y, r.z) for r in registry.queries()["voxelize_surface"](spark, str(tmp_path)).collect()]
     assert set(got) == want and len({z for _, _, z in got}) > 5
 
 
@@ -88,7 +88,7 @@ def test_every_message_is_masked(spark, tmp_path):
         inner = re.sub(r"(?<![\w\ue300-\ue36f])(the|und|les)(?![\w\ue300-\ue36f])", "****", inner, flags=re.I)
         return hashlib.md5(re.sub("[\ue300-\ue36f]", lambda m: chr(ord(m[0]) - 0xE000), inner).encode()).hexdigest()
 
-    got = sorted(tuple(r) for r in registry.queries()["mask_words_all"](spark, str(tmp_path)).collect())
+    got = sorted(tuple(r) for r in registry.queries()["mask_words"](spark, str(tmp_path)).collect())
     assert got == [(i, j, masked(t)) for i, j, _, t in rows]
 
 
