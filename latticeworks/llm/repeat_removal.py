@@ -100,9 +100,10 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """Remove the bytes of every 400-byte string that also starts anywhere else in the corpus, the same document included.
 
-    Matches never cross documents; overlaps count; strings are judged on the input.  Positions are ranked at growing lengths:
-    first by the core around a sampled anchor, then by the whole run, then single positions by the pair of ranks of their
-    first and second 200 bytes; a position leaves the sort as soon as its rank is unique or covers 400 bytes.
+    Matches never cross documents; overlaps count; strings are judged on the input.  Equal fingerprints
+    of winnowed anchors replace prefix doubling of every position (see the README): sampled positions are compared by the core
+    around their anchor, then by the whole run, then single positions by the pair of fingerprints of their first and second
+    200 bytes; a position leaves the sort as soon as it is unique or known to repeat over 400 bytes.
 
     Returns doc_id, turn, n_bytes, n_removed, n_spans (maximal removed runs), kept (the remaining bytes), one row per input row.
     Equal rows (of doc_id and text) are one document given twice and both get that document's result; different texts under
