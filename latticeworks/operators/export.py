@@ -22,7 +22,7 @@ def write_blocks(blocks: DataFrame, path: str, fmt: str = "csv") -> None:
 def export_grouped_points(blocks: DataFrame, styles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Groups (block, category, colour, n, offset), the largest first, and points with their group's offset."""
     groups = V.group_offsets(V.block_counts(blocks))
-    points = blocks.withColumn("block", F.substring_index("block", "[", 1)).join(F.broadcast(groups.select("block", "offset")), "block")
+    points = blocks.withColumn("block", F.substring_index("block", "[", 1)).join(groups.select("block", "offset"), "block")
     return V.style_blocks(groups, styles).drop("base"), points.select("offset", "x", "y", "z")
 
 

@@ -18,8 +18,9 @@ def top_types(counts: DataFrame, k: int = 40) -> DataFrame:
 
 def row_numbers(df: DataFrame, order: str, name: str) -> DataFrame:
     """df and each row's number by order, from 1.  The rows are sorted by ranges, and the ranges' counts (one row a partition)
-    are summed, so no single task sorts all rows."""
-    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
+    are summed, so no single task sorts all rows.  The ranged rows are cut off with checkpoint(): range bounds are sampled, and
+    two exchanges of one table may draw them differently."""
+    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).checkpoint()
     local = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     base = local.groupBy("_part").agg(F.count("*").alias("_size")).withColumn("_base", F.coalesce(F.sum("_size").over(before), F.lit(0))).select("_part", "_base")

@@ -197,9 +197,15 @@ def concat_meshes(*meshes: DataFrame) -> DataFrame:
 
 
 def reindex_faces(meshes: DataFrame, faces: DataFrame) -> DataFrame:
-    """Vertex numbers moved by the vertex counts of the meshes before, within a class.  meshes: cls, mesh_id, n_vertices."""
-    w = Window.partitionBy("cls").orderBy("mesh_id").rowsBetween(Window.unboundedPreceding, -1)
-    base = meshes.select("mesh_id", "cls", F.coalesce(F.sum("n_vertices").over(w), F.lit(0)).alias("base"))
+    """Vertex numbers moved by the vertex counts of the meshes before, within a class.  meshes: cls, mesh_id, n_vertices.
+
+    Meshes are dealt by ranges of class and id; a class adds the sums of its ranges before (one row a range and class).
+    """
+    ranged = meshes.select("cls", "mesh_id", "n_vertices").repartitionByRange("cls", "mesh_id").withColumn("part", F.spark_partition_id()).checkpoint()
+    within = Window.partitionBy("cls", "part").orderBy("mesh_id").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = Window.partitionBy("cls").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy("cls", "part").agg(F.sum("n_vertices").alias("n")).select("cls", "part", F.coalesce(F.sum("n").over(ranges), F.lit(0)).alias("before"))
+    base = ranged.withColumn("own", F.coalesce(F.sum("n_vertices").over(within), F.lit(0))).join(before, ["cls", "part"]).select("mesh_id", "cls", (F.col("own") + F.col("before")).alias("base"))
     return faces.join(base, "mesh_id").select("cls", "mesh_id", "face_no", *((F.col(c) + F.col("base")).alias(c) for c in "ijk"))
 
 

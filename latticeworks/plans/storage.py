@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The URI in spark.checkpoint.dir; where that is unset, as in tests, a new local folder that becomes it."""
+    """The URI in spark.checkpoint.dir; where that is unset on one machine, as in tests, a new local folder that becomes it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)

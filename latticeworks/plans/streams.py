@@ -20,23 +20,41 @@ def _events(spark, sf_dir, name: str):
     return out.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _query(name: str, make, view: str, mode: str, key: list[str]):
+def _query(name: str, make, view: str, mode: str, key: list[str], merge=lambda rows: rows):
     def run(spark, sf_dir):
-        return jobs.run_available(spark, make(_events(spark, sf_dir, view)), new_folder(spark, name), mode, key)
+        return merge(jobs.run_available(spark, make(_events(spark, sf_dir, view)), new_folder(spark, name), mode, key))
 
     return run
 
 
+def _ticks(rows):
+    return rows.select(F.col("tick").cast("timestamp_ntz").alias("tick"), "n", F.array_join(F.transform("edits", lambda e: e["event_id"].cast("string")), " ").alias("edits"))
+
+
+def _rates(rows):
+    return rows.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+def autosave(spark, sf_dir):
+    """Run lengths of all saved cells; the table is one batch here."""
+    path = new_folder(spark, "autosave")
+    jobs.autosave(_events(spark, sf_dir, "edits"), path, every=None).awaitTermination()
+    return spark.read.parquet(path).select("cx", "cy", "cz", F.array_join(F.transform("rle", lambda x: x.cast("string")), " ").alias("rle"))
+
+
 QUERIES = {
-    "stream_edits": _query("edits", jobs.stream_edits, "edits", "update", ["x", "y", "z"]),
-    "tick_batches": _query("ticks", jobs.tick_batches, "edits", "update", ["tick"]),
-    "stream_session_counters": _query("counters", jobs.stream_session_counters, "session_events", "update", ["session_id"]),
+    "stream_edits": _query("edits", jobs.stream_edits, "edits", "update", ["start", "x", "y", "z"], jobs.latest_edits),
+    "tick_batches": _query("ticks", jobs.tick_batches, "edits", "update", ["tick"], _ticks),
+    "stream_session_counters": _query("counters", jobs.stream_session_counters, "session_events", "update", ["start", "session_id"], jobs.sum_counters),
     "stream_dirty_cells": _query("dirty", jobs.stream_dirty_cells, "edits", "append", ["cx", "cy", "cz"]),
-    "rate_metrics": _query("rates", jobs.rate_metrics, "session_events", "update", ["start", "kind"]),
+    "rate_metrics": _query("rates", jobs.rate_metrics, "session_events", "update", ["start", "kind"], _rates),
     "stream_throttle": _query("throttle", lambda s: jobs.stream_throttle(s, 3_600_000_000), "session_events", "append", ["session_id", "t"]),
+    "autosave": autosave,
 }
 SQL = {
+    "tick_batches": "SELECT time_bucket(INTERVAL '50 milliseconds', ts) AS tick, CAST(count(*) AS INT) AS n, string_agg(CAST(event_id AS VARCHAR), ' ' ORDER BY event_id) AS edits FROM edits GROUP BY 1",
+    "rate_metrics": "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, kind, count(latency_ms) AS n, round(avg(latency_ms), 6) AS mean FROM session_events GROUP BY ALL",
     "stream_edits": "SELECT x, y, z, arg_max(v, (ts, event_id)) AS v FROM edits GROUP BY x, y, z",
-    "stream_session_counters": "SELECT session_id, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS \"{k}\"" for k in ("bm", "bp", "cr", "join", "leave")) + " FROM session_events GROUP BY session_id",
+    "stream_session_counters": "SELECT session_id, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS \"{k}\"" for k in jobs.KINDS) + " FROM session_events GROUP BY session_id",
     "stream_dirty_cells": "WITH d(dx, dy, dz) AS (VALUES (0,0,0),(1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)) SELECT DISTINCT CAST(floor((x+dx)/16) AS INT) AS cx, CAST(floor((y+dy)/16) AS INT) AS cy, CAST(floor((z+dz)/16) AS INT) AS cz FROM edits CROSS JOIN d",
 }

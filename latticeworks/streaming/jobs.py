@@ -10,27 +10,48 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.neighbors import dirty_cells
+from ..functions.scalars import cell_of
+from ..operators.neighbors import FACES
 
+KINDS = ("bm", "bp", "cr", "join", "leave")
 
-def stream_edits(sdf: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """The value of the latest edit of each cell, in update mode; a late edit of an older time loses."""
-    return sdf.withWatermark("ts", watermark).groupBy("x", "y", "z").agg(F.max_by("v", F.struct("ts", "event_id")).alias("v"))
+
+def stream_edits(sdf: DataFrame, watermark: str = "1 hour", width: str = "1 hour") -> DataFrame:
+    """The latest edit of each cell and hour (start, x, y, z, at, v), in update mode.
+
+    Hours behind the watermark leave the state, so it holds the recent cells only; the sink keeps each cell's row of greatest
+    ``at`` (see ``latest_edits``).
+    """
+    hours = sdf.withWatermark("ts", watermark).groupBy(F.window("ts", width), "x", "y", "z")
+    return hours.agg(F.max(F.struct("ts", "event_id")).alias("at"), F.max_by("v", F.struct("ts", "event_id")).alias("v")).select(F.col("window.start").alias("start"), "x", "y", "z", "at", "v")
+
+
+def latest_edits(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("x", "y", "z").agg(F.max_by("v", "at").alias("v"))
 
 
 def tick_batches(sdf: DataFrame, tick: str = "50 milliseconds", watermark: str = "1 hour") -> DataFrame:
-    """Edits of each tick, gathered."""
-    w = F.window("ts", tick)
-    return sdf.withWatermark("ts", watermark).groupBy(w).agg(F.count("*").alias("n"), F.max("event_id").alias("last_event")).select(F.col("window.start").alias("tick"), "n", "last_event")
+    """Edits of each tick, gathered in order of their ids."""
+    edit = F.struct("event_id", "session_id", "x", "y", "z", "v")
+    ticks = sdf.withWatermark("ts", watermark).groupBy(F.window("ts", tick)).agg(F.array_sort(F.collect_list(edit)).alias("edits"))
+    return ticks.select(F.col("window.start").alias("tick"), F.size("edits").alias("n"), "edits")
 
 
-def stream_session_counters(sdf: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    kinds = ("bm", "bp", "cr", "join", "leave")
-    return sdf.withWatermark("ts", watermark).groupBy("session_id").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in kinds))
+def stream_session_counters(sdf: DataFrame, watermark: str = "1 hour", width: str = "1 hour") -> DataFrame:
+    """Counters of each session and hour, in update mode; hours behind the watermark leave the state, and ``sum_counters`` adds them."""
+    hours = sdf.withWatermark("ts", watermark).groupBy(F.window("ts", width), "session_id")
+    return hours.agg(*(F.count_if(F.col("kind") == k).alias(k) for k in KINDS)).select(F.col("window.start").alias("start"), "session_id", *KINDS)
 
 
-def stream_dirty_cells(sdf: DataFrame) -> DataFrame:
-    return dirty_cells(sdf)
+def sum_counters(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("session_id").agg(*(F.sum(k).alias(k) for k in KINDS))
+
+
+def stream_dirty_cells(sdf: DataFrame, watermark: str = "1 hour") -> DataFrame:
+    """Cells that edits touch, once within the watermark's delay; the sink merges a cell that is touched again later."""
+    around = F.array(*(F.struct(*((F.col(c) + d).alias(c) for c, d in zip("xyz", o))) for o in ((0, 0, 0), *FACES.values())))
+    cells = sdf.withWatermark("ts", watermark).select("ts", F.explode(around).alias("p")).select("ts", *(cell_of(f"p.{c}").alias(f"c{c}") for c in "xyz"))
+    return cells.dropDuplicatesWithinWatermark(["cx", "cy", "cz"]).drop("ts")
 
 
 def rate_metrics(sdf: DataFrame, width: str = "1 hour", watermark: str = "1 hour") -> DataFrame:
@@ -57,14 +78,19 @@ def stream_throttle(sdf: DataFrame, min_gap_us: int) -> DataFrame:
     return timed.groupBy("session_id").applyInPandasWithState(accept, "session_id long, t long", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
-def autosave(sdf: DataFrame, path: str, every: str = "10 minutes", checkpoint: str | None = None) -> StreamingQuery:
-    """Snapshots of run lengths at each trigger; a batch that is run again writes the same folder."""
+def autosave(sdf: DataFrame, path: str, every: str | None = "10 minutes", checkpoint: str | None = None) -> StreamingQuery:
+    """Run lengths of the cells edited since the last trigger; a batch that is run again writes the same folder.
+
+    Without ``every`` it saves what is there and ends.
+    """
     from ..operators.world import rle_encode, to_cells
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        rle_encode(to_cells(batch.withColumn("v", F.col("v") + 1))).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        saved = rle_encode(to_cells(latest_edits(batch).withColumn("v", F.col("v") + 1)))
+        saved.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return stream_edits(sdf).writeStream.outputMode("update").option("checkpointLocation", checkpoint or f"{path}-checkpoint").trigger(processingTime=every).foreachBatch(save).start()
+    out = stream_edits(sdf).writeStream.outputMode("update").option("checkpointLocation", checkpoint or f"{path}-checkpoint")
+    return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).foreachBatch(save).start()
 
 
 def run_available(spark: SparkSession, out: DataFrame, folder: str, mode: str, key: list[str]) -> DataFrame:

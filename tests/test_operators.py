@@ -2,8 +2,11 @@
 
 import duckdb
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from latticeworks.operators import neighbors as N
+from latticeworks.operators import profile as P
 from latticeworks.operators import voxels as V
 from latticeworks.operators import world as W
 from latticeworks.plans import dims, registry
@@ -80,3 +83,19 @@ def test_hollow_box_is_filled(spark):
 def test_stream_throttle_equals_batch(spark):
     q = registry.queries()
     assert {tuple(r) for r in q["stream_throttle"](spark, SF).collect()} == {(r[0], int(r[1])) for r in q["throttle"](spark, SF).collect()}
+
+
+def test_numbers_by_ranges_have_no_gaps(spark, tmp_path):
+    """Large enough for sampled range bounds; other columns must not deal the counts by other bounds."""
+    spark.range(400_000).select(F.xxhash64("id").alias("k"), F.lit("x").alias("w")).write.parquet(f"{tmp_path}/t")
+    numbered = P.row_numbers(spark.read.parquet(f"{tmp_path}/t"), "k", "n")
+    rows = numbered.select("k", "n", "w", (F.col("k") > F.lag("k").over(Window.orderBy("n"))).alias("rises"))
+    got = rows.agg(F.countDistinct("n"), F.min("n"), F.max("n"), F.count_if(~F.col("rises")), F.max("w")).first()
+    assert tuple(got) == (400_000, 1, 400_000, 0, "x")
+
+
+def test_faces_of_one_large_class(spark):
+    meshes = spark.range(100_000).select(F.lit("a").alias("cls"), F.col("id").alias("mesh_id"), (F.col("id") % 3).alias("n_vertices"))
+    faces = meshes.select("mesh_id", F.lit(0).alias("face_no"), *(F.lit(k).alias(c) for k, c in enumerate("ijk")))
+    wrong = V.reindex_faces(meshes, faces).where("i <> mesh_id div 3 * 3 + CASE mesh_id % 3 WHEN 2 THEN 1 ELSE 0 END OR j <> i + 1 OR k <> i + 2")
+    assert wrong.count() == 0
