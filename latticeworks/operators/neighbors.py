@@ -175,7 +175,8 @@ def place_doors(voxels: DataFrame, doors: DataFrame, pitch: float, mode: str = "
 
     ``solid`` fills the boxes with planks, ``air`` only carves them; ``functional`` carves all, then puts leaves of two
     halves or more on the floor found beside them, a threshold below, and mirrors pairs.  Every leaf is placed on the carved
-    voxels alone, not on doors placed before it; of leaves in one cell the greatest element_id stays.
+    voxels alone, not on doors placed before it; of leaves in one cell the greatest element_id stays, and of
+    halves in one cell the lower one.
     """
     if mode == "solid":
         cells = box_cells(doors).select("x", "y", "z", F.lit(99).alias("prio"), F.lit("door").alias("cls"), F.lit("minecraft:oak_planks").alias("block"))
@@ -196,7 +197,8 @@ def place_doors(voxels: DataFrame, doors: DataFrame, pitch: float, mode: str = "
     hinged = mirror_double_doors(found)
     cells = hinged.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(height - 1))))
     state = S.format_block_state(F.lit(dims.DOOR_BLOCK), facing="facing", half=F.when(F.col("j") == 0, "lower").otherwise("upper"), hinge="hinge", open=F.lit("false"))
-    leaf_cells = cells.select("x", "y", (F.col("z") + F.col("j")).alias("z"), F.lit(100).alias("prio"), F.lit("door").alias("cls"), state.alias("block")).dropDuplicates(["x", "y", "z"])
+    leaf_cells = cells.select("x", "y", (F.col("z") + F.col("j")).alias("z"), F.lit(100).alias("prio"), F.lit("door").alias("cls"), state.alias("block"), "j")
+    leaf_cells = leaf_cells.groupBy("x", "y", "z", "prio", "cls").agg(F.min_by("block", "j").alias("block"))
     sill = hinged.select("x", "y", (F.col("z") - 1).alias("z"), F.lit(50).alias("prio"), F.lit("floor").alias("cls"), F.lit(dims.FLOOR_CUBE).alias("block")).dropDuplicates(["x", "y", "z"])
     rest = carved.join(leaf_cells, ["x", "y", "z"], "left_anti")
     sill = sill.join(carved.select("x", "y", "z"), ["x", "y", "z"], "left_anti").join(leaf_cells, ["x", "y", "z"], "left_anti")

@@ -85,10 +85,15 @@ def materialize_cells(cells: DataFrame, *layers: DataFrame) -> DataFrame:
     return overlay_layers(*inside)
 
 
+def moved_up(blocks: DataFrame, base_y: int = 4) -> DataFrame:
+    """Blocks moved to x, z >= 0 and y >= base_y."""
+    low = blocks.agg(*(F.min(c).alias(f"m{c}") for c in "xyz"))
+    return blocks.crossJoin(F.broadcast(low)).select((F.col("x") - F.col("mx")).alias("x"), (F.col("y") - F.col("my") + base_y).alias("y"), (F.col("z") - F.col("mz")).alias("z"), "block")
+
+
 def export_chunks(blocks: DataFrame, base_y: int = 4, ground: bool = True, section: int = 16) -> DataFrame:
     """rx, rz, cx, cz, section_y, palette, n, indices (offset and palette place) of blocks moved to x, z >= 0 and y >= base_y."""
-    low = blocks.agg(*(F.min(c).alias(f"m{c}") for c in "xyz"))
-    moved = blocks.crossJoin(F.broadcast(low)).select((F.col("x") - F.col("mx")).alias("x"), (F.col("y") - F.col("my") + base_y).alias("y"), (F.col("z") - F.col("mz")).alias("z"), "block")
+    moved = moved_up(blocks, base_y)
     if ground:
         moved = moved.unionByName(footprint_ground(moved, base_y).where("x >= 0 AND z >= 0"))
     keyed = moved.select(S.chunk_of("x").alias("cx"), S.chunk_of("z").alias("cz"), F.floor(F.col("y") / section).cast("int").alias("section_y"), S.voxel_offset("x", "y", "z").alias("off"), "block")
@@ -132,9 +137,14 @@ def capability_checks(blocks: DataFrame, y_range: tuple[int, int] | None = None)
 
 
 def round_trip_check(blocks: DataFrame, path: str) -> DataFrame:
-    """Capability checks of blocks that were exported to chunks, written, read and unpacked again."""
+    """Capability checks of blocks that were exported to chunks, written, read and unpacked again, and how many of them were
+    lost or added on the way."""
     export_chunks(blocks, ground=False).write.mode("overwrite").partitionBy("rx", "rz").parquet(path)
-    return capability_checks(unpack_chunks(blocks.sparkSession.read.parquet(path)))
+    sent, back = moved_up(blocks), unpack_chunks(blocks.sparkSession.read.parquet(path))
+    both = sent.withColumn("n", F.lit(1)).unionByName(back.withColumn("n", F.lit(-1))).groupBy("x", "y", "z", "block").agg(F.sum("n").alias("n"))
+    differ = both.agg(*(F.coalesce(F.sum(F.greatest(sign * F.col("n"), F.lit(0))), F.lit(0)).alias(name) for name, sign in (("lost", 1), ("added", -1))))
+    entry = lambda name: F.struct(F.lit(name).alias("check"), F.when(F.col(name) == 0, "same").otherwise("differs").alias("status"), F.col(name).alias("n"))
+    return capability_checks(back).unionByName(differ.select(F.explode(F.array(entry("lost"), entry("added"))).alias("c")).select("c.*"))
 
 
 def z_buffer(points: DataFrame, value: str = "value") -> DataFrame:

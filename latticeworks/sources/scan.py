@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.world import rle_decode
 from ..plans.dims import DEFAULT_BLOCK
@@ -17,12 +18,26 @@ def scan_blocks(spark: SparkSession, path: str, default_block: str = DEFAULT_BLO
     return rows.select(*(F.trim(F.get(part, k)).cast("int").alias(c) for k, c in enumerate("xyz")), F.coalesce(F.nullif(text, F.lit("")), F.lit(default_block)).alias("block"))
 
 
+ELEMENTS = "element_id long, ifc_type string, name string, material string, has_representation boolean"
+TRIANGLES = "element_id long, cls string, face_no int, " + ", ".join(f"{p}{c} double" for p in "abc" for c in "xyz")
+
+
+def _typed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A Parquet table whose columns of the schema are there and take its types; other columns follow unchanged."""
+    found, wanted = spark.read.parquet(path), StructType.fromDDL(schema)
+    missing = [f.name for f in wanted if f.name not in found.columns]
+    if missing:
+        raise ValueError(f"{path} lacks {', '.join(missing)}")
+    return found.select(*(F.col(f.name).cast(f.dataType) for f in wanted), *(f"`{c}`" for c in found.columns if c not in wanted.names))
+
+
 def scan_elements(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return _typed(spark, path, ELEMENTS)
 
 
 def scan_triangles(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """Triangles with corners a, b, c in metres."""
+    return _typed(spark, path, TRIANGLES)
 
 
 def scan_world_stamp(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Hand-made goldens and the comparison of every query with its SQL on the smallest tables."""
 
+import zlib
+
 import duckdb
 import pytest
 from pyspark.sql import Window
@@ -10,6 +12,8 @@ from latticeworks.operators import profile as P
 from latticeworks.operators import voxels as V
 from latticeworks.operators import world as W
 from latticeworks.plans import dims, registry
+from latticeworks.plans.inputs import with_views
+from latticeworks.sources import scan
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "conversations")
@@ -99,3 +103,66 @@ def test_faces_of_one_large_class(spark):
     faces = meshes.select("mesh_id", F.lit(0).alias("face_no"), *(F.lit(k).alias(c) for k, c in enumerate("ijk")))
     wrong = V.reindex_faces(meshes, faces).where("i <> mesh_id div 3 * 3 + CASE mesh_id % 3 WHEN 2 THEN 1 ELSE 0 END OR j <> i + 1 OR k <> i + 2")
     assert wrong.count() == 0
+
+
+def _doors(spark, width, y1):
+    """A door in a wall along y over a floor at z = 0."""
+    floor = spark.createDataFrame([(x, y, 0, 4, "floor", "f") for x in (4, 6) for y in range(8)], "x int, y int, z int, prio int, cls string, block string")
+    box = spark.createDataFrame([(1, 5, 3, 1, 5, y1, 2, width)], "element_id long, x0 int, y0 int, z0 int, x1 int, y1 int, z1 int, width double")
+    return {(r.x, r.y, r.z): r.block for r in N.place_doors(floor, box, 1.0).where("x = 5").collect()}
+
+
+def test_single_door(spark):
+    state = "minecraft:oak_door[facing=east,half={},hinge=left,open=false]"
+    assert _doors(spark, 0.9, 3) == {(5, 3, 0): dims.FLOOR_CUBE, (5, 3, 1): state.format("lower"), (5, 3, 2): state.format("upper")}
+
+
+def test_double_door(spark):
+    got = _doors(spark, 1.8, 4)
+    assert len(got) == 6 and all("hinge=right" in got[5, 3, z] and "hinge=left" in got[5, 4, z] for z in (1, 2))
+
+
+def test_safe_name_equals_brute_force(spark):
+    for r in registry.queries()["safe_name"](spark, SF).join(spark.read.parquet(f"{SF}/supplier.parquet"), "s_suppkey").collect():
+        other = f"Player{zlib.crc32(str(r.s_suppkey).encode()) % 10000:04d}"
+        assert r["name"] == (r.s_name if r.s_suppkey % 3 else other)
+
+
+def test_run_summary_equals_its_parts(spark, duck):
+    got = registry.queries()["run_summary"](spark, SF).first().asDict(recursive=True)
+    sql = registry.oracle_sql()
+    for part, name in (("size", "footprint"), ("server", "server_info")):
+        rel = duck.sql(sql[name].replace("*0.5", "*1.0"))
+        assert got[part] == dict(zip(rel.columns, rel.fetchall()[0]))
+    low = duck.sql(with_views("SELECT min(x), max(x), min(y), max(y), min(z), max(z) FROM voxels")).fetchall()[0]
+    assert set(low) <= set(got["bounds"].values())
+
+
+def test_inspect_model_equals_its_parts(spark, duck):
+    got = registry.queries()["inspect_model"](spark, SF).first().asDict(recursive=True)
+    n, shown = duck.sql(with_views("SELECT count(*), count(*) FILTER (has_representation) FROM elements")).fetchall()[0]
+    assert got["elements"] == {"n": n, "n_represented": shown}
+    types = duck.sql(with_views("SELECT ifc_type, count(*) AS n FROM elements GROUP BY ifc_type ORDER BY n DESC, ifc_type LIMIT 40")).fetchall()
+    assert [(t["ifc_type"], t["n"]) for t in got["top"]["types"]] == types
+    assert tuple(got["storeys"].values()) == duck.sql(with_views("SELECT count(*), min(elevation) FROM storeys")).fetchall()[0]
+    rel = duck.sql(registry.oracle_sql()["geometry_scale"])
+    assert got["scale"] == dict(zip(rel.columns, rel.fetchall()[0]))
+
+
+def test_elements_without_a_column_are_refused(spark, tmp_path):
+    spark.range(3).withColumnRenamed("id", "element_id").write.parquet(f"{tmp_path}/e")
+    with pytest.raises(ValueError, match="ifc_type"):
+        scan.scan_elements(spark, f"{tmp_path}/e")
+
+
+def test_autosave_equals_saved_world(spark):
+    q = registry.queries()
+    assert {tuple(r) for r in q["autosave"](spark, SF).collect()} == {tuple(r) for r in q["save_world"](spark, SF).select("cx", "cy", "cz", "rle").collect()}
+
+
+def test_lost_and_added_blocks_are_counted(spark, tmp_path, monkeypatch):
+    blocks = spark.createDataFrame([(x, 0, 0, "minecraft:stone") for x in range(4)], "x int, y int, z int, block string")
+    real = W.unpack_chunks
+    monkeypatch.setattr(W, "unpack_chunks", lambda chunks: real(chunks).where("x > 0").withColumn("block", F.when(F.col("x") == 3, "b").otherwise(F.col("block"))))
+    got = {r.check: (r.status, r.n) for r in W.round_trip_check(blocks, f"{tmp_path}/c").collect()}
+    assert got["lost"] == ("differs", 2) and got["added"] == ("differs", 1)
