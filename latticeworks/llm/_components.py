@@ -36,3 +36,14 @@ def components(edges: DataFrame) -> DataFrame:
         labels = jumped.select("node", "comp")
         if not moved:
             return labels
+
+
+def merged(comp: DataFrame, edges: DataFrame) -> DataFrame:
+    """comp (node, comp) of earlier edges, and of further ones (a, b): only the components that these join are worked on."""
+    one, two = (comp.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp")) for c in ("a", "b"))
+    ends = written(edges.select("a", "b").join(one, "a", "left").join(two, "b", "left"))
+    fresh = ends.where("a_comp IS NULL").select("a").union(ends.where("b_comp IS NULL").select("b")).distinct().select(F.col("a").alias("node"), F.col("a").alias("comp"))
+    apart = ends.select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")).where("a <> b")
+    up = components(apart).select(F.col("node").alias("was"), F.col("comp").alias("least"))
+    nodes = comp.select("node", "comp").union(fresh)
+    return written(nodes.join(up, nodes.comp == up.was, "left").select("node", F.coalesce("least", "comp").alias("comp")))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._components import components, written
+from ._components import components, merged, written
 from ._repeats import fingerprint
 
 WORDS = 5
@@ -252,12 +252,12 @@ def _links(pairs: DataFrame, profile: DataFrame, texts: DataFrame) -> DataFrame:
     one = profile.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ma"))
     two = profile.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("mb"))
     left = pairs.join(one, "a").join(two, "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b", "na", "nb", "ma", "mb")
-    left = left.mapInArrow(_bound, "a long, b long").checkpoint()
+    left = written(left.mapInArrow(_bound, "a long, b long"))
     groups = _groups(left).groupBy("doc_id").agg(F.collect_list(F.struct("hub", "part")).alias("groups"))
     small = left.count() <= SEND_IDS
     rows = texts.join(F.broadcast(groups) if small else groups, "doc_id").mapInArrow(_set_rows, "hub long, part long, doc_id long, tokens binary")
     rows = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("hub") != F.col("doc_id"))
-    return rows.mapInArrow(_verify, "a long, b long").checkpoint()
+    return written(rows.mapInArrow(_verify, "a long, b long"))
 
 
 def _early() -> Column:
@@ -323,8 +323,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     meets = shared.where((F.col("hub") != F.col("doc_id")) & able("place", "hub_place")).groupBy("doc_id", "hub").agg(F.count("*").alias("n")).checkpoint()
     nearest = meets.groupBy("doc_id").agg(F.max(F.struct("n", "hub")).alias("s")).select("doc_id", "s.hub")
     links = _links(_ordered(nearest), profile, texts)
-    links = links.union(_links(_ordered(_apart(meets, components(links))), profile, texts))
-    used, comp = shared.select("hub").distinct(), components(links)
+    comp = components(links)
+    more = _links(_ordered(_apart(meets, comp)), profile, texts)
+    links, comp = links.union(more), merged(comp, more)
+    used = shared.select("hub").distinct()
     rest = written(_still_open(shared, comp))
     classes.destroy()  # what needed it is written
     for _ in range(HUB_ROUNDS):
@@ -335,8 +337,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         fresh = rest.join(used, rest.doc_id == used.hub, "left_anti").join(degree, "doc_id", "left")
         best = written(fresh.groupBy("token").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), turn.alias("turn"), F.col("doc_id").alias("hub"), F.col("place").alias("hub_place"), F.col("comp").alias("hub_comp"))).alias("s")).select("token", "s.hub", "s.hub_place", "s.hub_comp"))
         pairs = rest.join(best, "token").where((F.col("comp") != F.col("hub_comp")) & able("place", "hub_place"))
-        links = links.union(_links(_ordered(pairs), profile, texts))
-        used, comp = used.union(best.select("hub")).distinct(), components(links)
+        more = _links(_ordered(pairs), profile, texts)
+        links, comp = links.union(more), merged(comp, more)
+        used = used.union(best.select("hub")).distinct()
         rest = written(_still_open(rest, comp))
     # The smaller set's token is early; sizes that can link are in one band or the next, as a band is wider than 100 / PERCENT.
     band = F.floor(F.log(size("place").cast("double")) / math.log(100 / PERCENT + 0.01))
@@ -350,7 +353,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rest_pairs = _ordered(x.join(y, ["token", "band"]).where(smaller & (F.col("doc_id_comp") != F.col("hub_comp")) & able("doc_id_place", "hub_place") & near))
     more = _links(rest_pairs, profile, texts)
     if not more.isEmpty():
-        comp = components(links.union(more))
+        comp = merged(comp, more)
     ids = profile.select("doc_id", "k1", "k2", "n").distinct().join(same, ["k1", "k2", "n"], "left").join(comp, F.col("rep") == F.col("node"), "left")
     ids = ids.groupBy("doc_id").agg(F.max("n").cast("long").alias("n_shingles"), F.min(F.coalesce("comp", "rep", "doc_id")).alias("component_id"))
     return given.select("doc_id").join(ids, "doc_id", "left").withColumn("n_shingles", F.coalesce("n_shingles", F.lit(0).cast("long")))

@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from latticeworks.llm import _mph, byte_bpe, decontamination, jaccard_join, media_tiff, quality_lm, repeat_removal, token_shards, toxicity_crf, warc_bundles
+from latticeworks.llm._components import components, merged
 from latticeworks.plans.storage import new_folder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -394,3 +395,23 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     n = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
     assert 0 < out.count() < n and out.where(F.size("ids") != F.col("n_tokens")).count() == 0
+
+
+def test_components_merged(spark):
+    """Edges merged a batch at a time give the components of all of them, also for nodes that no edge had before."""
+    draw = np.random.default_rng(5)
+    batches = [[tuple(map(int, e)) for e in draw.integers(0, 60, (k, 2))] for k in (12, 9, 0, 15)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    comp, parent = components(frame(batches[0])), {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for batch in batches:
+        for a, b in batch:
+            low, high = sorted((find(a), find(b)))
+            parent[high] = low
+        comp = merged(comp, frame(batch))
+        assert sorted(map(tuple, comp.collect())) == sorted((n, find(n)) for n in parent)
