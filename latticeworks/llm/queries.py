@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .balanced_shards import OP13_SQL, op13_balanced_shards
 from .byte_bpe import op2_byte_bpe
 from .decontamination import OP6_SQL, op6_benchmark_leaks
 from .jaccard_join import op5_jaccard_join
@@ -12,5 +13,5 @@ from .token_shards import op7_token_shards
 from .toxicity_crf import op8_toxicity_crf
 from .warc_bundles import op4_warc_bundles
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_quality_lm, op4_warc_bundles, op5_jaccard_join, op6_benchmark_leaks, op7_token_shards, op8_toxicity_crf, op9_media_tiff, op10_suffix_dedup)}
-SQL = {"op1_substring_dedup": OP1_SQL, "op6_benchmark_leaks": OP6_SQL}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_quality_lm, op4_warc_bundles, op5_jaccard_join, op6_benchmark_leaks, op7_token_shards, op8_toxicity_crf, op9_media_tiff, op10_suffix_dedup, op13_balanced_shards)}
+SQL = {"op1_substring_dedup": OP1_SQL, "op6_benchmark_leaks": OP6_SQL, "op13_balanced_shards": OP13_SQL}
