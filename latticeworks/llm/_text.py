@@ -60,12 +60,21 @@ def column_ints(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.int64()).to_numpy(zero_copy_only=False)
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends (byte positions) of the words of each row, and the n + 1 offsets of the rows' words."""
+def binaries(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Binary values that lie one after another in data."""
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def words(data: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends (byte positions) of the words of each row, and the n + 1 offsets of the rows' words.
+
+    space: for each byte, whether it lies between words.
+    """
     n = len(data)
     inside = np.empty(n + 2, bool)
     inside[0] = inside[-1] = False
-    np.logical_not(SPACE[data], out=inside[1:-1])
+    np.logical_not(space[data], out=inside[1:-1])
     edge = off[1:-1][(off[1:-1] > 0) & (off[1:-1] < n)]
     first = inside[1:-1] & ~inside[:-2]
     last = inside[1:-1] & ~inside[2:]

@@ -146,12 +146,6 @@ class Aligner:
         return Aligned(len(full), self.encoder.rows(spaced, moved), self.pieces.rows(spaced, moved), moved, (self.bytes.size, self.pieces.bytes.size))
 
 
-def _binary(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
-    """Binary values that lie one after another in data."""
-    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-    return pa.BinaryArray.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-
-
 class Stretch:
     """Entries (pair, place, links) of one stretch of documents, and their containers."""
 
@@ -187,11 +181,11 @@ class Stretch:
                     continue
                 inside = place[np.repeat(lo[k], n[k]) + X.ranges(n[k])]
                 if bits is None:
-                    values = _binary(inside.view(np.uint8), 2 * n[k])
+                    values = X.binaries(inside.view(np.uint8), 2 * n[k])
                 else:
                     maps = np.zeros((len(k), 8 * width), bool)
                     maps[np.repeat(np.arange(len(k)), n[k]), inside] = True
-                    values = _binary(np.packbits(maps, axis=1).ravel(), np.full(len(k), width))
+                    values = X.binaries(np.packbits(maps, axis=1).ravel(), np.full(len(k), width))
                 cells = {"stretch": np.full(len(k), self.number), "a": pair[lo[k]] >> 16, "b": pair[lo[k]] & 0xFFFF, "plane": np.full(len(k), plane), "population": n[k], "documents": new[k], "dense": np.full(len(k), bits is not None), "bits": values}
                 yield _filled(schema, cells, len(k))
 
