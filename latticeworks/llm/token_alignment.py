@@ -71,7 +71,8 @@ class PieceEncoder(DistinctEncoder):
         if any(a != "▁" and b == "▁" for p in pieces for a, b in zip(p, p[1:])):
             raise ValueError(f"{path} has pieces that reach over the start of a word")
         self.bytes = Bytes([bytes([int(p[3:5], 16)]) if library.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
-        super().__init__(self.bytes.checked(lambda words, _: library.encode([w[1:].decode() for w in words], num_threads=1)))
+        alone = library.piece_to_id("▁")  # the library gives an empty text no space
+        super().__init__(self.bytes.checked(lambda words, _: [[alone] if w == b" " else ids for w, ids in zip(words, library.encode([w[1:].decode() for w in words], num_threads=1))]))
 
     def _split(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start = np.zeros(len(data) + 1, bool)
