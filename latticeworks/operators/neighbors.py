@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..plans import dims
+from ..plans.storage import written
 
 Offset = tuple[int, int, int]
 FACES: dict[str, Offset] = {"west": (-1, 0, 0), "east": (1, 0, 0), "down": (0, -1, 0), "up": (0, 1, 0), "north": (0, 0, -1), "south": (0, 0, 1)}
@@ -68,16 +69,25 @@ def thin_floor_slabs(voxels: DataFrame) -> DataFrame:
 
 
 def box_cells(boxes: DataFrame, limits: DataFrame | None = None) -> DataFrame:
-    """Distinct cells of inclusive boxes (x0..x1, y0..y1, z0..z1), axis by axis."""
-    out = boxes
-    for c in "xyz":
-        out = out.withColumn(c, F.explode(F.sequence(F.col(f"{c}0").cast("int"), F.col(f"{c}1").cast("int"))))
+    """Distinct cells of inclusive boxes (x0..x1, y0..y1, z0..z1), axis by axis; within the box of the cells of limits, if given.
+
+    After the first axis the rows are dealt anew, so a large box isn't one task's work.
+    """
+    ends = boxes.select(*(F.col(f"{c}{k}").cast("int").alias(f"{c}{k}") for c in "xyz" for k in "01"))
+    if limits is not None:
+        within = limits.agg(*(f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))))  # one row
+        ends = ends.crossJoin(F.broadcast(within)).select(*(f(F.col(f"{c}{k}"), F.col(f"{n}{c}")).alias(f"{c}{k}") for c in "xyz" for k, n, f in (("0", "lo", F.greatest), ("1", "hi", F.least))))
+    out = ends.where("x0 <= x1 AND y0 <= y1 AND z0 <= z1")
+    out = out.select("*", F.explode(F.sequence("x0", "x1")).alias("x")).repartition("x", "y0", "z0")
+    for c in "yz":
+        out = out.withColumn(c, F.explode(F.sequence(f"{c}0", f"{c}1")))
     return out.select("x", "y", "z").distinct()
 
 
 def carve_openings(voxels: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Voxels outside every box: boxes are spread to cells, so it is a hash anti-join and not a range join."""
-    return voxels.join(box_cells(boxes), ["x", "y", "z"], "left_anti")
+    """Voxels outside every box: boxes are clipped to the voxels' own and spread to cells, so it is a hash anti-join and not a
+    range join."""
+    return voxels.join(box_cells(boxes, voxels), ["x", "y", "z"], "left_anti")
 
 
 def occupied_minus_carved(voxels: DataFrame, carved: DataFrame) -> DataFrame:
@@ -94,16 +104,56 @@ def explode_radius(voxels: DataFrame, blasts: DataFrame) -> DataFrame:
     return cells.join(voxels.where("v > 1").select("x", "y", "z"), ["x", "y", "z"]).select("blast_id", "x", "y", "z", F.lit(0).alias("v"))
 
 
-def visible_faces(voxels: DataFrame, transparent: DataFrame, loaded_cells: DataFrame | None = None) -> DataFrame:
-    """Faces (x, y, z, face, pass) of voxels (x, y, z, v) that can be seen; y is up, v > 0.
+def in_blasts(points: DataFrame, blasts: DataFrame, block: float = 1.0) -> DataFrame:
+    """points (id, x, y, z) with each blast_id that reaches them and ``d2``, the squared distance in blocks (radius**2 at most).
+
+    Blasts are spread to the cells of 16 blocks that their box touches, so it is a hash join.
+    """
+    size = 16
+    where = lambda x: F.floor(x / size).cast("long")
+    spread = blasts.select("blast_id", "bx", "by", "bz", "radius")
+    for c in "xyz":
+        spread = spread.withColumn(f"k{c}", F.explode(F.sequence(where(F.col(f"b{c}") - F.col("radius")), where(F.col(f"b{c}") + F.col("radius")))))
+    placed = points.withColumns({f"p{c}": F.col(c) / block for c in "xyz"}).withColumns({f"k{c}": where(F.col(f"p{c}")) for c in "xyz"})
+    d2 = sum((F.col(f"p{c}") - F.col(f"b{c}")) * (F.col(f"p{c}") - F.col(f"b{c}")) for c in "xyz")
+    near = placed.join(spread, ["kx", "ky", "kz"]).withColumn("d2", d2).where("d2 <= radius * radius")
+    return near.select(*points.columns, "blast_id", "radius", "d2")
+
+
+def surviving_entities(entities: DataFrame, blasts: DataFrame, block: float = 1.0) -> DataFrame:
+    """Entities (id, x, y, z) that no blast reaches."""
+    return entities.join(in_blasts(entities.select("id", "x", "y", "z"), blasts, block).select("id"), "id", "left_anti")
+
+
+def blast_damage(players: DataFrame, blasts: DataFrame, block: float = 1.0) -> DataFrame:
+    """id, blast_id, damage of players (id, x, y, z, mode) in survival mode: up to 15, less by the square of the distance."""
+    hit = in_blasts(players.where("mode = 'survival'").select("id", "x", "y", "z"), blasts, block)
+    r2 = F.col("radius") * F.col("radius")
+    return hit.select("id", "blast_id", F.floor((r2 - F.col("d2")) / r2 * 15).cast("int").alias("damage"))
+
+
+def visible_faces(voxels: DataFrame, transparent: DataFrame, loaded_cells: DataFrame | None = None, doors: DataFrame | None = None, within: DataFrame | None = None) -> DataFrame:
+    """Faces (x, y, z, v, face, pass) of voxels (x, y, z, v) that can be seen; y is up, v > 0.
 
     An opaque voxel shows a face to air, to a cell that isn't loaded, or to another transparent voxel; a transparent one shows
-    it to air of loaded cells and to other transparent voxels.  transparent: v.
+    it to air of loaded cells and to other transparent voxels.  transparent: v.  A door (v, axis 'x' or 'z', open) is a panel
+    of two faces whatever is beside it: across its axis and opaque if closed, swung to the other axis and transparent if open;
+    beside other voxels it counts as its row in transparent says.  within: cells (cx, cy, cz) whose voxels are asked for.
     """
     t = F.broadcast(transparent.select("v").distinct().withColumn("clear", F.lit(True)))
     marked = voxels.select("x", "y", "z", "v").join(t, "v", "left").withColumn("clear", F.coalesce("clear", F.lit(False)))
+    asking = marked
+    if within is not None:
+        cells = {f"c{c}": S.cell_of(c) for c in "xyz"}
+        asking = marked.withColumns(cells).join(within.select(*cells).distinct(), list(cells), "left_semi").drop(*cells)
+    panels = None
+    if doors is not None:
+        d = F.broadcast(doors.select("v", "axis", "open").dropDuplicates(["v"]))
+        across = F.when((F.col("axis") == "x") != F.col("open"), F.array(F.lit("east"), F.lit("west"))).otherwise(F.array(F.lit("south"), F.lit("north")))
+        panels = asking.join(d, "v").select("x", "y", "z", "v", F.explode(across).alias("face"), F.when(F.col("open"), "transparent").otherwise("opaque").alias("pass"))
+        asking = asking.join(d.select("v"), "v", "left_anti")
     around = F.array(*(F.struct(F.lit(n).alias("face"), *((F.col(c) + d).alias(f"n{c}") for c, d in zip("xyz", o))) for n, o in FACES.items()))
-    asked = marked.select("*", F.explode(around).alias("q")).select("x", "y", "z", "v", "clear", "q.*")
+    asked = asking.select("*", F.explode(around).alias("q")).select("x", "y", "z", "v", "clear", "q.*")
     other = marked.select(*(F.col(c).alias(f"n{c}") for c in "xyz"), F.col("v").alias("nv"), F.col("clear").alias("nclear"))
     seen = asked.join(other, ["nx", "ny", "nz"], "left")
     loaded = F.lit(True)
@@ -113,7 +163,8 @@ def visible_faces(voxels: DataFrame, transparent: DataFrame, loaded_cells: DataF
         loaded = F.coalesce("loaded", F.lit(False))
     beside = F.col("nv").isNull()
     shows = F.when(beside, ~F.col("clear") | loaded).otherwise(F.col("nclear") & (F.col("nv") != F.col("v")))
-    return seen.where(shows).select("x", "y", "z", "v", "face", F.when(F.col("clear"), "transparent").otherwise("opaque").alias("pass"))
+    out = seen.where(shows).select("x", "y", "z", "v", "face", F.when(F.col("clear"), "transparent").otherwise("opaque").alias("pass"))
+    return out if panels is None else out.unionByName(panels)
 
 
 def preview_boxes(voxels: DataFrame) -> DataFrame:
@@ -136,18 +187,50 @@ def within_reach(pairs: DataFrame, limit: float = 5.0, block_size: float = 16.0)
     return pairs.where(S.distance(("ax", "bx"), ("ay", "by"), ("az", "bz")) / block_size <= limit)
 
 
-def radius_join(entities: DataFrame, players: DataFrame, r: float, width: float = 1.0) -> DataFrame:
-    """Each entity with the first player (by ordinal) nearer than r; players are spread to the 27 cells around them."""
+#: A player's point is so far above its position, in blocks.
+EYE = 0.6
+
+
+def eligible_players(players: DataFrame, now) -> DataFrame:
+    """Players (with show_inventory, pickup_delay, mode) that may pick things up at ``now``."""
+    free = ~F.coalesce("show_inventory", F.lit(False)) & ~F.coalesce(F.col("pickup_delay") > now, F.lit(False))
+    return players.where(free & ~F.coalesce(F.col("mode").isin("spectator", "camera"), F.lit(False)))
+
+
+def radius_join(entities: DataFrame, players: DataFrame, r: float, width: float = 1.0, eye: float = 0.0) -> DataFrame:
+    """Each entity with the first player (by ordinal) nearer than r; players are spread to the 27 cells around them.
+
+    eye: the height of an entity's aim below the player's position, as ``EYE`` times a block's size.
+    """
     size = max(r, width)
     cell = lambda c: F.floor(F.col(c) / size)
     e = entities.withColumns({f"k{c}": cell(f"e{c}") for c in "xyz"})
-    p = players.withColumns({f"k{c}": cell(f"p{c}") for c in "xyz"})
+    p = players.withColumn("py", F.col("py") - eye) if eye else players
+    p = p.withColumns({f"k{c}": cell(f"p{c}") for c in "xyz"})
     for c in "xyz":
         p = p.withColumn(f"k{c}", F.explode(F.array(*(F.col(f"k{c}") + d for d in (-1, 0, 1)))))
     near = e.join(p, ["kx", "ky", "kz"]).withColumn("d", S.distance(("ex", "px"), ("ey", "py"), ("ez", "pz"))).where(F.col("d") < r)
     return near.groupBy("entity_id").agg(F.min_by("player_id", "ordinal").alias("player_id"))
 
 
+def pickups(entities: DataFrame, players: DataFrame, now, block: float = 1.0) -> DataFrame:
+    """entity_id, player_id, action of entities (entity_id, ex, ey, ez) near players that may take them.
+
+    The first player (by ordinal) nearer than 0.6 blocks picks an entity up; one that nobody picks up is pulled by the last
+    player nearer than 1.5 blocks.
+    """
+    size = 1.5 * block
+    free = eligible_players(players, now).withColumn("py", F.col("py") - EYE * block)
+    e = entities.withColumns({f"k{c}": F.floor(F.col(f"e{c}") / size) for c in "xyz"})
+    p = free.withColumns({f"k{c}": F.floor(F.col(f"p{c}") / size) for c in "xyz"})
+    for c in "xyz":
+        p = p.withColumn(f"k{c}", F.explode(F.array(*(F.col(f"k{c}") + d for d in (-1, 0, 1)))))
+    near = e.join(p, ["kx", "ky", "kz"]).withColumn("d", S.distance(("ex", "px"), ("ey", "py"), ("ez", "pz"))).where(F.col("d") < size)
+    picked = F.min(F.when(F.col("d") < 0.6 * block, F.struct("ordinal", "player_id")))
+    each = near.groupBy("entity_id").agg(picked.alias("picked"), F.max(F.struct("ordinal", "player_id")).alias("last"))
+    return each.select("entity_id", F.coalesce("picked.player_id", "last.player_id").alias("player_id"), F.when(F.col("picked").isNotNull(), "pick").otherwise("pull").alias("action"))
+
+
 def mirror_double_doors(cells: DataFrame) -> DataFrame:
     """Hinges of lower door halves (door_id, x, y, z, facing): in a run of L >= 2 the first half right, the rest left; singles left."""
     wide = F.when(F.col("facing") == "east", F.col("y")).otherwise(F.col("x"))
@@ -186,7 +269,7 @@ def place_doors(voxels: DataFrame, doors: DataFrame, pitch: float, mode: str = "
         return carved
     height = S.door_height(pitch)
     ex, ey = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    d = doors.withColumn("facing", S.door_facing(ex, ey))
+    d = doors if "facing" in doors.columns else doors.withColumn("facing", S.door_facing(ex, ey))
     east = F.col("facing") == "east"
     d = d.withColumns({"lo": F.when(east, F.col("y0")).otherwise(F.col("x0")), "hi": F.when(east, F.col("y1")).otherwise(F.col("x1")), "fixed": F.floor(F.when(east, F.col("x0") + F.col("x1")).otherwise(F.col("y0") + F.col("y1")) / 2)})
     d = d.withColumn("n", S.leaf_count("width", pitch, F.col("hi") - F.col("lo") + 1)).withColumn("start", F.greatest("lo", F.floor((F.col("lo") + F.col("hi")) / 2) - F.floor((F.col("n") - 1) / 2)))
@@ -208,28 +291,50 @@ def place_doors(voxels: DataFrame, doors: DataFrame, pitch: float, mode: str = "
 def fill_enclosed(voxels: DataFrame) -> DataFrame:
     """Cells (x, y, z) that no path of empty cells joins with the outside of the bounding box.
 
-    Empty cells are taken as runs along z, which are few; runs that touch a run beside them share the smaller label until
-    nothing moves, and labels that reach the border are outside.  Rounds are cut off with checkpoint().
+    Empty cells between two voxels of a column are a run.  A run is open where a column beside it has no voxel, or none above
+    or below it; a run that touches an open one through other runs is outside too.  Runs that touch are contracted (see
+    ``flooded``), so rounds follow the logarithm of the longest path.  Columns without voxels are never made.
     """
-    box = voxels.agg(*(f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max)))).first()
-    if box is None or box["lox"] is None:
-        return voxels.select("x", "y", "z").limit(0)
-    spark = voxels.sparkSession
-    columns = spark.range(box["lox"], box["hix"] + 1).select(F.col("id").cast("int").alias("x")).crossJoin(spark.range(box["loy"], box["hiy"] + 1).select(F.col("id").cast("int").alias("y")))
-    walls = columns.withColumn("z", F.explode(F.array(F.lit(box["loz"] - 1), F.lit(box["hiz"] + 1)))).unionByName(voxels.select("x", "y", F.col("z").cast("int").alias("z")).distinct())
     w = Window.partitionBy("x", "y").orderBy("z")
-    runs = walls.withColumn("next", F.lead("z").over(w)).where(F.col("next") > F.col("z") + 1).select("x", "y", (F.col("z") + 1).alias("z0"), (F.col("next") - 1).alias("z1"))
-    edge = (F.col("x").isin(box["lox"], box["hix"])) | (F.col("y").isin(box["loy"], box["hiy"])) | (F.col("z0") == box["loz"]) | (F.col("z1") == box["hiz"])
-    runs = runs.withColumn("id", F.struct("x", "y", "z0")).withColumn("outside", edge).checkpoint()
-    beside = runs.select(F.explode(F.array(*(F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))))).alias("p"), F.col("z0").alias("a0"), F.col("z1").alias("a1"), F.col("id").alias("other"))
-    touch = beside.select("p.x", "p.y", "a0", "a1", "other").join(runs.select("x", "y", "z0", "z1", "id"), ["x", "y"]).where("a0 <= z1 AND z0 <= a1").select("id", "other").checkpoint()
-    labels = runs.select("id", "outside")
-    while True:
-        reached = touch.join(labels.where("outside").select(F.col("id").alias("other")), "other").select("id").distinct().withColumn("hit", F.lit(True))
-        grown = labels.join(reached, "id", "left").select("id", (F.col("outside") | F.coalesce("hit", F.lit(False))).alias("outside"), (~F.col("outside") & F.coalesce("hit", F.lit(False))).alias("moved")).checkpoint()
-        moved = grown.where("moved").limit(1).count()
-        labels = grown.select("id", "outside")
-        if not moved:
-            break
-    inside = runs.select("x", "y", "z0", "z1", "id").join(labels.where("NOT outside"), "id", "left_semi")
-    return inside.select("x", "y", F.explode(F.sequence("z0", "z1")).alias("z"))
+    cells = voxels.select(*(F.col(c).cast("int").alias(c) for c in "xyz")).distinct()
+    gaps = cells.withColumn("next", F.lead("z").over(w)).where("next > z + 1").select("x", "y", (F.col("z") + 1).alias("z0"), (F.col("next") - 1).alias("z1"))
+    # A hash comes first, so that ids have no order along a path.
+    runs = gaps.withColumn("id", F.struct(F.hash("x", "y", "z0").alias("h"), "x", "y", "z0"))
+    runs = written(runs)
+    columns = cells.groupBy("x", "y").agg(F.min("z").alias("low"), F.max("z").alias("high"))
+    sides = F.explode(F.array(*(F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1)))))
+    asked = runs.select("id", "z0", "z1", sides.alias("p")).select("id", "z0", "z1", "p.*")
+    closed = asked.join(columns, ["x", "y"]).where("low <= z0 AND z1 <= high").groupBy("id").agg(F.count("*").alias("n")).where("n = 4").select("id")
+    nodes = runs.select("id").join(closed.withColumn("open", F.lit(False)), "id", "left").select("id", F.coalesce("open", F.lit(True)).alias("open"))
+    beside = asked.select("x", "y", F.col("id").alias("other"), F.col("z0").alias("a0"), F.col("z1").alias("a1"))
+    touch = beside.join(runs, ["x", "y"]).where("a0 <= z1 AND z0 <= a1").select("id", "other")
+    inside = flooded(nodes, touch).where("NOT open").select("id")
+    return runs.join(inside, "id", "left_semi").select("x", "y", F.explode(F.sequence("z0", "z1")).alias("z"))
+
+
+def flooded(nodes: DataFrame, touch: DataFrame) -> DataFrame:
+    """nodes (id, open) with open set for all that a path of touch (id, other; both ways) joins with an open one.
+
+    Each round hangs every node below the smallest of its neighbours that is smaller, lets each look up its parent's parent
+    until it has a root, and goes on with the roots and the links between them; open is passed up to the roots, and down again
+    at the end.  Ids in random order make a round leave about a third of a path's nodes.  Levels are written.
+    """
+    levels = []
+    nodes, touch = written(nodes), written(touch.where("id <> other").distinct())
+    while not touch.isEmpty():
+        up = touch.groupBy("id").agg(F.min("other").alias("least"))
+        roots = written(nodes.join(up, "id", "left").select("id", "open", F.least("id", "least").alias("root")))
+        while True:
+            above = roots.select(F.col("id").alias("root"), F.col("root").alias("over"))
+            jumped = written(roots.join(above, "root").select("id", "open", F.col("over").alias("root"), (F.col("over") != F.col("root")).alias("moved")))
+            roots = jumped.drop("moved")
+            if jumped.where("moved").isEmpty():
+                break
+        levels.append(roots.select("id", "root"))
+        nodes = written(roots.groupBy("root").agg(F.max("open").alias("open")).withColumnRenamed("root", "id"))
+        ends = touch.join(levels[-1], "id").select(F.col("root").alias("id"), "other")
+        ends = ends.join(levels[-1].select(F.col("id").alias("other"), F.col("root").alias("over")), "other").select("id", F.col("over").alias("other"))
+        touch = written(ends.where("id <> other").distinct())
+    for level in reversed(levels):
+        nodes = level.join(nodes.withColumnRenamed("id", "root"), "root").select("id", "open")
+    return nodes

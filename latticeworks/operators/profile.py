@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..plans import dims
+from .voxels import classify, drop_non_solid
 
 
 def type_counts(elements: DataFrame) -> DataFrame:
@@ -56,9 +58,11 @@ def material_name_counts(named: DataFrame, k_names: int = 25, k_type: int = 3) -
 
 
 def mesh_summary(meshes: DataFrame) -> DataFrame:
-    """meshes: mesh_id, n_vertices, n_faces; a mesh without either is skipped."""
-    ok = (F.col("n_vertices") > 0) & (F.col("n_faces") > 0)
-    return meshes.agg(F.count("*").alias("total"), F.count_if(ok).alias("converted"), F.count_if(~ok).alias("skipped"), F.sum(F.when(ok, F.col("n_vertices"))).alias("vertices"), F.sum(F.when(ok, F.col("n_faces"))).alias("faces"))
+    """meshes: mesh_id, n_vertices, n_faces, and low and high of x, y, z; a mesh without vertices or faces is skipped, and
+    doesn't count in the bounds."""
+    ok = F.coalesce((F.col("n_vertices") > 0) & (F.col("n_faces") > 0), F.lit(False))
+    ends = [f(F.when(ok, F.col(f"{end}_{c}"))).alias(f"{name}_{c}") for c in "xyz" for name, f, end in (("min", F.min, "low"), ("max", F.max, "high")) if f"{end}_{c}" in meshes.columns]
+    return meshes.agg(F.count("*").alias("total"), F.count_if(ok).alias("converted"), F.count_if(~ok).alias("skipped"), F.sum(F.when(ok, F.col("n_vertices"))).alias("vertices"), F.sum(F.when(ok, F.col("n_faces"))).alias("faces"), *ends)
 
 
 def storeys_by_elevation(storeys: DataFrame) -> DataFrame:
@@ -69,17 +73,55 @@ def datasets_by_size(catalog: DataFrame) -> DataFrame:
     return catalog.orderBy("count", "name")
 
 
-def run_summary(**aggregates: DataFrame) -> DataFrame:
-    """One nested record of one-row aggregates."""
+def listed(rows: DataFrame, key: str) -> DataFrame:
+    """One row, ``key``: the values (of a bounded set) and their numbers of rows as (name, n), the most frequent first."""
+    counts = rows.groupBy(F.col(key).alias("name")).agg(F.count("*").alias("n"))
+    return counts.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "name"))), lambda x: F.struct(x["name"].alias("name"), (-x["k"]).alias("n"))).alias(key))
+
+
+def run_summary(flags: dict[str, object] | None = None, **aggregates: DataFrame) -> DataFrame:
+    """One nested record: flags as they are, and of each one-row aggregate a struct, or its only column if that is a list."""
     out = None
     for name, df in aggregates.items():
-        one = df.select(F.struct(*df.columns).alias(name))
+        alone = len(df.columns) == 1 and df.dtypes[0][1].startswith("array")
+        one = df.select((F.col(f"`{df.columns[0]}`") if alone else F.struct(*df.columns)).alias(name))
         out = one if out is None else out.crossJoin(F.broadcast(one))
-    return out
+    return out.select(*(F.lit(v).alias(k) for k, v in (flags or {}).items()), "*")
 
 
-def inspect_model(elements: DataFrame, storeys: DataFrame, value: str) -> DataFrame:
+def inspect_model(elements: DataFrame, storeys: DataFrame, value: str, prefix: str = "") -> DataFrame:
+    """elements, the commonest types, storeys, the scale of sampled elements, and the metres of the model's unit (its prefix)."""
     counts = type_counts(elements)
     one = lambda df, *aggs: df.agg(*aggs)
     top = one(top_types(counts), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "ifc_type", "n"))).alias("types"))
-    return run_summary(elements=one(elements, F.count("*").alias("n"), F.count_if("has_representation").alias("n_represented")), top=top, storeys=one(storeys, F.count("*").alias("n"), F.min("elevation").alias("lowest")), scale=geometry_scale(systematic_sample(elements, "element_id"), value))
+    scale, unit = geometry_scale(systematic_sample(elements, "element_id"), value), one(elements, F.max(S.unit_factor(F.lit(prefix))).alias("metres"))
+    return run_summary(elements=one(elements, F.count("*").alias("n"), F.count_if("has_representation").alias("n_represented")), top=top.withColumn("n", F.size("types")), storeys=one(storeys, F.count("*").alias("n"), F.min("elevation").alias("lowest")), scale=scale, unit=unit)
+
+
+def solid_faces(elements: DataFrame, faces: DataFrame, class_dim: DataFrame, exclude_dim: DataFrame) -> DataFrame:
+    """cls, n_faces of the solid elements; doors, excluded elements and those without geometry have none."""
+    solid = drop_non_solid(classify(elements, class_dim), exclude_dim)[0]
+    return faces.select("element_id").join(solid.select("element_id", "cls"), "element_id").groupBy("cls").agg(F.count("*").alias("n_faces"))
+
+
+def material_colours(elements: DataFrame, faces: DataFrame, materials: DataFrame, k_names: int = 25, k_type: int = 3) -> DataFrame:
+    """scope, key, name, r, g, b, n: the names of most elements' dominant materials overall (no colour), the (name, colour) of
+    most elements of each type, and one row 'with' of how many elements have materials.
+
+    materials: element_id, material_id, name, r, g, b (0 to 1, null without a colour); colours are rounded to two places.
+    """
+    of = dominant_material(faces).join(materials, ["element_id", "material_id"]).join(elements.select("element_id", "ifc_type"), "element_id")
+    of = of.withColumns({c: F.round(c, 2) for c in "rgb"})
+    plain = [F.lit(None).cast("double").alias(c) for c in "rgb"]
+    overall = of.groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(k_names).select(F.lit("all").alias("scope"), F.lit("").alias("key"), "name", *plain, "n")
+    rank = Window.partitionBy("ifc_type").orderBy(F.desc("n"), "name", *"rgb")
+    by_type = of.groupBy("ifc_type", "name", *"rgb").agg(F.count("*").alias("n")).withColumn("rn", F.row_number().over(rank)).where(F.col("rn") <= k_type)
+    having = materials.agg(F.count_distinct("element_id").alias("n")).select(F.lit("with").alias("scope"), F.lit("").alias("key"), F.lit("").alias("name"), *plain, "n")
+    return overall.unionByName(by_type.select(F.lit("type").alias("scope"), F.col("ifc_type").alias("key"), "name", *"rgb", "n")).unionByName(having)
+
+
+def rejected_meshes(meshes: DataFrame, k: int = 50) -> DataFrame:
+    """The first k meshes (by mesh_id) that ``mesh_summary`` skips, with the reason: a report of a stated length."""
+    none = lambda c: F.coalesce(F.col(c) <= 0, F.lit(True))
+    error = F.when(none("n_vertices"), "no vertices").when(none("n_faces"), "no faces")
+    return meshes.withColumn("error", error).where("error IS NOT NULL").orderBy("mesh_id").limit(k)

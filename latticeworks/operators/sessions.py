@@ -10,16 +10,31 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 
 
-def session_rollup(events: DataFrame) -> DataFrame:
-    """Per session: first and last time, first value, and counters of each kind."""
-    counters = {"bm": "mined", "bp": "placed", "cr": "chunk_requests", "join": "joins", "leave": "leaves"}
-    return events.groupBy("session_id").agg(F.min("ts").alias("connected"), F.max("ts").alias("last_seen"), F.min_by("kind", F.struct("ts", "event_id")).alias("first_kind"), *(F.count_if(F.col("kind") == k).alias(n) for k, n in counters.items()))
+COUNTERS = {"bm": "mined", "bp": "placed", "cr": "chunk_requests", "ms": "messages", "r": "respawns", "d": "deaths", "join": "joins", "leave": "leaves"}
 
 
-def server_info(events: DataFrame) -> DataFrame:
-    """Sessions in all, and those whose last event isn't a leave."""
+def session_rollup(events: DataFrame, firsts: tuple[str, ...] = ("kind",)) -> DataFrame:
+    """Per session: first and last time, the first value of each column of firsts that has one, and counters of each kind."""
+    first = (F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("ts", "event_id"))).alias(f"first_{c}") for c in firsts)
+    return events.groupBy("session_id").agg(F.min("ts").alias("connected"), F.max("ts").alias("last_seen"), *first, *(F.count_if(F.col("kind") == k).alias(n) for k, n in COUNTERS.items()))
+
+
+def server_info(events: DataFrame, started=None, now=None, region: str | None = None) -> DataFrame:
+    """Sessions in all, and those whose last event isn't a leave; with ``started`` and ``now``, the uptime in seconds and the
+    region as well.  ``online_players`` lists the names."""
     last = events.groupBy("session_id").agg(F.max_by("kind", F.struct("ts", "event_id")).alias("kind"))
-    return last.agg(F.count("*").alias("sessions"), F.count_if(F.col("kind") != "leave").alias("online"))
+    one = last.agg(F.count("*").alias("sessions"), F.count_if(F.col("kind") != "leave").alias("online"))
+    if started is None:
+        return one
+    seconds = F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(F.lit(started).cast("timestamp"))
+    return one.select("*", seconds.alias("uptime"), F.lit(region).alias("region"))
+
+
+def online_players(events: DataFrame) -> DataFrame:
+    """session_id, name of the sessions whose last event isn't a leave; the name is the first one given, or null."""
+    at = F.struct("ts", "event_id")
+    each = events.groupBy("session_id").agg(F.max_by("kind", at).alias("kind"), F.min_by("name", F.when(F.col("name").isNotNull(), at)).alias("name"))
+    return each.where("kind <> 'leave'").select("session_id", "name")
 
 
 def player_ping(pings: DataFrame, n: int = 30) -> DataFrame:

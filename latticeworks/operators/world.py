@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,19 +49,38 @@ def _islands(rows: DataFrame, key: list[str], changes: Column) -> DataFrame:
     return marked.withColumn("island", F.sum("new").over(Window.partitionBy(*key).orderBy("off").rowsBetween(Window.unboundedPreceding, 0))).drop("new")
 
 
-def rle_decode(cells: DataFrame) -> DataFrame:
-    """cx, cy, cz, off, v for every value of ``rle``; a header of 0 is skipped."""
-    start = F.expr("named_struct('mode', 0, 'left', 0, 'out', cast(array() as array<int>))")
+def _decoded(batches):
+    """Rows of each value of run-length arrays, some 65,536 at a time."""
+    for batch in batches:
+        cells, rle = [batch.column(i).to_numpy() for i in range(3)], batch.column(3)
+        parts: list[np.ndarray] = []
+        lengths: list[int] = []
+        first = 0
+
+        def rows(end: int) -> pa.RecordBatch:
+            n = np.array(lengths)
+            off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            columns = [np.repeat(c[first:end], n) for c in cells] + [off, np.concatenate(parts) if parts else off]
+            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)) for c in columns], names=["cx", "cy", "cz", "off", "v"])
+
+        for k in range(len(rle)):
+            x, i, n = np.array(rle[k].as_py() or [], np.int64), 0, 0
+            while i < len(x):
+                head = int(x[i])
+                part = np.repeat(x[i + 1 : i + 2], head) if head > 0 else x[i + 1 : i + 1 - head]
+                i += 2 if head > 0 else 1 - head
+                parts.append(part)
+                n += len(part)
+            lengths.append(n)
+            if sum(lengths) >= 1 << 16 or k + 1 == len(rle):
+                yield rows(k + 1)
+                parts, lengths, first = [], [], k + 1
 
-    def step(acc: Column, x: Column) -> Column:
-        state = lambda mode, left, out: F.struct(mode.alias("mode"), left.alias("left"), out.alias("out"))
-        header = F.when(x > 0, state(F.lit(1), x, acc["out"])).when(x < 0, state(F.lit(2), -x, acc["out"])).otherwise(acc)
-        run = state(F.lit(0), F.lit(0), F.concat(acc["out"], F.array_repeat(x, acc["left"])))
-        rip = state(F.when(acc["left"] == 1, 0).otherwise(2), acc["left"] - 1, F.concat(acc["out"], F.array(x)))
-        return F.when(acc["mode"] == 0, header).when(acc["mode"] == 1, run).otherwise(rip)
 
-    values = F.aggregate("rle", start, step, lambda acc: acc["out"])
-    return cells.select("cx", "cy", "cz", F.posexplode(values).alias("off", "v"))
+def rle_decode(cells: DataFrame) -> DataFrame:
+    """cx, cy, cz, off, v for every value of ``rle``; a header of 0 is skipped.  Work follows the length of what it gives."""
+    ints = cells.select(*(F.col(c).cast("int").alias(c) for c in ("cx", "cy", "cz")), F.col("rle").cast("array<int>").alias("rle"))
+    return ints.mapInArrow(_decoded, "cx int, cy int, cz int, off int, v int")
 
 
 def flat_ground(extent: DataFrame, ground_y: int = 4) -> DataFrame:
@@ -72,7 +93,8 @@ def flat_ground(extent: DataFrame, ground_y: int = 4) -> DataFrame:
 def footprint_ground(blocks: DataFrame, base_y: int = 4, margin: int = 4) -> DataFrame:
     """Grass under and around the building, two layers of dirt below its footprint's box."""
     box = blocks.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("z").alias("z0"), F.max("z").alias("z1"))
-    layer = lambda m, y, name: box.withColumn("x", F.explode(F.sequence(F.col("x0") - m, F.col("x1") + m))).withColumn("z", F.explode(F.sequence(F.col("z0") - m, F.col("z1") + m))).select("x", F.lit(y).alias("y"), "z", F.lit(name).alias("block"))
+    # The rows along x are dealt to all tasks before each is spread along z.
+    layer = lambda m, y, name: box.withColumn("x", F.explode(F.sequence(F.col("x0") - m, F.col("x1") + m))).repartition("x").withColumn("z", F.explode(F.sequence(F.col("z0") - m, F.col("z1") + m))).select("x", F.lit(y).alias("y"), "z", F.lit(name).alias("block"))
     return layer(margin, base_y - 1, "minecraft:grass_block").unionByName(layer(0, base_y - 2, "minecraft:dirt")).unionByName(layer(0, base_y - 3, "minecraft:dirt"))
 
 

@@ -95,13 +95,18 @@ def round_trip_check(spark, sf_dir):
     return W.round_trip_check(view(spark, sf_dir, "block_states").select("x", "y", "z", "block").dropDuplicates(["x", "y", "z"]), new_folder(spark, "chunks"))
 
 
-def run_pipeline(spark, sf_dir):
-    from .registry import _boxes
+def model(spark, sf_dir) -> X.Model:
+    """Elements as boxes of triangles, and their doors, in decimetres."""
+    from .registry import _box_triangles
 
     get = lambda name: view(spark, sf_dir, name)
+    return X.Model(get("elements"), _box_triangles(get), get("doors").withColumnRenamed("width_dm", "width"))
+
+
+def run_pipeline(spark, sf_dir):
     out = new_folder(spark, "run")
-    made = X.run_pipeline(get("voxel_hits"), get("priority_dim"), get("style_dim"), _boxes(get), 10.0, out)
-    return X.write_outputs(made, out, 10.0)
+    made = X.run_pipeline(model(spark, sf_dir), *(view(spark, sf_dir, d) for d in ("class_dim", "exclude_dim", "priority_dim", "style_dim")), 4.0, out, metre=10.0)
+    return X.write_outputs(made, out, 4.0)
 
 
 # The corners of a box's twelve triangles, an axis being 1 on its far side.

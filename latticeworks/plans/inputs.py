@@ -23,6 +23,13 @@ VIEWS = {
   CAST(user_id % 256 AS INT) AS z, CASE WHEN event_type='purchase' THEN 0 ELSE CAST(1+event_id%20 AS INT) END AS v FROM events""",
     "session_events": """SELECT user_id AS session_id, event_id, ts, CASE event_type WHEN 'click' THEN 'bp' WHEN 'error' THEN 'leave' WHEN 'purchase' THEN 'bm' WHEN 'signup' THEN 'join' ELSE 'cr' END AS kind,
   value AS latency_ms FROM events""",
+    "session_log": """SELECT user_id AS session_id, event_id, ts, CASE event_type WHEN 'click' THEN CASE event_id % 4 WHEN 0 THEN 'ms' WHEN 1 THEN 'r' WHEN 2 THEN 'd' ELSE 'bp' END WHEN 'error' THEN 'leave' WHEN 'purchase' THEN 'bm' WHEN 'signup' THEN 'join' ELSE 'cr' END AS kind,
+  concat('ip', event_id % 7) AS ip, CASE WHEN event_id % 2 = 0 THEN concat('t', event_id) END AS token, CASE WHEN event_id % 3 > 0 THEN concat('p', user_id % 50) END AS name FROM events""",
+    "blasts": "SELECT event_id AS blast_id, x AS bx, y AS by, z AS bz, CAST(2 + event_id % 3 AS INT) AS radius FROM edits WHERE v = 0",
+    "entities": "SELECT p_partkey AS id, CAST((p_partkey*7)%512-256 AS DOUBLE) + 0.5 AS x, CAST(p_partkey%8 AS DOUBLE) + 0.25 AS y, CAST((p_partkey*3)%256 AS DOUBLE) + 0.5 AS z, CASE p_partkey % 3 WHEN 0 THEN 'creative' WHEN 1 THEN 'survival' ELSE 'spectator' END AS mode, p_partkey % 5 = 0 AS show_inventory, CASE WHEN p_partkey % 4 > 0 THEN p_partkey % 200 END AS pickup_delay FROM part",
+    "drops": "SELECT event_id AS entity_id, CAST(x AS DOUBLE) + 0.5 AS ex, CAST(y AS DOUBLE) AS ey, CAST(z AS DOUBLE) + 0.25 AS ez FROM edits",
+    "materials": "SELECT DISTINCT element_id, material_id, concat('m', material_id % 3) AS name, CASE WHEN material_id < 4 THEN CAST((r + 40 * material_id) % 256 AS DOUBLE) / 255 END AS r, CASE WHEN material_id < 4 THEN CAST(g AS DOUBLE) / 255 END AS g, CASE WHEN material_id < 4 THEN CAST(b AS DOUBLE) / 255 END AS b FROM face_materials f JOIN colors c ON c.color_id = f.element_id WHERE material_id >= 0",
+    "meshes": "SELECT p_partkey AS mesh_id, p_size AS n_vertices, p_size % 7 AS n_faces, (p_partkey*37)%480 AS low_x, (p_partkey*53)%400 AS low_y, (p_partkey*11)%120 AS low_z, (p_partkey*37)%480 + 1+p_size%12 AS high_x, (p_partkey*53)%400 + 1+(p_partkey*7)%30 AS high_y, (p_partkey*11)%120 + 2+(p_partkey*5)%28 AS high_z FROM part",
     "craft_slots": """SELECT l_orderkey AS grid_id, CAST(floor((l_linenumber-1)/3) AS INT) AS r, CAST((l_linenumber-1)%3 AS INT) AS c,
   CASE min(l_partkey)%4 WHEN 0 THEN 'planks_oak' WHEN 1 THEN 'stick' WHEN 2 THEN 'cobblestone' ELSE 'iron_ingot' END AS item FROM lineitem GROUP BY l_orderkey, l_linenumber""",
     "face_materials": "SELECT l_partkey AS element_id, l_orderkey*8+l_linenumber AS face_no, CAST(l_suppkey%6 AS INT)-1 AS material_id FROM lineitem",

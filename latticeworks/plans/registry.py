@@ -203,8 +203,24 @@ query("explode_radius", "SELECT b.event_id AS blast_id, v.x, v.y, v.z, 0 AS v FR
     lambda v: N.explode_radius(valued(v), v("edits").where("v = 0").select(F.col("event_id").alias("blast_id"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("z").alias("bz"), F.lit(2).alias("radius")))
 )
 _dirs = ", ".join(f"('{n}', {x}, {y}, {z})" for n, (x, y, z) in N.FACES.items())
-query("visible_faces", f"""WITH b AS (SELECT x, z AS y, y AS z, prio + 1 AS v, prio + 1 IN (1, 3) AS c FROM voxels), d(face, dx, dy, dz) AS (VALUES {_dirs})
-SELECT b.x, b.y, b.z, b.v, face, CASE WHEN b.c THEN 'transparent' ELSE 'opaque' END AS pass FROM b CROSS JOIN d LEFT JOIN b n ON n.x = b.x + dx AND n.y = b.y + dy AND n.z = b.z + dz WHERE n.v IS NULL OR (n.c AND n.v <> b.v)""")(lambda v: N.visible_faces(valued(v), v("priority_dim").where("prio IN (0, 2)").select((F.col("prio") + 1).alias("v"))))
+
+
+def clear_values(v: View) -> DataFrame:
+    """Classes that are seen through (glass, railings, frames and roofs stand for glass and doors)."""
+    return v("priority_dim").where("prio IN (0, 1, 2, 3)").select((F.col("prio") + 1).alias("v"))
+
+
+def door_values(v: View) -> DataFrame:
+    """Railings stand for closed doors across x, roofs for such that are open."""
+    return v("priority_dim").where("prio IN (1, 3)").select((F.col("prio") + 1).alias("v"), F.lit("x").alias("axis"), (F.col("prio") == 3).alias("open"))
+
+
+FACE_SQL = f"""d(face, dx, dy, dz) AS (VALUES {_dirs}), b AS (SELECT x, y, z, v, v IN (1, 2, 3, 4) AS c, v IN (2, 4) AS door FROM {{src}}),
+f AS (SELECT b.x, b.y, b.z, b.v, face, CASE WHEN b.door THEN CASE b.v WHEN 2 THEN 'opaque' ELSE 'transparent' END WHEN b.c THEN 'transparent' ELSE 'opaque' END AS pass FROM b CROSS JOIN d LEFT JOIN b n ON n.x = b.x + dx AND n.y = b.y + dy AND n.z = b.z + dz
+  WHERE CASE b.v WHEN 2 THEN face IN ('east', 'west') WHEN 4 THEN face IN ('south', 'north') ELSE n.v IS NULL OR (n.c AND n.v <> b.v) END)"""
+query("visible_faces", f"WITH {FACE_SQL.format(src='(SELECT x, z AS y, y AS z, prio + 1 AS v FROM voxels)')} SELECT x, y, z, v, face, pass FROM f")(lambda v: N.visible_faces(valued(v), clear_values(v), doors=door_values(v)))
+_SQL["stream_faces"] = f"""WITH l AS (SELECT x, z AS y, y AS z, prio + 1 AS v, 0 AS k FROM voxels UNION ALL SELECT x, y, z, arg_max(v, (ts, event_id)), 1 FROM edits GROUP BY x, y, z), o AS (SELECT x, y, z, arg_max(v, k) AS v FROM l GROUP BY x, y, z HAVING arg_max(v, k) <> 0),
+{FACE_SQL.format(src='o')}, s AS (SELECT DISTINCT (x + dx) >> 4 AS cx, (y + dy) >> 4 AS cy, (z + dz) >> 4 AS cz FROM edits CROSS JOIN (SELECT dx, dy, dz FROM d UNION ALL SELECT 0, 0, 0)) SELECT x, y, z, v, face, pass FROM f JOIN s ON x >> 4 = cx AND y >> 4 = cy AND z >> 4 = cz"""
 query("preview_boxes", f"WITH d(face, dx, dy, dz) AS (VALUES {_dirs}) SELECT x, y, z, face FROM voxels CROSS JOIN d")(lambda v: N.preview_boxes(voxels(v).select("x", "y", "z")))
 query("dirty_cells", f"WITH d(face, dx, dy, dz) AS (VALUES {_dirs}, ('self', 0, 0, 0)) SELECT DISTINCT CAST(floor((x+dx)/16) AS INT) AS cx, CAST(floor((y+dy)/16) AS INT) AS cy, CAST(floor((z+dz)/16) AS INT) AS cz FROM edits CROSS JOIN d")(lambda v: N.dirty_cells(v("edits")))
 CELLS = "SELECT DISTINCT x >> 4 AS cx, z >> 4 AS cz FROM blocks"
@@ -218,6 +234,15 @@ query("radius_join", """WITH e AS (SELECT event_id AS entity_id, x AS ex, y AS e
 SELECT entity_id, min(player_id) AS player_id FROM e JOIN p ON (ex-px)*(ex-px)+(ey-py)*(ey-py)+(ez-pz)*(ez-pz) < 20.25 AND px BETWEEN ex - 5 AND ex + 5 GROUP BY entity_id""")(
     lambda v: N.radius_join(v("edits").select(F.col("event_id").alias("entity_id"), F.col("x").alias("ex"), F.col("y").alias("ey"), F.col("z").alias("ez")), v("part").select(F.col("p_partkey").alias("player_id"), F.col("p_partkey").alias("ordinal"), ((F.col("p_partkey") * 7) % 512 - 256).alias("px"), (F.col("p_partkey") % 8).alias("py"), ((F.col("p_partkey") * 3) % 256).alias("pz")), 4.5)
 )
+_D2 = "(e.x-b.bx)*(e.x-b.bx)+(e.y-b.by)*(e.y-b.by)+(e.z-b.bz)*(e.z-b.bz)"
+_NEAR = f"FROM entities e JOIN blasts b ON e.x BETWEEN b.bx - radius - 1 AND b.bx + radius + 1 AND {_D2} <= radius * radius"
+query("surviving_entities", f"SELECT id FROM entities EXCEPT SELECT e.id {_NEAR}")(lambda v: N.surviving_entities(v("entities"), v("blasts")).select("id"))
+query("blast_damage", f"SELECT e.id, b.blast_id, CAST(floor((radius*radius - ({_D2})) / (radius*radius) * 15) AS INT) AS damage {_NEAR} WHERE e.mode = 'survival'")(lambda v: N.blast_damage(v("entities"), v("blasts")))
+query("pickups", """WITH p AS (SELECT id AS player_id, x AS px, y - CAST(0.6 AS DOUBLE) AS py, z AS pz FROM entities WHERE NOT show_inventory AND coalesce(pickup_delay <= 100, true) AND mode <> 'spectator'),
+n AS (SELECT entity_id, player_id, sqrt((ex-px)*(ex-px)+(ey-py)*(ey-py)+(ez-pz)*(ez-pz)) AS d FROM drops JOIN p ON px BETWEEN ex - 2 AND ex + 2 AND sqrt((ex-px)*(ex-px)+(ey-py)*(ey-py)+(ez-pz)*(ez-pz)) < 1.5)
+SELECT entity_id, coalesce(min(player_id) FILTER (d < 0.6), max(player_id)) AS player_id, CASE WHEN min(d) < 0.6 THEN 'pick' ELSE 'pull' END AS action FROM n GROUP BY entity_id""")(
+    lambda v: N.pickups(v("drops"), v("entities").select(F.col("id").alias("player_id"), F.col("id").alias("ordinal"), *(F.col(c).alias(f"p{c}") for c in "xyz"), "mode", "show_inventory", "pickup_delay"), 100)
+)
 query("fill_enclosed", """WITH RECURSIVE b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM voxels),
 w AS (SELECT x, y, z FROM voxels UNION ALL SELECT x, y, unnest([z0-1, z1+1]) FROM (SELECT x, unnest(range(y0, y1+1)) AS y, z0, z1 FROM (SELECT unnest(range(x0, x1+1)) AS x, y0, y1, z0, z1 FROM b))),
 r AS (SELECT x, y, z + 1 AS a, n - 1 AS e FROM (SELECT x, y, z, lead(z) OVER (PARTITION BY x, y ORDER BY z) AS n FROM w) WHERE n > z + 1), s(dx, dy) AS (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)),
@@ -242,8 +267,8 @@ query("rle_decode", CELL_ROWS.format(v="CAST(prio + 1 AS INT)", src="(SELECT x,
 query("flat_ground", "SELECT x, y, z, CASE y WHEN 0 THEN 1 WHEN 4 THEN 2 ELSE 3 END AS v FROM (SELECT DISTINCT x, unnest(range(z0, z1 + 1)) AS z FROM (SELECT unnest(range(x0, x1 + 1)) AS x, z0, z1 FROM (SELECT min(x) AS x0, max(x) AS x1, min(z) AS z0, max(z) AS z1 FROM blocks GROUP BY x >> 4, z >> 4))) CROSS JOIN range(5) t(y)")(
     lambda v: W.flat_ground(blocks(v).groupBy(S.chunk_of("x"), S.chunk_of("z")).agg(*(f(c).cast("long").alias(f"{c}{k}") for c in "xz" for k, f in enumerate((F.min, F.max))))).select(F.col("x"), F.col("y").cast("long").alias("y"), F.col("z"), "v")
 )
-query("materialize_cells", """WITH l AS (SELECT x, z AS y, y AS z, prio + 1 AS v, 0 AS k FROM voxels UNION ALL SELECT x, y, z, arg_max(v, (ts, event_id)), 1 FROM edits GROUP BY x, y, z), a AS (SELECT DISTINCT x >> 4 AS cx, y >> 4 AS cy, z >> 4 AS cz FROM edits WHERE v = 0)
-SELECT x, y, z, arg_max(v, k) AS v FROM l JOIN a ON l.x >> 4 = cx AND l.y >> 4 = cy AND l.z >> 4 = cz GROUP BY x, y, z HAVING arg_max(v, k) <> 0""")(lambda v: W.materialize_cells(W.to_cells(v("edits").where("v = 0")), valued(v), W.last_write_wins(v("edits"))))
+_SQL["materialize_cells"] = """WITH l AS (SELECT x, z AS y, y AS z, prio + 1 AS v, 0 AS k FROM voxels UNION ALL SELECT x, y, z, arg_max(v, (ts, event_id)), 1 FROM edits GROUP BY x, y, z), a AS (SELECT DISTINCT x >> 4 AS cx, y >> 4 AS cy, z >> 4 AS cz FROM edits WHERE v = 0)
+SELECT x, y, z, arg_max(v, k) AS v FROM l JOIN a ON l.x >> 4 = cx AND l.y >> 4 = cy AND l.z >> 4 = cz GROUP BY x, y, z HAVING arg_max(v, k) <> 0"""
 query("export_chunks", "WITH b AS (SELECT x - min(x) OVER () AS x, y - min(y) OVER () + 4 AS y, z - min(z) OVER () AS z, block FROM blocks) SELECT x >> 9 AS rx, z >> 9 AS rz, x >> 4 AS cx, z >> 4 AS cz, CAST(floor(y / 16) AS INT) AS section_y, array_to_string(list_sort(list(DISTINCT block)), ' ') AS palette, count(*) AS n FROM b GROUP BY ALL")(
     lambda v: W.export_chunks(blocks(v), ground=False).select("rx", "rz", "cx", "cz", "section_y", F.array_join("palette", " ").alias("palette"), "n")
 )
@@ -272,8 +297,13 @@ k AS (SELECT sx - x0 + 4 AS px, CAST(round_even(sy - y0, 0) AS INT) + 4 AS py, d
 SELECT px, py, CAST(floor(r*sh) AS INT) AS r, CAST(floor(g*sh) AS INT) AS g, CAST(floor(b*sh) AS INT) AS b FROM q WHERE rn = 1""")(lambda v: W.raster_iso(_coloured(v)))
 
 # -- sessions --------------------------------------------------------------------------------------------------------
-query("session_rollup", """SELECT session_id, min(ts) AS connected, max(ts) AS last_seen, arg_min(kind, (ts, event_id)) AS first_kind, count(*) FILTER (kind = 'bm') AS mined, count(*) FILTER (kind = 'bp') AS placed,
-  count(*) FILTER (kind = 'cr') AS chunk_requests, count(*) FILTER (kind = 'join') AS joins, count(*) FILTER (kind = 'leave') AS leaves FROM session_events GROUP BY session_id""")(lambda v: E.session_rollup(v("session_events")))
+_FIRSTS = ("kind", "ip", "token", "name")
+query("session_rollup", f"""SELECT session_id, min(ts) AS connected, max(ts) AS last_seen, {", ".join(f"arg_min({c}, (ts, event_id)) FILTER ({c} IS NOT NULL) AS first_{c}" for c in _FIRSTS)},
+  {", ".join(f"count(*) FILTER (kind = '{k}') AS {n}" for k, n in E.COUNTERS.items())} FROM session_log GROUP BY session_id""")(lambda v: E.session_rollup(v("session_log"), _FIRSTS))
+query("server_report", "SELECT count(*) AS sessions, count(*) FILTER (kind <> 'leave') AS online, CAST(epoch(max(last)) AS BIGINT) - CAST(epoch(min(first)) AS BIGINT) AS uptime, 'north' AS region FROM (SELECT session_id, arg_max(kind, (ts, event_id)) AS kind, date_trunc('second', min(ts)) AS first, date_trunc('second', max(ts)) AS last FROM session_log GROUP BY session_id)")(
+    lambda v: E.server_info(v("session_log"), *v("session_log").agg(F.min("ts"), F.max("ts")).first(), "north")
+)
+query("online_players", "SELECT session_id, name FROM (SELECT session_id, arg_max(kind, (ts, event_id)) AS kind, arg_min(name, (ts, event_id)) FILTER (name IS NOT NULL) AS name FROM session_log GROUP BY session_id) WHERE kind <> 'leave'")(lambda v: E.online_players(v("session_log")))
 query("server_info", "SELECT count(*) AS sessions, count(*) FILTER (kind <> 'leave') AS online FROM (SELECT session_id, arg_max(kind, (ts, event_id)) AS kind FROM session_events GROUP BY session_id)")(lambda v: E.server_info(v("session_events")))
 query("player_ping", "SELECT session_id, coalesce(CAST(CAST(floor(avg(latency_ms) + 0.5) AS BIGINT) AS VARCHAR), 'disc') AS ping FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) AS rn FROM session_events) WHERE rn <= 30 GROUP BY session_id")(lambda v: E.player_ping(v("session_events")))
 query("rolling_mean", "SELECT session_id, event_id, round(avg(latency_ms) OVER (PARTITION BY session_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS mean FROM session_events")(lambda v: E.rolling_mean(v("session_events"), "session_id", ["ts", "event_id"], "latency_ms", 10).select("session_id", "event_id", F.round("mean", 6).alias("mean")))
@@ -282,6 +312,7 @@ query("throttle", """WITH RECURSIVE t AS (SELECT session_id, CAST(epoch_us(ts) A
   SELECT a.session_id, (SELECT min(t.t) FROM t WHERE t.session_id = a.session_id AND t.t > a.t + 3600000000.0) AS t FROM a WHERE a.t IS NOT NULL) SELECT session_id, t FROM a WHERE t IS NOT NULL""")(
     lambda v: E.throttle(v("session_events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))), "session_id", "us", 3600e6)
 )
+_SQL["stream_throttle"] = _SQL["throttle"]
 query("session_pairing", "SELECT session_id, event_id, ts, CASE WHEN nk = 'leave' THEN nt END AS left_at, CASE WHEN nk = 'leave' THEN epoch_us(nt) - epoch_us(ts) END AS micros FROM (SELECT *, lead(kind) OVER w AS nk, lead(ts) OVER w AS nt FROM session_events WHERE kind IN ('join', 'leave') WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id)) WHERE kind = 'join'")(lambda v: E.session_pairing(v("session_events")))
 query("expire_ttl", "SELECT event_id FROM session_events WHERE ts + CASE WHEN kind = 'bp' THEN INTERVAL 90 DAY ELSE INTERVAL 60 DAY END >= (SELECT max(ts) FROM session_events)")(
     lambda v: E.expire_ttl(v("session_events").withColumnRenamed("ts", "created"), v("session_events").agg(F.max("ts")).first()[0], v("name_dim").sparkSession.createDataFrame([(k, 86400 * (90 if k == "bp" else 60)) for k in ("bm", "bp", "cr", "join", "leave")], "kind string, ttl_seconds int")).select("event_id")
@@ -311,12 +342,48 @@ query("geometry_scale", f"SELECT count(*) AS n, CAST(max(x0) AS DOUBLE) AS great
 query("dominant_material", "SELECT element_id, material_id FROM (SELECT element_id, material_id, row_number() OVER (PARTITION BY element_id ORDER BY count(*) DESC, min(face_no), material_id) AS rn FROM face_materials WHERE material_id >= 0 GROUP BY element_id, material_id) WHERE rn = 1")(lambda v: P.dominant_material(v("face_materials")))
 query("material_name_counts", """WITH t AS (SELECT ifc_type, material AS name, count(*) AS n FROM elements GROUP BY ALL) (SELECT 'all' AS scope, '' AS key, material AS name, count(*) AS n FROM elements GROUP BY material ORDER BY n DESC, name LIMIT 25)
 UNION ALL SELECT 'type', ifc_type, name, n FROM (SELECT *, row_number() OVER (PARTITION BY ifc_type ORDER BY n DESC, name) AS rn FROM t) WHERE rn <= 3""")(lambda v: P.material_name_counts(v("elements").select("ifc_type", F.col("material").alias("name"))))
-query("mesh_summary", "SELECT count(*) AS total, count(*) FILTER (p_size % 7 > 0) AS converted, count(*) FILTER (p_size % 7 = 0) AS skipped, CAST(sum(p_size) FILTER (p_size % 7 > 0) AS BIGINT) AS vertices, CAST(sum(p_size % 7) FILTER (p_size % 7 > 0) AS BIGINT) AS faces FROM part")(lambda v: P.mesh_summary(v("part").select(F.col("p_size").alias("n_vertices"), (F.col("p_size") % 7).alias("n_faces"))))
+_ENDS = ", ".join(f"{f}({e}_{c}) FILTER (n_faces > 0) AS {f}_{c}" for c in "xyz" for f, e in (("min", "low"), ("max", "high")))
+query("mesh_summary", f"SELECT count(*) AS total, count(*) FILTER (n_faces > 0) AS converted, count(*) FILTER (n_faces = 0) AS skipped, CAST(sum(n_vertices) FILTER (n_faces > 0) AS BIGINT) AS vertices, CAST(sum(n_faces) FILTER (n_faces > 0) AS BIGINT) AS faces, {_ENDS} FROM meshes")(lambda v: P.mesh_summary(v("meshes")))
+query("rejected_meshes", "SELECT mesh_id, 'no faces' AS error FROM meshes WHERE n_faces = 0 ORDER BY mesh_id LIMIT 50")(lambda v: P.rejected_meshes(v("meshes")).select("mesh_id", "error"))
+query("solid_faces", "SELECT coalesce(c.cls, 'other') AS cls, count(*) AS n_faces FROM face_materials f JOIN elements e ON e.element_id = f.element_id LEFT JOIN class_dim c ON c.ifc_type = e.ifc_type WHERE has_representation AND e.ifc_type <> 'IfcDoor' AND e.ifc_type NOT IN (SELECT ifc_type FROM exclude_dim) GROUP BY 1")(lambda v: P.solid_faces(v("elements"), v("face_materials"), v("class_dim"), v("exclude_dim")))
+query("material_colours", f"""WITH d AS ({_SQL["dominant_material"]}), o AS (SELECT e.ifc_type, m.name, round(r, 2) AS r, round(g, 2) AS g, round(b, 2) AS b FROM d JOIN materials m ON m.element_id = d.element_id AND m.material_id = d.material_id JOIN elements e ON e.element_id = d.element_id),
+t AS (SELECT ifc_type, name, r, g, b, count(*) AS n FROM o GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY ifc_type ORDER BY n DESC, name, r NULLS FIRST, g NULLS FIRST, b NULLS FIRST) AS rn FROM t)
+(SELECT 'all' AS scope, '' AS key, name, CAST(NULL AS DOUBLE) AS r, CAST(NULL AS DOUBLE) AS g, CAST(NULL AS DOUBLE) AS b, count(*) AS n FROM o GROUP BY name ORDER BY n DESC, name LIMIT 25)
+UNION ALL SELECT 'type', ifc_type, name, r, g, b, n FROM k WHERE rn <= 3 UNION ALL SELECT 'with', '', '', NULL, NULL, NULL, count(DISTINCT element_id) FROM materials""")(lambda v: P.material_colours(v("elements"), v("face_materials"), v("materials")))
 query("storeys_by_elevation", "SELECT name, elevation FROM storeys")(lambda v: P.storeys_by_elevation(v("storeys")))
 query("datasets_by_size", "SELECT n_name AS name, count(c_custkey) AS count FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name")(lambda v: P.datasets_by_size(v("nation").join(v("customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy(F.col("n_name").alias("name")).agg(F.count("c_custkey").alias("count"))))
 query("run_summary")(lambda v: P.run_summary(bounds=V.bounds(voxels(v), "x", "y", "z"), size=V.footprint(blocks(v), 1.0), server=E.server_info(v("session_events"))))
 query("inspect_model")(lambda v: P.inspect_model(v("elements"), v("storeys"), "x0"))
 
+_PAIRS = lambda src, key: f"(SELECT string_agg(name || '=' || n, ' ' ORDER BY n DESC, name) FROM (SELECT {key} AS name, count(*) AS n FROM {src} GROUP BY 1))"
+_text_of = lambda pairs: F.array_join(F.transform(pairs, lambda p: F.concat(p["name"], F.lit("="), p["n"].cast("string"))), " ")
+
+
+@query("model_summary", f"SELECT CAST(1.0 AS DOUBLE) AS pitch, 'air' AS door_mode, (SELECT min(x) FROM voxels) AS min_x, (SELECT max(z) + 1 FROM voxels) AS dim_z, {_PAIRS('voxel_hits', 'cls')} AS hits, {_PAIRS('voxels', 'block')} AS blocks, {_PAIRS('elements', 'ifc_type')} AS types")
+def _(v):
+    """The record of a run, with its lists as texts."""
+    one = P.run_summary({"pitch": 1.0, "door_mode": "air"}, bounds=V.bounds(voxels(v), "x", "y", "z"), hits=P.listed(v("voxel_hits"), "cls"), blocks=P.listed(voxels(v), "block"), types=P.listed(v("elements"), "ifc_type"))
+    return one.select("pitch", "door_mode", "bounds.min_x", "bounds.dim_z", *(_text_of(F.col(c)).alias(c) for c in ("hits", "blocks", "types")))
+
+
+@query("model_report", f"""SELECT n, (SELECT count(*) FROM elements WHERE has_representation) AS n_represented, (SELECT count(*) FROM storeys) AS storeys, (SELECT min(elevation) FROM storeys) AS lowest, s.greatest, s.median, s.unit, CAST(0.1 AS DOUBLE) AS metres,
+  (SELECT string_agg(ifc_type || '=' || n, ' ' ORDER BY n DESC, ifc_type) FROM (SELECT ifc_type, count(*) AS n FROM elements GROUP BY ifc_type ORDER BY n DESC, ifc_type LIMIT 40)) AS types FROM (SELECT count(*) AS n FROM elements) CROSS JOIN ({_SQL["geometry_scale"]}) s(sampled, greatest, median, unit)""")
+def _(v):
+    """``inspect_model`` with its list as a text."""
+    one = P.inspect_model(v("elements"), v("storeys"), "x0", "deci")
+    types = F.array_join(F.transform("top.types", lambda t: F.concat(t["ifc_type"], F.lit("="), t["n"].cast("string"))), " ")
+    return one.select("elements.n", "elements.n_represented", F.col("storeys.n").alias("storeys"), "storeys.lowest", "scale.greatest", "scale.median", "scale.unit", "unit.metres", types.alias("types"))
+
+
+@query("stamp_summary", f"""WITH t AS (SELECT coalesce(n.target, 'stone') AS target, n.target IS NULL AS bare, b.block AS base FROM blocks b LEFT JOIN name_dim n ON n.block = b.block WHERE b.block NOT LIKE 'minecraft:oak%'), s AS (SELECT count(*) FILTER (block LIKE 'minecraft:oak%') AS skipped, max(x) + 1 AS dim_x, max(y) + 1 AS dim_y, max(z) + 1 AS dim_z FROM blocks)
+SELECT dim_x, dim_y, dim_z, (SELECT count(*) FROM t) AS total, skipped, CAST(-floor((dim_x - 1) / 2) AS BIGINT) AS offset_x, 5 AS offset_y, CAST(-floor((dim_z - 1) / 2) AS BIGINT) AS offset_z, {_PAIRS('t', 'target')} AS counts, coalesce((SELECT string_agg(DISTINCT base, ' ' ORDER BY base) FROM t WHERE bare), '') AS unmapped FROM s""")
+def _(v):
+    from ..operators import export as X
+
+    one = X.stamp_summary(blocks(v), v("name_dim"), skip_prefixes=["minecraft:oak"])
+    return one.withColumns({"counts": _text_of(F.col("counts")), "unmapped": F.array_join("unmapped", " ")})
+
+
 # -- scalar functions ------------------------------------------------------------------------------------------------
 query("parse_block_state", "SELECT id, split_part(block, '[', 1) AS base, CASE WHEN block LIKE '%facing=%' THEN regexp_extract(block, 'facing=(\\w+)', 1) END AS facing, CASE WHEN block LIKE '%half=%' THEN regexp_extract(block, 'half=(\\w+)', 1) END AS half FROM block_states")(
     lambda v: v("block_states").select("id", S.parse_block_state("block").alias("s")).select("id", "s.base", F.try_element_at("s.props", F.lit("facing")).alias("facing"), F.try_element_at("s.props", F.lit("half")).alias("half"))

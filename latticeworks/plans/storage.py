@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,3 +23,14 @@ def shared_folder(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, what: str) -> str:
     """A path for one run's files below the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame) -> DataFrame:
+    """Rows written to the shared folder and read again.
+
+    Unlike checkpoint() this drops the constraints that the optimizer has inferred as well, which grow with every round of an
+    iteration until planning takes longer than the work.
+    """
+    folder = new_folder(rows.sparkSession, "rows")
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)

@@ -8,14 +8,12 @@ from pyspark.sql.types import StructType
 
 from ..operators.world import rle_decode
 from ..plans.dims import DEFAULT_BLOCK
+from .block_table import read_block_table
 
 
 def scan_blocks(spark: SparkSession, path: str, default_block: str = DEFAULT_BLOCK) -> DataFrame:
-    """x, y, z, block of CSV lines, whether states are quoted or hold bare commas; a blank block takes the default."""
-    part = F.split("value", ",", 4)
-    text = F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.get(part, 3)), '^"|"$', ""), '""', '"'))
-    rows = spark.read.text(path).where(~F.lower("value").startswith("x,y,z") & (F.trim("value") != ""))
-    return rows.select(*(F.trim(F.get(part, k)).cast("int").alias(c) for k, c in enumerate("xyz")), F.coalesce(F.nullif(text, F.lit("")), F.lit(default_block)).alias("block"))
+    """x, y, z, block of CSV files (see ``BlockTable``): columns by name, quoted states or bare commas, a default for blanks."""
+    return read_block_table(spark, path, default_block)
 
 
 ELEMENTS = "element_id long, ifc_type string, name string, material string, has_representation boolean"

@@ -1,16 +1,15 @@
-"""Streaming forms of edits, ticks, counters, dirty cells, rates, throttling and saving."""
+"""Streaming forms of edits, ticks, counters, dirty cells, rates, pairing, faces and saving."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.scalars import cell_of
+from ..operators.cell_store import update_faces, upsert_cells
 from ..operators.neighbors import FACES
 
 KINDS = ("bm", "bp", "cr", "join", "leave")
@@ -59,38 +58,58 @@ def rate_metrics(sdf: DataFrame, width: str = "1 hour", watermark: str = "1 hour
     return out.select(F.col("window.start").alias("start"), "kind", "n", F.round("mean", 6).alias("mean"))
 
 
-def stream_throttle(sdf: DataFrame, min_gap_us: int) -> DataFrame:
-    """Accepted events (session_id, t in microseconds); the state of a key is the last accepted time."""
+def stream_pairing(events: DataFrame, longest: str, watermark: str = "1 hour") -> DataFrame:
+    """Joins (session_id, event_id, ts), each with the leaves of its session (left_id, left_at) that come later, by ``longest``
+    at most; in append mode, one without any comes with nulls once the watermark is past.
+
+    Both sides have a watermark, which every event moves, so their state holds joins and leaves of the last ``longest`` and the
+    delay only.  ``settled_pairs`` chooses each join's own leave.
+    """
+    # A condition that names the event time isn't tried before the watermark is taken.
+    side = lambda kind: events.withWatermark("ts", watermark).where(f"kind = '{kind}' OR ts IS NULL")
+    j = side("join").select("session_id", "event_id", "ts")
+    left = side("leave").select(F.col("session_id").alias("left_session"), F.col("event_id").alias("left_id"), F.col("ts").alias("left_at"))
+    later = (F.col("left_at") > F.col("ts")) | ((F.col("left_at") == F.col("ts")) & (F.col("left_id") > F.col("event_id")))
+    within = (F.col("left_at") >= F.col("ts")) & (F.col("left_at") <= F.col("ts") + F.expr(f"INTERVAL {longest}"))
+    return j.join(left, (F.col("session_id") == F.col("left_session")) & within & later, "leftOuter").drop("left_session")
 
-    def accept(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        times = sorted(t for b in batches for t in b["t"])
-        kept = []
-        for t in times:
-            if last is None or t - last > min_gap_us:
-                last = int(t)
-                kept.append(last)
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame({"session_id": [key[0]] * len(kept), "t": kept})
 
-    timed = sdf.select("session_id", F.unix_micros("ts").alias("t"))
-    return timed.groupBy("session_id").applyInPandasWithState(accept, "session_id long, t long", "last long", "append", GroupStateTimeout.NoTimeout)
+def settled_pairs(rows: DataFrame) -> DataFrame:
+    """Each join of ``stream_pairing``'s rows with its first leave, unless the session joins again before: as ``session_pairing``."""
+    first = rows.groupBy("session_id", "event_id", "ts").agg(F.min(F.struct("left_at", "left_id")).alias("left"))
+    w = Window.partitionBy("session_id").orderBy("ts", "event_id")
+    paired = first.withColumn("again", F.lead(F.struct("ts", "event_id")).over(w))
+    open_ = F.col("again").isNotNull() & (F.col("again") < F.col("left"))
+    left = F.when(~F.coalesce(open_, F.lit(False)), F.col("left.left_at"))
+    return paired.select("session_id", "event_id", "ts", left.alias("left_at"), (F.unix_micros(left) - F.unix_micros("ts")).alias("micros"))
 
 
 def autosave(sdf: DataFrame, path: str, every: str | None = "10 minutes", checkpoint: str | None = None) -> StreamingQuery:
-    """Run lengths of the cells edited since the last trigger; a batch that is run again writes the same folder.
+    """Keep a store of edited cells (see ``upsert_cells``): each trigger writes the whole state of the cells that it touches.
 
-    Without ``every`` it saves what is there and ends.
+    No edit is too late and no state is held between triggers; a batch that is run again changes nothing.  Without ``every`` it
+    saves what is there and ends.
     """
-    from ..operators.world import rle_encode, to_cells
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        saved = rle_encode(to_cells(latest_edits(batch).withColumn("v", F.col("v") + 1)))
-        saved.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        upsert_cells(batch, path, batch_id)
+
+    return _each_batch(sdf, save, path, every, checkpoint)
+
+
+def stream_faces(sdf: DataFrame, layer: str, store: str, faces: str, transparent: DataFrame, doors: DataFrame | None = None, every: str | None = "10 seconds", checkpoint: str | None = None) -> StreamingQuery:
+    """Keep the visible faces of an edited layer: each trigger saves its edits and makes the faces of the cells around them anew."""
+
+    def update(batch: DataFrame, batch_id: int) -> None:
+        upsert_cells(batch, store, batch_id)
+        update_faces(batch, layer, store, faces, batch_id, transparent, doors)
+
+    return _each_batch(sdf, update, faces, every, checkpoint)
+
 
-    out = stream_edits(sdf).writeStream.outputMode("update").option("checkpointLocation", checkpoint or f"{path}-checkpoint")
-    return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).foreachBatch(save).start()
+def _each_batch(sdf: DataFrame, work: Callable[[DataFrame, int], None], path: str, every: str | None, checkpoint: str | None) -> StreamingQuery:
+    out = sdf.writeStream.option("checkpointLocation", checkpoint or f"{path}-checkpoint")
+    return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).foreachBatch(work).start()
 
 
 def run_available(spark: SparkSession, out: DataFrame, folder: str, mode: str, key: list[str]) -> DataFrame:
@@ -99,8 +118,7 @@ def run_available(spark: SparkSession, out: DataFrame, folder: str, mode: str, k
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
 
-    started = out.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(save).start()
-    started.awaitTermination()
+    out.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(save).start().awaitTermination()
     rows = spark.read.parquet(f"{folder}/out")
     rest = [c for c in rows.columns if c not in (*key, "batch")]
     if not rest:
