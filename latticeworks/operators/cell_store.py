@@ -8,6 +8,7 @@ so it leaves the same state.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,9 +60,13 @@ def read_layer(spark: SparkSession, path: str, cells: DataFrame | None = None) -
 
 
 def _versions(spark: SparkSession, path: str, schema: str, before: int | None, cells: DataFrame | None) -> DataFrame:
-    """Rows of the versions before a batch.  A folder of no rows makes sure that there is one to read."""
-    spark.createDataFrame([], schema).drop("batch").write.mode("overwrite").partitionBy("rx", "rz").parquet(f"{path}/batch=-1")
-    rows = spark.read.schema(schema).option("basePath", path).parquet(path)
+    """Rows of the versions before a batch; none where no batch has been written yet."""
+    try:
+        rows = spark.read.schema(schema).option("basePath", path).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], schema)
     rows = rows if before is None else rows.where(F.col("batch") < before)
     return rows if cells is None else in_regions(rows, cells)
 

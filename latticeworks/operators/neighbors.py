@@ -142,28 +142,34 @@ def visible_faces(voxels: DataFrame, transparent: DataFrame, loaded_cells: DataF
     """
     t = F.broadcast(transparent.select("v").distinct().withColumn("clear", F.lit(True)))
     marked = voxels.select("x", "y", "z", "v").join(t, "v", "left").withColumn("clear", F.coalesce("clear", F.lit(False)))
-    asking = marked
+    asks = F.lit(True)
     if within is not None:
         cells = {f"c{c}": S.cell_of(c) for c in "xyz"}
-        asking = marked.withColumns(cells).join(within.select(*cells).distinct(), list(cells), "left_semi").drop(*cells)
-    panels = None
+        marked = marked.withColumns(cells).join(within.select(*cells).distinct().withColumn("asks", F.lit(True)), list(cells), "left").drop(*cells)
+        asks = F.coalesce("asks", F.lit(False))
+    marked, panels = marked.withColumn("asks", asks), None
     if doors is not None:
         d = F.broadcast(doors.select("v", "axis", "open").dropDuplicates(["v"]))
         across = F.when((F.col("axis") == "x") != F.col("open"), F.array(F.lit("east"), F.lit("west"))).otherwise(F.array(F.lit("south"), F.lit("north")))
-        panels = asking.join(d, "v").select("x", "y", "z", "v", F.explode(across).alias("face"), F.when(F.col("open"), "transparent").otherwise("opaque").alias("pass"))
-        asking = asking.join(d.select("v"), "v", "left_anti")
-    around = F.array(*(F.struct(F.lit(n).alias("face"), *((F.col(c) + d).alias(f"n{c}") for c, d in zip("xyz", o))) for n, o in FACES.items()))
-    asked = asking.select("*", F.explode(around).alias("q")).select("x", "y", "z", "v", "clear", "q.*")
-    other = marked.select(*(F.col(c).alias(f"n{c}") for c in "xyz"), F.col("v").alias("nv"), F.col("clear").alias("nclear"))
-    seen = asked.join(other, ["nx", "ny", "nz"], "left")
-    loaded = F.lit(True)
-    if loaded_cells is not None:
+        panels = marked.where("asks").join(d, "v").select("x", "y", "z", "v", F.explode(across).alias("face"), F.when(F.col("open"), "transparent").otherwise("opaque").alias("pass"))
+        marked = marked.join(d.select("v", F.lit(True).alias("door")), "v", "left").withColumn("asks", F.col("asks") & F.col("door").isNull()).drop("door")
+    # Neighbours along an axis follow each other on their line: three exchanges of the voxels, and no row for each side.
+    for c, others in (("x", ("y", "z")), ("y", ("x", "z")), ("z", ("x", "y"))):
+        line = Window.partitionBy(*others).orderBy(c)
+        for name, get, step in ((f"after_{c}", F.lead, 1), (f"before_{c}", F.lag, -1)):
+            near = get(F.struct(F.col(c).alias("at"), "v", "clear")).over(line)
+            marked = marked.withColumn(name, F.when(near["at"] == F.col(c) + step, near))
+    beside = {n: F.col(f"{'after' if sum(o) > 0 else 'before'}_{'xyz'[[k != 0 for k in o].index(True)]}") for n, o in FACES.items()}
+    sides = F.array(*(F.struct(F.lit(n).alias("face"), q["v"].alias("nv"), q["clear"].alias("nclear"), *((F.col(c) + k).alias(f"n{c}") for c, k in zip("xyz", FACES[n]))) for n, q in beside.items()))
+    seen = marked.where("asks").select("x", "y", "z", "v", "clear", F.explode(sides).alias("q")).select("x", "y", "z", "v", "clear", "q.*")
+    shown = lambda loaded: F.when(F.col("nv").isNull(), ~F.col("clear") | loaded).otherwise(F.col("nclear") & (F.col("nv") != F.col("v")))
+    if loaded_cells is None:
+        seen = seen.where(shown(F.lit(True)))
+    else:
         cells = loaded_cells.select("cx", "cy", "cz").distinct().withColumn("loaded", F.lit(True))
-        seen = seen.withColumns({f"c{c}": S.cell_of(f"n{c}") for c in "xyz"}).join(cells, ["cx", "cy", "cz"], "left")
-        loaded = F.coalesce("loaded", F.lit(False))
-    beside = F.col("nv").isNull()
-    shows = F.when(beside, ~F.col("clear") | loaded).otherwise(F.col("nclear") & (F.col("nv") != F.col("v")))
-    out = seen.where(shows).select("x", "y", "z", "v", "face", F.when(F.col("clear"), "transparent").otherwise("opaque").alias("pass"))
+        seen = seen.where(shown(F.lit(True))).withColumns({f"c{c}": S.cell_of(f"n{c}") for c in "xyz"}).join(cells, ["cx", "cy", "cz"], "left")
+        seen = seen.where(shown(F.coalesce("loaded", F.lit(False))))
+    out = seen.select("x", "y", "z", "v", "face", F.when(F.col("clear"), "transparent").otherwise("opaque").alias("pass"))
     return out if panels is None else out.unionByName(panels)
 
 
@@ -259,7 +265,7 @@ def place_doors(voxels: DataFrame, doors: DataFrame, pitch: float, mode: str = "
     ``solid`` fills the boxes with planks, ``air`` only carves them; ``functional`` carves all, then puts leaves of two
     halves or more on the floor found beside them, a threshold below, and mirrors pairs.  Every leaf is placed on the carved
     voxels alone, not on doors placed before it; of leaves in one cell the greatest element_id stays, and of
-    halves in one cell the lower one.
+    halves in one cell the lower one.  A column facing of doors holds instead of the one that their sizes in cells give.
     """
     if mode == "solid":
         cells = box_cells(doors).select("x", "y", "z", F.lit(99).alias("prio"), F.lit("door").alias("cls"), F.lit("minecraft:oak_planks").alias("block"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..plans.storage import written
 
 
 COUNTERS = {"bm": "mined", "bp": "placed", "cr": "chunk_requests", "ms": "messages", "r": "respawns", "d": "deaths", "join": "joins", "leave": "leaves"}
@@ -55,37 +56,94 @@ def recent_n(messages: DataFrame, key: str, order: str, n: int = 100) -> DataFra
     return messages.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).drop("rn")
 
 
+def _side(inclusive: bool) -> str:
+    return "left" if inclusive else "right"
+
+
+def _segments(batches):
+    """(part, key, times) of each run of rows of one part and key, in order; at most a part's rows of one key are held."""
+    held: tuple | None = None
+    for pdf in batches:
+        parts, keys, times = pdf["part"].to_numpy(), pdf["key"], pdf["t"].to_numpy()
+        codes, _ = pd.factorize(keys, use_na_sentinel=False)
+        cuts = np.flatnonzero((np.diff(parts) != 0) | (np.diff(codes) != 0)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(times)]):
+            if lo == hi:
+                continue
+            part, key = parts[lo], keys.iloc[lo]
+            if held is not None and held[0] == part and (held[1] == key or pd.isna(held[1]) and pd.isna(key)):
+                held[2].append(times[lo:hi])
+                continue
+            if held is not None:
+                yield held[0], held[1], np.concatenate(held[2])
+            held = (part, key, [times[lo:hi]])
+    if held is not None:
+        yield held[0], held[1], np.concatenate(held[2])
+
+
 def throttle(df: DataFrame, key: str, ts: str, min_gap: float, inclusive: bool = False) -> DataFrame:
     """Events (key, t as a number) accepted: more than min_gap (or as much, if inclusive) after the last accepted of the key.
 
-    The choice depends on accepted events only.  Rows are sorted by key and time, and a task carries the last accepted time, so
-    its memory doesn't follow a key's events.
+    Rows are dealt by ranges of key and time, so a key with most of them lies in many parts.  Where a part begins inside a
+    key, the time of the last accepted row before it isn't known yet, but the first row that it accepts lies within a gap of
+    its first; for each of these rows the part tells where the chain that starts there ends.  Carrying one time over these
+    few rows (one a part and key that reaches over its edge) gives each part's start, and all parts accept at once.
     """
-    rows = df.select(key, F.col(ts).cast("double").alias("t")).where(F.col("t").isNotNull())
+    rows = df.select(F.col(key).alias("key"), F.col(ts).cast("double").alias("t")).where(F.col("t").isNotNull())
+    kind = rows.schema["key"].dataType.simpleString()
+    ranged = written(rows.repartitionByRange("key", "t").withColumn("part", F.spark_partition_id()))
+    ordered = lambda df: df.repartition("part").sortWithinPartitions("part", "key", "t")
+
+    def ends(batches):
+        for part, name, t in _segments(batches):
+            after = np.maximum(np.searchsorted(t, t + min_gap, _side(inclusive)), np.arange(len(t)) + 1)
+            chain = np.where(after < len(t), after, np.arange(len(t)))
+            while (further := chain[chain] != chain).any():
+                chain = np.where(further, chain[chain], chain)
+            n = min(len(t), int(np.searchsorted(t, t[0] + max(min_gap, 0), "right")) + 1)
+            last = np.flatnonzero(np.append(np.diff(chain[:n]) != 0, True))  # of the starts whose chains end together
+            yield pd.DataFrame({"part": [part], "key": [name], "starts": [t[last]], "ends": [t[chain[:n][last]]]})
+
+    def carried(pdf: pd.DataFrame) -> pd.DataFrame:
+        last, known = -np.inf, []
+        for starts, stops in zip(*(pdf.sort_values("part")[c] for c in ("starts", "ends"))):
+            known.append(last)
+            i = int(np.searchsorted(starts, last + min_gap, _side(inclusive)))
+            last = stops[i] if i < len(starts) else last
+        return pd.DataFrame({"part": pdf.sort_values("part")["part"], "key": pdf.sort_values("part")["key"], "last": known})
+
+    # A key of one part needs no start, and keys of several lie at the parts' edges: two a part at most.
+    several = ranged.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("key")
+    same = lambda other: F.col("key").eqNullSafe(other["name"])
+    wide = F.broadcast(several.withColumnRenamed("key", "name"))
+    over = ordered(ranged.join(wide, same(wide), "left_semi")).mapInPandas(ends, f"part int, key {kind}, starts array<double>, ends array<double>")
+    start = over.groupBy("key").applyInPandas(carried, f"part int, key {kind}, last double")
+    begun = F.broadcast(start.select(F.col("part").alias("p"), F.col("key").alias("name"), "last"))
+    told = ranged.join(begun, (F.col("part") == begun["p"]) & same(begun), "left").select("part", "key", "t", "last")
 
     def accept(batches):
         known, last = None, -np.inf
         for pdf in batches:
             chosen = []
-            codes, keys = pd.factorize(pdf[key], use_na_sentinel=False)
-            times = pdf["t"].to_numpy()
-            cuts = np.flatnonzero(np.diff(codes)) + 1
+            parts, keys, times, before = pdf["part"].to_numpy(), pdf["key"], pdf["t"].to_numpy(), pdf["last"].to_numpy(float)
+            codes, _ = pd.factorize(keys, use_na_sentinel=False)
+            cuts = np.flatnonzero((np.diff(parts) != 0) | (np.diff(codes) != 0)) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(times)]):
                 if lo == hi:
                     continue
-                name = keys[codes[lo]]
-                if known is None or known[0] != name:
-                    last = -np.inf
-                known = (name,)
+                name = (parts[lo], None if pd.isna(keys.iloc[lo]) else keys.iloc[lo])
+                if known != name:
+                    last = before[lo] if before[lo] == before[lo] else -np.inf
+                known = name
                 while True:
-                    i = lo + int(np.searchsorted(times[lo:hi], last + min_gap, "left" if inclusive else "right"))
+                    i = lo + int(np.searchsorted(times[lo:hi], last + min_gap, _side(inclusive)))
                     if i >= hi:
                         break
                     chosen.append(i)
                     last, lo = times[i], i + (not inclusive or min_gap <= 0)
-            yield pdf.iloc[chosen]
+            yield pdf.iloc[chosen][["key", "t"]]
 
-    return rows.repartition(key).sortWithinPartitions(key, "t").mapInPandas(accept, rows.schema)
+    return ordered(told).mapInPandas(accept, f"key {kind}, t double").withColumnRenamed("key", key)
 
 
 def expire_ttl(entities: DataFrame, now, ttl_dim: DataFrame) -> DataFrame:

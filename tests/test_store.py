@@ -102,6 +102,13 @@ def test_door_panels(spark):
     assert len([t for t in got if t[3] == 1]) == 6  # a door beside it is seen through
 
 
+def test_faces_beside_cells_that_are_not_loaded(spark):
+    rows = spark.createDataFrame([(0, 0, 0, 9), (0, 0, 5, 1)], "x int, y int, z int, v int")
+    cells = spark.createDataFrame([(0, 0, 0)], "cx int, cy int, cz int")
+    got = {(t[3], t[4]) for t in _faces(N.visible_faces(rows, spark.createDataFrame([(1,)], "v int"), cells))}
+    assert got == {(9, f) for f in N.FACES} | {(1, f) for f in ("east", "up", "north", "south")}
+
+
 def _rows(df):
     return sorted((r.x, r.y, r.z, r.block) for r in df.collect())
 

@@ -105,3 +105,23 @@ def test_throttle_drops_its_state(spark, tmp_path):
     want = E.throttle(spark.createDataFrame(rows, EVENT).withColumn("us", F.unix_micros("ts")), "session_id", "us", gap)
     assert {(r.session_id, r.t) for r in got.where("session_id >= 0").collect()} == {(r.session_id, int(r.t)) for r in want.collect()}
     assert [r.key.session_id for r in _state(spark, tmp_path, "last")] == [-1]  # the last closing row
+
+
+@pytest.mark.parametrize("gap, inclusive", [(45.0, False), (45.0, True), (7.5, False), (0.0, True), (10_000.0, False)])
+def test_throttle_of_a_key_in_many_parts(spark, gap, inclusive):
+    """A key with most rows, in several parts, ties of time and a null key."""
+    rng = random.Random(11)
+    rows = [(1 if rng.random() < 0.8 else rng.choice((0, 2, None)), float(rng.randrange(0, 3000))) for _ in range(3000)]
+    want, last = [], {}
+    for k, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        if k not in last or (t - last[k] >= gap if inclusive else t - last[k] > gap):
+            want.append((k, t))
+            last[k] = t
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = [tuple(r) for r in E.throttle(spark.createDataFrame(rows, "k long, t double"), "k", "t", gap, inclusive).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    assert sorted(got, key=key) == want
