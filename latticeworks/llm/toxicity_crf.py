@@ -13,17 +13,18 @@ from ..plans.storage import shared_folder
 from . import _text as X
 from ._repeats import fingerprint
 
-#: The fit is bounded: labelled documents to learn from (those of smallest hashed id), features that are counted and kept
-#: (those of most toxic documents), and word sequences (of smallest hash).  Scoring has no bound.
-TRAIN_DOCUMENTS, MOST_COUNTED, MOST_FEATURES, SEQUENCES = 24_000, 200_000, 20_000, 40_000
+#: The fit's only bound: labelled documents to learn from (those of smallest hashed id).  All their features are counted, all
+#: that mark toxic documents are kept, and so is every sequence around a marked word.  Scoring has no bound.
+TRAIN_DOCUMENTS = 24_000
 #: Features are a word and its prefixes of so many bytes, its shape, and whether its neighbours are marked.
 PREFIXES = (3, 4, 5, 6, 7)
 SHAPES = 12
 #: A mark stands in so many toxic documents, and so large a share of all documents that hold it are toxic.
 LEAST_TOXIC, LEAST_SHARE = 3, 0.5
 PRIOR_DOCUMENTS = 3
-#: Words on each side of a marked word in a training sequence; rounds of training.
-CONTEXT, ROUNDS = 5, 150
+#: Words on each side of a training sequence's centre; one in so many words without a mark is a centre and weighs as many;
+#: rounds of training.
+CONTEXT, SPACING, ROUNDS = 5, 200, 150
 THRESHOLD = 0.7
 WORD_BYTE = np.array([chr(i).isalnum() and i < 128 or i >= 128 for i in range(256)])
 
@@ -138,40 +139,41 @@ def marking_features(train: DataFrame) -> Marks:
     chance alone makes likely."""
     total = lambda df: df.groupBy("feature").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean"))
     often = total(train.where("toxic = 1").mapInArrow(_document_counts(None), COUNTS)).where(f"n_toxic >= {LEAST_TOXIC}")
-    often = often.orderBy(F.desc("n_toxic"), "feature").limit(MOST_COUNTED).select("feature")
-    chosen = np.sort(X.U64(1) * often.toArrow()["feature"].to_numpy().view(np.uint64))
+    chosen = np.sort(X.U64(1) * often.select("feature").toArrow()["feature"].to_numpy().view(np.uint64))  # of the bounded labelled texts
     toxic, all_docs = train.agg(F.sum("toxic"), F.count("*")).first()
     base = min(max((toxic or 0) / max(all_docs, 1), 1e-6), 1 - 1e-6)
     both = total(train.mapInArrow(_document_counts(chosen), COUNTS)).where(f"n_toxic >= {LEAST_SHARE} * (n_toxic + n_clean)")
     n, share = F.col("n_toxic") + F.col("n_clean"), F.col("n_toxic") / (F.col("n_toxic") + F.col("n_clean"))
     clean = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0)
     both = both.where(n * (share * F.log(share / base) + clean) > 0.5 * float(np.log(10 * max(len(chosen), 1))))
-    best = both.orderBy(F.desc("n_toxic"), "feature").limit(MOST_FEATURES).toArrow()
+    best = both.toArrow()
     n_toxic = best["n_toxic"].to_numpy()
-    return Marks(best["feature"].to_numpy().view(np.uint64), n_toxic, n_toxic + best["n_clean"].to_numpy(), base)
+    return Marks(best["feature"].to_numpy().view(np.uint64), n_toxic, n_toxic + best["n_clean"].to_numpy(), base if toxic else 0.0)
 
 
 def _sequences(marks: Marks):
-    """Training sequences: the features and tags of CONTEXT words around marked or some evenly spaced other words.  A word is
-    tagged toxic if it is marked and its document is; tag -1 stands beyond a text's ends."""
-    wide = 2 * CONTEXT + 1
+    """Training sequences: the features and tags of CONTEXT words around a centre, which is a marked word or one in SPACING of
+    the others, by a hash of its place and its text's length (so rows that share a block don't matter).  A word is tagged
+    toxic if it is marked and its document is; tag -1 stands beyond a text's ends."""
 
     def scan(batches):
         for batch in batches:
             toxic = X.column_ints(batch, "toxic")
             for lo, hi, data, off in X.blocks(batch, "text"):
                 number, starts, _, word_off = marks.numbers(data, off)
-                if not len(starts):
-                    continue
-                row = np.repeat(np.arange(hi - lo), np.diff(word_off))
+                n = np.diff(word_off)
+                row = np.repeat(np.arange(hi - lo), n)
                 marked = (number[:, :-3] < len(marks.features)).any(axis=1)
-                centre = np.union1d(np.flatnonzero(marked), np.arange(0, len(starts), 200))
+                place = np.arange(len(starts)) - word_off[row]
+                drawn = X.mix((n[row].astype(X.U64) << X.U64(32)) + place.astype(X.U64)) % X.U64(SPACING) == 0
+                centre = np.flatnonzero(marked | drawn)
                 at = centre[:, None] + np.arange(-CONTEXT, CONTEXT + 1)
                 valid = (at >= word_off[row[centre]][:, None]) & (at < word_off[row[centre] + 1][:, None])
                 at = np.where(valid, at, 0)
                 tags = np.where(valid, marked[at] & (toxic[lo + row[centre]] == 1)[:, None], -1).astype(np.int8)
                 feats = np.where(valid[:, :, None], number[at], len(marks.features)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in feats.reshape(len(centre), -1)], pa.binary()), pa.array([x.tobytes() for x in tags], pa.binary())], names=["features", "tags"])
+                weight = np.where(marked[centre], 1, SPACING).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in feats], pa.binary()), pa.array([x.tobytes() for x in tags], pa.binary()), pa.array(weight)], names=["features", "tags", "weight"])
 
     return scan
 
@@ -184,47 +186,40 @@ class Crf:
 
     @staticmethod
     def _chains(unary: np.ndarray, valid: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Marginals of tag 1 and summed pair marginals, for chains x words of scores; words that are not valid are skipped."""
-        n, wide = unary.shape
-        u = np.stack([np.zeros_like(unary), unary], axis=2)
-        forward, backward = np.zeros((n, wide, 2)), np.zeros((n, wide, 2))
-        move = np.exp(step)
-        scale = lambda x: x / x.sum(axis=1, keepdims=True)
-        e = np.exp(np.clip(u, -30, 30))
-        prior = np.full((n, 2), 0.5)
-        for k in range(wide):
-            first = k == 0
-            come = prior if first else np.where(valid[:, k - 1 : k], forward[:, k - 1] @ move, prior)
-            forward[:, k] = scale(come * e[:, k])
-        backward[:, -1] = 1
-        for k in range(wide - 2, -1, -1):
-            backward[:, k] = np.where(valid[:, k + 1 : k + 2], scale((backward[:, k + 1] * e[:, k + 1]) @ move.T), 1.0)
-        p = scale((forward * backward).reshape(-1, 2)).reshape(n, wide, 2)[:, :, 1]
-        pair = forward[:, :-1, :, None] * move * (e * backward)[:, 1:, None, :]
-        pair /= pair.sum(axis=(2, 3), keepdims=True)
-        both = valid[:, :-1] & valid[:, 1:]
-        return p, (pair * both[:, :, None, None]).sum(axis=(0, 1))
+        """Marginals of tag 1 for words x chains of scores, and the marginals of each pair of tags of neighbours (words - 1 x
+        2 x 2 x chains), by the odds of the two tags; words that are not valid are skipped."""
+        wide, m = len(unary), np.exp(step)
+        odds = np.exp(np.clip(unary, -30, 30))
+        forward, after = odds.copy(), np.ones_like(odds)
+        for k in range(1, wide):
+            f = np.minimum(forward[k - 1], 1e15)
+            forward[k] = odds[k] * np.where(valid[k - 1], (m[0, 1] + m[1, 1] * f) / (m[0, 0] + m[1, 0] * f), 1.0)
+        for k in range(wide - 1, 0, -1):
+            g = np.minimum(odds[k] * after[k], 1e15)
+            after[k - 1] = np.where(valid[k], (m[1, 0] + m[1, 1] * g) / (m[0, 0] + m[0, 1] * g), 1.0)
+        both = np.minimum(forward, 1e15) * after
+        f, g = np.minimum(forward[:-1], 1e15), np.minimum(odds[1:] * after[1:], 1e15)
+        pair = np.stack([np.stack([np.full_like(f, m[0, 0]), m[0, 1] * g], axis=1), np.stack([m[1, 0] * f, m[1, 1] * f * g], axis=1)], axis=1)
+        return both / (1 + both), pair / pair.sum(axis=(1, 2), keepdims=True)
 
     @classmethod
-    def fit(cls, marks: Marks, features: np.ndarray, tags: np.ndarray) -> Crf:
-        """Gradient ascent on the likelihood of tagged sequences, with a little shrinkage."""
-        k, size, valid = len(marks.features), marks.columns, tags >= 0
-        y = (tags == 1).astype(float)
+    def fit(cls, marks: Marks, features: np.ndarray, tags: np.ndarray, often: np.ndarray) -> Crf:
+        """Gradient ascent on the likelihood of tagged sequences, with a little shrinkage; often: how often each one counts."""
+        k, size, tags = len(marks.features), marks.columns, np.ascontiguousarray(tags.T)
+        valid, y = tags >= 0, (tags == 1).astype(float)
+        features = np.ascontiguousarray(features.transpose(1, 0, 2))
+        flat = features.reshape(-1)
         weights, bias, step = np.zeros(size), -2.0, np.zeros((2, 2))
         squares = [np.full(size, 1e-3), 1e-3, np.full((2, 2), 1e-3)]
-        both = valid[:, :-1] & valid[:, 1:]
-        seen = np.zeros((2, 2))
-        for a in (0, 1):
-            for b in (0, 1):
-                seen[a, b] = (both & (tags[:, :-1] == a) & (tags[:, 1:] == b)).sum()
-        n = max(len(tags), 1)
+        both = (valid[:-1] & valid[1:]) * often
+        seen = np.array([[(both * ((tags[:-1] == a) & (tags[1:] == b))).sum() for b in (0, 1)] for a in (0, 1)])
+        n = max(len(often), 1)
         for _ in range(ROUNDS):
-            unary = bias + weights[features].sum(axis=2)
-            p, pairs = cls._chains(unary, valid, step)
-            error = np.where(valid, y - p, 0.0)
-            g = np.bincount(features.reshape(-1), np.repeat(error.reshape(-1), features.shape[2]), minlength=size)
+            p, pairs = cls._chains(bias + weights[features].sum(axis=2), valid, step)
+            error = np.where(valid, y - p, 0.0) * often
+            g = np.bincount(flat, np.repeat(error.reshape(-1), features.shape[2]), minlength=size)
             g[k] = 0
-            grads = [g / n - 1e-6 * weights, error.sum() / n - 1e-6 * bias, (seen - pairs) / n - 1e-6 * step]
+            grads = [g / n - 1e-6 * weights, error.sum() / n - 1e-6 * bias, (seen - np.einsum("kabn,kn->ab", pairs, both)) / n - 1e-6 * step]
             for i, grad in enumerate(grads):
                 squares[i] = squares[i] + np.square(grad)
             weights, bias, step = (x + 0.5 * grad / np.sqrt(s) for x, grad, s in zip((weights, bias, step), grads, squares))
@@ -251,21 +246,24 @@ class Crf:
         return both / (1 + both)
 
     def evidence(self, data: np.ndarray, off: np.ndarray, trust: Callable[[np.ndarray, np.ndarray], np.ndarray]):
-        """Log odds of each row that one of its marked words is toxic, each word's marginal times its mark's trust; then the
-        rows, starts, ends and marginals of the marked words.  trust: (numbers of marks, rows) -> their trust."""
+        """Log odds of each row that one of its words is toxic, from every word's marginal times its marks' trust (the base rate
+        for a word without marks); then the rows, starts, ends and marginals of the words that the field tags.
+        trust: (numbers of marks, rows) -> their trust."""
         number, starts, ends, word_off = self.marks.numbers(data, off)
         p = self.marginals(self.bias + self.weights[number].sum(axis=1), word_off)
-        hit = np.flatnonzero((number[:, :-3] < len(self.marks.features)).any(axis=1))
-        row = np.searchsorted(word_off, hit, "right") - 1
-        sure = trust(number[hit, :-3], row).max(axis=1, initial=0.0) * p[hit]
-        none = np.bincount(row, np.log1p(-np.minimum(sure, 1 - 1e-9)), len(off) - 1) + np.log1p(-FLOOR)
-        return np.log(np.maximum(-np.expm1(none), 1e-12)) - none, row, starts[hit], ends[hit], p[hit]
+        row = np.repeat(np.arange(len(off) - 1), np.diff(word_off))
+        marked = (number[:, :-3] < len(self.marks.features)).any(axis=1)
+        sure = np.full(len(p), self.marks.base)
+        sure[marked] = trust(number[marked, :-3], row[marked]).max(axis=1, initial=0.0)
+        none = np.bincount(row, np.log1p(-np.minimum(sure * p, 1 - 1e-9)), len(off) - 1) + np.log1p(-FLOOR)
+        hit = np.flatnonzero(p >= 0.5)
+        return np.log(np.maximum(-np.expm1(none), 1e-12)) - none, row[hit], starts[hit], ends[hit], p[hit]
 
     def score(self, odds: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * odds + self.offset, -30, 30)))
 
 
-#: The chance that a text without any mark is toxic, before calibration.
+#: The chance that a text without any word is toxic, before calibration.
 FLOOR = 0.01
 
 
@@ -296,15 +294,15 @@ def calibration(odds: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
 def train_crf(labelled: DataFrame) -> Crf:
     """labelled: doc_id, text, toxic; at most TRAIN_DOCUMENTS of them.  The last step fits how a text's odds become a score."""
     marks = marking_features(labelled)
-    rows = labelled.mapInArrow(_sequences(marks), "features binary, tags binary")
-    rows = rows.orderBy(F.xxhash64("features", "tags")).limit(SEQUENCES).toArrow()
+    rows = labelled.mapInArrow(_sequences(marks), "features binary, tags binary, weight long")
+    rows = rows.groupBy("features", "tags").agg(F.sum("weight").alias("weight")).orderBy("features", "tags").toArrow()
     if not rows.num_rows:
         return Crf(marks, np.zeros(marks.columns), -2.0, np.zeros((2, 2)))
     wide = 2 * CONTEXT + 1
     features = np.frombuffer(b"".join(x.as_py() for x in rows["features"]), np.int32).reshape(-1, wide, 4 + len(PREFIXES))
     tags = np.frombuffer(b"".join(x.as_py() for x in rows["tags"]), np.int8).reshape(-1, wide)
-    crf = Crf.fit(marks, features, tags)
-    known = labelled.mapInArrow(_left_out_odds(crf), "odds double, toxic long").toArrow()  # one number a labelled document
+    crf = Crf.fit(marks, features, tags, rows["weight"].to_numpy())
+    known = labelled.mapInArrow(_left_out_odds(crf), "odds double, toxic long").orderBy("odds", "toxic").toArrow()  # one number a labelled document
     crf.slope, crf.offset = calibration(known["odds"].to_numpy(), known["toxic"].to_numpy())
     return crf
 
@@ -321,8 +319,7 @@ def score_texts(docs: DataFrame, crf) -> DataFrame:
                 odds, row, starts, ends, p = model.evidence(data, off, lambda number, _: trust[number])
                 spans: list[list] = [[] for _ in range(hi - lo)]
                 for r, a, b, q in zip(row.tolist(), (starts - off[row]).tolist(), (ends - off[row]).tolist(), p.tolist()):
-                    if q >= 0.5:
-                        spans[r].append({"start": a, "end": b, "marginal": q})
+                    spans[r].append({"start": a, "end": b, "marginal": q})
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(model.score(odds)), pa.array(spans, kind)], names=["doc_id", "score", "spans"])
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, spans array<struct<start:long,end:long,marginal:double>>")
@@ -332,12 +329,13 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Score every whole text; labels: doc_id and toxic (1 or 0), to learn from.
 
     Words that mark toxic documents are tagged in the labelled texts, and a linear-chain field over all words is fitted to those
-    tags by their prefixes, shapes and neighbours.  Its forward-backward marginals, each times its mark's trust, give the odds
-    that a text has a toxic word; how odds become scores is fitted to the labelled texts, each judged without its own label.
+    tags by their prefixes, shapes and neighbours.  Its forward-backward marginals, those of all words, each times its mark's
+    trust or the base rate, give the odds that a text has a toxic word; how odds become scores is fitted to the labelled
+    texts, each judged without its own label.  How rows are laid out in partitions changes nothing.
 
-    Returns doc_id, score, spans (byte offsets), one row per input row.  A null or empty text has the score of one without
-    marks.  Null ids or labels take no part in learning; with no labels every score is that one.  Repeated rows score
-    alike; other columns are ignored.
+    Returns doc_id, score, spans (byte offsets of the words that the field tags), one row per input row.  A null or empty text
+    has the score of one without words.  Null ids or labels take no part in learning; with no labels every score is that
+    one.  Repeated rows score alike; other columns are ignored; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     shared_folder(spark)
