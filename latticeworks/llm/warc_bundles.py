@@ -9,6 +9,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from contextlib import ExitStack
 
 import pyarrow as pa
 import zstandard
@@ -118,7 +119,8 @@ def write_bundles(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFr
     """Write each page as a WARC record and return the index: page_id, path, frame, offset (in the frame), length.
 
     The payload is html in UTF-8; null is empty.  A null page_id is written as a response without an index key (null).
-    Repeated rows are records of equal roles.  A null url has no target field; other columns are ignored.
+    Repeated rows are records of equal roles.  A null url has no target field; other columns are ignored; no pages give an
+    empty index.
     """
 
     def write(batches):
@@ -148,19 +150,21 @@ def read_bundles(index: DataFrame) -> DataFrame:
 
     def read(batches):
         path, reader = None, None
-        for batch in batches:
-            out = []
-            for name, frame, offset in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if name != path:
-                    path, reader = name, BundleReader(opened(name))
-                fields, payload, _ = parse(reader.frame(frame), offset)
-                digest, kind, page = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"], fields["WARC-Record-ID"][10:-1]
-                if kind == "response" and base32_sha1(payload) != digest:
-                    raise ValueError(f"record {page} is damaged")
-                refers = int(fields["WARC-Refers-To"][10:-1]) if kind == "revisit" else None
-                out.append((None if page == "None" else int(page), int(fields["Payload-Length"]), digest, kind, refers, payload.decode() if kind == "response" else None))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+        with ExitStack() as held:  # one bundle is open at a time
+            for batch in batches:
+                out = []
+                for name, frame, offset in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                    if name != path:
+                        held.close()
+                        path, reader = name, BundleReader(held.enter_context(opened(name)))
+                    fields, payload, _ = parse(reader.frame(frame), offset)
+                    digest, kind, page = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"], fields["WARC-Record-ID"][10:-1]
+                    if kind == "response" and base32_sha1(payload) != digest:
+                        raise ValueError(f"record {page} is damaged")
+                    refers = int(fields["WARC-Refers-To"][10:-1]) if kind == "revisit" else None
+                    out.append((None if page == "None" else int(page), int(fields["Payload-Length"]), digest, kind, refers, payload.decode() if kind == "response" else None))
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
     bundles = max(1, index.select("path").distinct().count())  # a number given is kept; else small rows would meet in one task
     placed = index.select("path", "frame", "offset").repartition(bundles, "path").sortWithinPartitions("path", "frame", "offset")
