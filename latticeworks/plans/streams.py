@@ -38,18 +38,21 @@ def _rates(rows):
     return rows.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-def _replayed(spark, sf_dir, name: str, batches: int = 4):
-    """The view as a stream of several batches in order of time, and a row after all others that closes it: of session or
-    event -1, without a kind, a hundred days later."""
+def _replay(spark, sf_dir, name: str, run, batches: int = 4) -> None:
+    """Call run with a stream of the view's rows after each of several batches in order of time, and after a last row that closes
+    it: of session or event -1, without a kind, a hundred days later.
+
+    run goes on from its checkpoint and takes all files that are new, so a trigger has a whole batch however many files it has.
+    """
     columns, folder = re.search(r"SELECT (.*) FROM events", VIEWS[name], re.S)[1], new_folder(spark, "replay")
     rows = spark.sql(f"SELECT {columns} FROM {{events}}", events=spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("ts", F.col("ts").cast("timestamp"))
     cuts = rows.agg(F.percentile_approx(F.unix_micros("ts"), [k / batches for k in range(1, batches)], 1000).alias("c"), F.max("ts").alias("last")).first()
     place = sum((F.unix_micros("ts") > c).cast("int") for c in cuts.c or [])
-    for k in range(batches):  # one job a batch, so that files are new in order
-        rows.where(place == k).write.parquet(f"{folder}/{k}")
-    rows.limit(1).select(*(F.lit(-1).cast(t).alias(c) if c.endswith("_id") else (F.lit(cuts.last) + F.expr("INTERVAL 100 DAYS")).alias(c) if c == "ts" else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes)).write.parquet(f"{folder}/{batches}")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
-    return stream
+    closing = rows.limit(1).select(*(F.lit(-1).cast(t).alias(c) if c.endswith("_id") else (F.lit(cuts.last) + F.expr("INTERVAL 100 DAYS")).alias(c) if c == "ts" else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes))
+    stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/*")
+    for k, batch in enumerate([*(rows.where(place == k) for k in range(batches)), closing]):
+        batch.write.parquet(f"{folder}/{k}")
+        run(stream)
 
 
 def _text(rows):
@@ -59,7 +62,7 @@ def _text(rows):
 def autosave(spark, sf_dir):
     """Run lengths of the store after all edits, which come in several triggers."""
     path = new_folder(spark, "autosave")
-    jobs.autosave(_replayed(spark, sf_dir, "edits").where("event_id >= 0"), path, every=None).awaitTermination()
+    _replay(spark, sf_dir, "edits", lambda edits: jobs.autosave(edits.where("event_id >= 0"), path, every=None).awaitTermination())
     return _text(stored_cells(spark, path))
 
 
@@ -77,7 +80,7 @@ def stream_faces(spark, sf_dir):
     """Visible faces of the cells around all edits, kept over several triggers."""
     layer, clear, doors = _faces(spark, sf_dir)
     store, faces = new_folder(spark, "store"), new_folder(spark, "faces")
-    jobs.stream_faces(_replayed(spark, sf_dir, "edits").where("event_id >= 0"), layer, store, faces, clear, doors, every=None).awaitTermination()
+    _replay(spark, sf_dir, "edits", lambda edits: jobs.stream_faces(edits.where("event_id >= 0"), layer, store, faces, clear, doors, every=None).awaitTermination())
     return stored_faces(spark, faces)
 
 
@@ -98,16 +101,21 @@ LONGEST = 30
 
 def stream_pairing(spark, sf_dir):
     """Joins with their leaves, from a stream joined with itself."""
-    rows = _ended(spark, jobs.stream_pairing(_replayed(spark, sf_dir, "session_events"), f"{LONGEST} DAYS"), "pairing", "append")
+    rows = _ended(spark, sf_dir, lambda events: jobs.stream_pairing(events, f"{LONGEST} DAYS"), "pairing", "append")
     out = jobs.settled_pairs(rows)
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "left_at")})
 
 
-def _ended(spark, out, name: str, mode: str):
-    """All rows that a stream gave up to its end."""
+def _ended(spark, sf_dir, make, name: str, mode: str):
+    """All rows that a stream made of the sessions' events gave up to its end."""
     folder = new_folder(spark, name)
-    with stateful.with_rocksdb(spark):
+
+    def run(events):
+        out = make(events)
         jobs.run_available(spark, out, folder, mode, out.columns)
+
+    with stateful.with_rocksdb(spark):
+        _replay(spark, sf_dir, "session_events", run)
     return spark.read.parquet(f"{folder}/out").drop("batch")
 
 
@@ -116,20 +124,19 @@ TTL = {"bp": 90 * 86400, "bm": 45 * 86400}
 
 def stream_expiry(spark, sf_dir):
     """Events as entities that expire by kind."""
-    entities = _replayed(spark, sf_dir, "session_events").select(F.expr("nullif(event_id, -1)").alias("entity_id"), "kind", F.col("ts").alias("created"), F.lit(False).alias("removed"))
-    out = _ended(spark, stateful.stream_expiry(entities, TTL, 60 * 86400), "expiry", "append")
+    entities = lambda events: events.select(F.expr("nullif(event_id, -1)").alias("entity_id"), "kind", F.col("ts").alias("created"), F.lit(False).alias("removed"))
+    out = _ended(spark, sf_dir, lambda events: stateful.stream_expiry(entities(events), TTL, 60 * 86400), "expiry", "append")
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("created", "expired_at")})
 
 
 def stream_rolling_mean(spark, sf_dir):
-    rows = _replayed(spark, sf_dir, "session_events").where("event_id >= 0")
-    out = _ended(spark, stateful.stream_rolling_mean(rows, "session_id", "latency_ms", 10), "means", "update")
+    out = _ended(spark, sf_dir, lambda events: stateful.stream_rolling_mean(events.where("event_id >= 0"), "session_id", "latency_ms", 10), "means", "update")
     return out.withColumn("mean", F.round("mean", 6))
 
 
 def stream_throttle(spark, sf_dir):
-    rows = _replayed(spark, sf_dir, "session_events")
-    return _ended(spark, stateful.stream_throttle(rows, 3_600_000_000), "throttle", "append").where("session_id >= 0").withColumn("t", F.col("t").cast("double"))
+    out = _ended(spark, sf_dir, lambda events: stateful.stream_throttle(events, 3_600_000_000), "throttle", "append")
+    return out.where("session_id >= 0").withColumn("t", F.col("t").cast("double"))
 
 
 QUERIES = {

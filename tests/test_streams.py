@@ -125,3 +125,21 @@ def test_throttle_of_a_key_in_many_parts(spark, gap, inclusive):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
     key = lambda r: (r[0] is not None, r[0] or 0, r[1])
     assert sorted(got, key=key) == want
+
+
+@pytest.mark.parametrize("name", ["stream_rolling_mean", "stream_throttle"])
+def test_a_batch_of_several_files_is_one_trigger(spark, tmp_path, name):
+    """Events in files whose times overlap: batches are cut by time and not by file."""
+    from latticeworks.plans import registry
+
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    conf = {"spark.sql.files.maxPartitionBytes": "8k", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got, want = ({tuple(r) for r in registry.queries()[q](spark, str(tmp_path)).collect()} for q in (name, name.removeprefix("stream_")))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == want
