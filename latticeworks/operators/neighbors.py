@@ -13,6 +13,12 @@ Offset = tuple[int, int, int]
 FACES: dict[str, Offset] = {"west": (-1, 0, 0), "east": (1, 0, 0), "down": (0, -1, 0), "up": (0, 1, 0), "north": (0, 0, -1), "south": (0, 0, 1)}
 
 
+def _exchanged(spread: DataFrame) -> DataFrame:
+    """Rows that were spread to cells, for a join: their size is estimated as before the spreading, so they would be broadcast
+    through the driver while their source is small."""
+    return spread.hint("merge")
+
+
 def _moved(offset: Offset) -> Column:
     return F.struct(*((F.col(c) - d).alias(c) for c, d in zip("xyz", offset)))
 
@@ -87,7 +93,7 @@ def box_cells(boxes: DataFrame, limits: DataFrame | None = None) -> DataFrame:
 def carve_openings(voxels: DataFrame, boxes: DataFrame) -> DataFrame:
     """Voxels outside every box: boxes are clipped to the voxels' own and spread to cells, so it is a hash anti-join and not a
     range join."""
-    return voxels.join(box_cells(boxes, voxels), ["x", "y", "z"], "left_anti")
+    return voxels.join(_exchanged(box_cells(boxes, voxels)), ["x", "y", "z"], "left_anti")
 
 
 def occupied_minus_carved(voxels: DataFrame, carved: DataFrame) -> DataFrame:
@@ -101,7 +107,7 @@ def explode_radius(voxels: DataFrame, blasts: DataFrame) -> DataFrame:
     for c in "xyz":
         cells = cells.withColumn(f"d{c}", F.explode(reach))
     cells = cells.where("dx * dx + dy * dy + dz * dz <= radius * radius").select("blast_id", (F.col("bx") + F.col("dx")).alias("x"), (F.col("by") + F.col("dy")).alias("y"), (F.col("bz") + F.col("dz")).alias("z"))
-    return cells.join(voxels.where("v > 1").select("x", "y", "z"), ["x", "y", "z"]).select("blast_id", "x", "y", "z", F.lit(0).alias("v"))
+    return _exchanged(cells).join(voxels.where("v > 1").select("x", "y", "z"), ["x", "y", "z"]).select("blast_id", "x", "y", "z", F.lit(0).alias("v"))
 
 
 def in_blasts(points: DataFrame, blasts: DataFrame, block: float = 1.0) -> DataFrame:
@@ -116,7 +122,7 @@ def in_blasts(points: DataFrame, blasts: DataFrame, block: float = 1.0) -> DataF
         spread = spread.withColumn(f"k{c}", F.explode(F.sequence(where(F.col(f"b{c}") - F.col("radius")), where(F.col(f"b{c}") + F.col("radius")))))
     placed = points.withColumns({f"p{c}": F.col(c) / block for c in "xyz"}).withColumns({f"k{c}": where(F.col(f"p{c}")) for c in "xyz"})
     d2 = sum((F.col(f"p{c}") - F.col(f"b{c}")) * (F.col(f"p{c}") - F.col(f"b{c}")) for c in "xyz")
-    near = placed.join(spread, ["kx", "ky", "kz"]).withColumn("d2", d2).where("d2 <= radius * radius")
+    near = placed.join(_exchanged(spread), ["kx", "ky", "kz"]).withColumn("d2", d2).where("d2 <= radius * radius")
     return near.select(*points.columns, "blast_id", "radius", "d2")
 
 
@@ -255,7 +261,7 @@ def floor_probe(leaves: DataFrame, voxels: DataFrame) -> DataFrame:
     side = F.when(F.col("facing") == "east", F.struct(F.lit(1).alias("dx"), F.lit(0).alias("dy"))).otherwise(F.struct(F.lit(0).alias("dx"), F.lit(1).alias("dy")))
     probes = leaves.withColumn("s", side).withColumn("sign", F.explode(F.array(F.lit(-1), F.lit(1)))).withColumn("dz", F.explode(F.sequence(F.lit(-3), F.lit(1))))
     cells = probes.select("leaf_id", (F.col("x") + F.col("sign") * F.col("s.dx")).alias("x"), (F.col("y") + F.col("sign") * F.col("s.dy")).alias("y"), (F.col("z") + F.col("dz")).alias("z"))
-    hit = cells.join(voxels.select("x", "y", "z").distinct(), ["x", "y", "z"]).groupBy("leaf_id").agg(F.max("z").alias("floor_z"))
+    hit = _exchanged(cells).join(voxels.select("x", "y", "z").distinct(), ["x", "y", "z"]).groupBy("leaf_id").agg(F.max("z").alias("floor_z"))
     return leaves.select("leaf_id").join(hit, "leaf_id", "left")
 
 
@@ -269,7 +275,7 @@ def place_doors(voxels: DataFrame, doors: DataFrame, pitch: float, mode: str = "
     """
     if mode == "solid":
         cells = box_cells(doors).select("x", "y", "z", F.lit(99).alias("prio"), F.lit("door").alias("cls"), F.lit("minecraft:oak_planks").alias("block"))
-        return voxels.join(cells, ["x", "y", "z"], "left_anti").unionByName(cells)
+        return voxels.join(_exchanged(cells), ["x", "y", "z"], "left_anti").unionByName(cells)
     carved = carve_openings(voxels, doors)
     if mode == "air":
         return carved
