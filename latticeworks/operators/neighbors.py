@@ -210,19 +210,26 @@ def eligible_players(players: DataFrame, now) -> DataFrame:
 
 
 def radius_join(entities: DataFrame, players: DataFrame, r: float, width: float = 1.0, eye: float = 0.0) -> DataFrame:
-    """Each entity with the first player (by ordinal) nearer than r; players are spread to the 27 cells around them.
+    """Each entity with the first player (by ordinal) nearer than r; places are joined, each once, and then their entities.
 
     eye: the height of an entity's aim below the player's position, as ``EYE`` times a block's size.
     """
-    size = max(r, width)
-    cell = lambda c: F.floor(F.col(c) / size)
-    e = entities.withColumns({f"k{c}": cell(f"e{c}") for c in "xyz"})
+    first = F.min(F.when(F.col("ordinal").isNotNull(), F.struct("ordinal", "player_id")))
     p = players.withColumn("py", F.col("py") - eye) if eye else players
-    p = p.withColumns({f"k{c}": cell(f"p{c}") for c in "xyz"})
+    near = _near_places(entities, p.groupBy("px", "py", "pz").agg(first.alias("first")), r, max(r, width))
+    places = near.groupBy("ex", "ey", "ez").agg(F.min("first").alias("first"))
+    return entities.join(places, ["ex", "ey", "ez"]).groupBy("entity_id").agg(F.min("first").alias("first")).select("entity_id", "first.player_id")
+
+
+def _near_places(entities: DataFrame, players: DataFrame, r: float, size: float) -> DataFrame:
+    """Distinct places (ex, ey, ez) of entities with the rows of players (px, py, pz, one a place) nearer than r and their
+    distance d; players are spread to the 27 cells of a size around them."""
+    cell = lambda c: F.floor(F.col(c) / size)
+    e = entities.select("ex", "ey", "ez").distinct().withColumns({f"k{c}": cell(f"e{c}") for c in "xyz"})
+    p = players.withColumns({f"k{c}": cell(f"p{c}") for c in "xyz"})
     for c in "xyz":
         p = p.withColumn(f"k{c}", F.explode(F.array(*(F.col(f"k{c}") + d for d in (-1, 0, 1)))))
-    near = e.join(p, ["kx", "ky", "kz"]).withColumn("d", S.distance(("ex", "px"), ("ey", "py"), ("ez", "pz"))).where(F.col("d") < r)
-    return near.groupBy("entity_id").agg(F.min_by("player_id", "ordinal").alias("player_id"))
+    return e.join(_exchanged(p), ["kx", "ky", "kz"]).withColumn("d", S.distance(("ex", "px"), ("ey", "py"), ("ez", "pz"))).where(F.col("d") < r)
 
 
 def pickups(entities: DataFrame, players: DataFrame, now, block: float = 1.0) -> DataFrame:
