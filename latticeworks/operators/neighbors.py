@@ -240,13 +240,12 @@ def pickups(entities: DataFrame, players: DataFrame, now, block: float = 1.0) ->
     """
     size = 1.5 * block
     free = eligible_players(players, now).withColumn("py", F.col("py") - EYE * block)
-    e = entities.withColumns({f"k{c}": F.floor(F.col(f"e{c}") / size) for c in "xyz"})
-    p = free.withColumns({f"k{c}": F.floor(F.col(f"p{c}") / size) for c in "xyz"})
-    for c in "xyz":
-        p = p.withColumn(f"k{c}", F.explode(F.array(*(F.col(f"k{c}") + d for d in (-1, 0, 1)))))
-    near = e.join(p, ["kx", "ky", "kz"]).withColumn("d", S.distance(("ex", "px"), ("ey", "py"), ("ez", "pz"))).where(F.col("d") < size)
-    picked = F.min(F.when(F.col("d") < 0.6 * block, F.struct("ordinal", "player_id")))
-    each = near.groupBy("entity_id").agg(picked.alias("picked"), F.max(F.struct("ordinal", "player_id")).alias("last"))
+    who = F.struct("ordinal", "player_id")
+    free = free.groupBy("px", "py", "pz").agg(F.min(who).alias("first"), F.max(who).alias("last"))
+    near = _near_places(entities, free, size, size)
+    picked = F.min(F.when(F.col("d") < 0.6 * block, F.col("first")))
+    places = near.groupBy("ex", "ey", "ez").agg(picked.alias("picked"), F.max("last").alias("last"))
+    each = entities.join(places, ["ex", "ey", "ez"]).groupBy("entity_id").agg(F.min("picked").alias("picked"), F.max("last").alias("last"))
     return each.select("entity_id", F.coalesce("picked.player_id", "last.player_id").alias("player_id"), F.when(F.col("picked").isNotNull(), "pick").otherwise("pull").alias("action"))
 
 
