@@ -127,8 +127,11 @@ def in_blasts(points: DataFrame, blasts: DataFrame, block: float = 1.0) -> DataF
 
 
 def surviving_entities(entities: DataFrame, blasts: DataFrame, block: float = 1.0) -> DataFrame:
-    """Entities (id, x, y, z) that no blast reaches."""
-    return entities.join(in_blasts(entities.select("id", "x", "y", "z"), blasts, block).select("id"), "id", "left_anti")
+    """Entities (id, x, y, z) that no blast reaches; each place is tried once, however many entities and blasts share it."""
+    places = entities.select("x", "y", "z").distinct()
+    alike = blasts.select("bx", "by", "bz", "radius").distinct().withColumn("blast_id", F.lit(None).cast("long"))
+    reached = in_blasts(places, alike, block).select("x", "y", "z").distinct()
+    return entities.join(entities.join(reached, ["x", "y", "z"], "left_semi").select("id"), "id", "left_anti")
 
 
 def blast_damage(players: DataFrame, blasts: DataFrame, block: float = 1.0) -> DataFrame:
