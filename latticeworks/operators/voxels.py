@@ -147,19 +147,22 @@ def voxelize_surface(triangles: DataFrame, pitch: float, origin: tuple[float, fl
 
     A triangle is split into n x n parts, n the power of two that brings its longest edge to half a pitch; the corners of
     the parts are snapped.  Where n is over 2**k_max, the triangle is first split into pieces of 2**k_max x 2**k_max parts.
-    Rows of corners are dealt out before the corners of a row, so a large triangle is shared.
+    Blocks of rows with some 4,096 corners are dealt out, so a large triangle is shared and a small one is one row; triangles
+    of one class and place are split once.
     """
     def edge(p, q):
         return S.distance(*((f"{p}{c}", f"{q}{c}") for c in "xyz"))
 
     k = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(edge("a", "b"), edge("b", "c"), edge("a", "c"), F.lit(1e-12)) * 2 / pitch)))
-    sized = triangles.withColumn("k", k).withColumns({"n": F.pow(2, F.least(F.lit(k_max), "k")).cast("int"), "pieces": F.pow(2, F.greatest(F.lit(0), F.col("k") - k_max)).cast("int")})
+    corners = triangles.select("cls", *(f"{p}{c}" for p in "abc" for c in "xyz"))
+    sized = corners.withColumn("k", k).withColumns({"n": F.pow(2, F.least(F.lit(k_max), "k")).cast("int"), "pieces": F.pow(2, F.greatest(F.lit(0), F.col("k") - k_max)).cast("int")})
     # Piece (p, q) has its corners at p and q pieces along both edges; a turned one is the other half of that parallelogram.
     lines = sized.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     pieces = lines.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1 - F.col("p"))))
     pieces = pieces.withColumn("turned", F.explode(F.when(F.col("p") + F.col("q") < F.col("pieces") - 1, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
-    rows = pieces.withColumn("i", F.explode(F.sequence(F.lit(0), "n")))
-    rows = rows.repartition("element_id", "face_no", "p", "q", "turned", "i") if "face_no" in triangles.columns else rows
+    step = F.greatest(F.lit(1), (4096 / F.col("n")).cast("int"))
+    blocks = pieces.withColumn("i0", F.explode(F.sequence(F.lit(0), "n", step))).distinct()
+    rows = blocks.withColumn("i", F.explode(F.sequence("i0", F.least(F.col("n"), F.col("i0") + step - 1))))
     points = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("i"))))
 
     def share(piece: str, step: str) -> Column:

@@ -75,3 +75,15 @@ def test_entities_and_blasts_of_one_place_survive_together(spark):
     out = N.surviving_entities(ids, blasts)
     assert {r.id % 3 for r in out.collect()} == {0, 2} and out.count() == 2000
     assert "Aggregate" in out._jdf.queryExecution().optimizedPlan().toString()  # before the join
+
+
+def test_triangles_of_one_place_are_split_once(spark):
+    from latticeworks.operators import voxels as V
+
+    corners = {"a": (0, 0, 0), "b": (200, 0, 0), "c": (0, 3, 0)}
+    one = spark.range(50).select(F.col("id").alias("element_id"), F.lit(0).alias("face_no"), F.lit("wall").alias("cls"), *(F.lit(float(v)).alias(f"{p}{c}") for p, at in corners.items() for c, v in zip("xyz", at)))
+    many, few = (V.voxelize_surface(df, 1.0, (0.0, 0.0, 0.0)) for df in (one, one.limit(1)))
+    assert {tuple(r) for r in many.collect()} == {tuple(r) for r in few.collect()} and few.count() > 201
+    plan = many._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" not in plan  # rows of corners aren't exchanged with their element
+    assert plan.count("Aggregate") == 2  # triangles, then cells
