@@ -107,6 +107,21 @@ def test_throttle_drops_its_state(spark, tmp_path):
     assert [r.key.session_id for r in _state(spark, tmp_path, "last")] == [-1]  # the last closing row
 
 
+@pytest.mark.parametrize("cuts", [[], [10, 11, 150, 299]])
+def test_throttled_keys_share_a_state(spark, tmp_path, cuts):
+    """Keys of one remainder, negative ones, a missing one, ties of time, and rows without a time."""
+    rng, group = random.Random(12), stateful.THROTTLE_GROUPS
+    ids = (0, group, 2 * group, -1, -1 - group, 5, None)
+    rows = [(rng.choice(ids), *r[1:]) for r in _events(rng, 300)]
+    batches = [*_cut(rows, cuts), [(0, 10_000, None, "bp", None)]]
+    gap = 45 * 60_000_000
+    got, _ = _run(spark, stateful.stream_throttle(_stream(spark, tmp_path, batches, EVENT), gap), tmp_path, "append")
+    want = E.throttle(spark.createDataFrame(rows, EVENT).withColumn("us", F.unix_micros("ts")), "session_id", "us", gap)
+    found = [(r.session_id, r.t) for r in got.collect()]
+    assert len(found) == len(set(found)) and set(found) == {(r.session_id, int(r.t)) for r in want.collect()}
+    assert 0 < len(_state(spark, tmp_path, "last")) <= 4
+
+
 @pytest.mark.parametrize("gap, inclusive", [(45.0, False), (45.0, True), (7.5, False), (0.0, True), (10_000.0, False)])
 def test_throttle_of_a_key_in_many_parts(spark, gap, inclusive):
     """A key with most rows, in several parts, ties of time and a null key."""
