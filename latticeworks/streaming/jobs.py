@@ -1,16 +1,17 @@
-"""Streaming forms of edits, ticks, counters, dirty cells, rates, pairing, faces and saving."""
+"""Streaming forms of edits, ticks, counters, dirty cells, rates, faces and saving, with pairing from ``stateful``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scalars import cell_of
 from ..operators.cell_store import update_faces, upsert_cells
 from ..operators.neighbors import FACES
+from .stateful import stream_pairing
 
 KINDS = ("bm", "bp", "cr", "join", "leave")
 
@@ -58,30 +59,9 @@ def rate_metrics(sdf: DataFrame, width: str = "1 hour", watermark: str = "1 hour
     return out.select(F.col("window.start").alias("start"), "kind", "n", F.round("mean", 6).alias("mean"))
 
 
-def stream_pairing(events: DataFrame, longest: str, watermark: str = "1 hour") -> DataFrame:
-    """Joins (session_id, event_id, ts), each with the leaves of its session (left_id, left_at) that come later, by ``longest``
-    at most; in append mode, one without any comes with nulls once the watermark is past.
-
-    Both sides have a watermark, which every event moves, so their state holds joins and leaves of the last ``longest`` and the
-    delay only.  ``settled_pairs`` chooses each join's own leave.
-    """
-    # A condition that names the event time isn't tried before the watermark is taken.
-    side = lambda kind: events.withWatermark("ts", watermark).where(f"kind = '{kind}' OR ts IS NULL")
-    j = side("join").select("session_id", "event_id", "ts")
-    left = side("leave").select(F.col("session_id").alias("left_session"), F.col("event_id").alias("left_id"), F.col("ts").alias("left_at"))
-    later = (F.col("left_at") > F.col("ts")) | ((F.col("left_at") == F.col("ts")) & (F.col("left_id") > F.col("event_id")))
-    within = (F.col("left_at") >= F.col("ts")) & (F.col("left_at") <= F.col("ts") + F.expr(f"INTERVAL {longest}"))
-    return j.join(left, (F.col("session_id") == F.col("left_session")) & within & later, "leftOuter").drop("left_session")
-
-
 def settled_pairs(rows: DataFrame) -> DataFrame:
-    """Each join of ``stream_pairing``'s rows with its first leave, unless the session joins again before: as ``session_pairing``."""
-    first = rows.groupBy("session_id", "event_id", "ts").agg(F.min(F.struct("left_at", "left_id")).alias("left"))
-    w = Window.partitionBy("session_id").orderBy("ts", "event_id")
-    paired = first.withColumn("again", F.lead(F.struct("ts", "event_id")).over(w))
-    open_ = F.col("again").isNotNull() & (F.col("again") < F.col("left"))
-    left = F.when(~F.coalesce(open_, F.lit(False)), F.col("left.left_at"))
-    return paired.select("session_id", "event_id", "ts", left.alias("left_at"), (F.unix_micros(left) - F.unix_micros("ts")).alias("micros"))
+    """Rows of ``stream_pairing`` as those of ``session_pairing``."""
+    return rows.select("session_id", "event_id", "ts", "left_at", (F.unix_micros("left_at") - F.unix_micros("ts")).alias("micros"))
 
 
 def autosave(sdf: DataFrame, path: str, every: str | None = "10 minutes", checkpoint: str | None = None) -> StreamingQuery:

@@ -77,6 +77,27 @@ def test_a_join_without_a_leave_comes_after_the_watermark(spark, tmp_path):
         assert len(found) == n and all(r.left_at is None for r in found)
 
 
+@pytest.mark.parametrize("cuts", [[], [1, 70], [40, 41, 100]])
+def test_a_join_is_paired_once(spark, tmp_path, cuts):
+    """One row a join however many leaves its session has: joins twice in a row, ties of time, batches that overlap within the
+    watermark's delay, missing sessions, and rows without a time."""
+    rng = random.Random(8)
+    rows = [(rng.choice((1, 1, 1, 193, -1, None)), *r[1:]) for r in _events(rng, 160)]
+    rows += [(1, 500 + i, START + dt.timedelta(minutes=3100), k, None) for i, k in enumerate(("join", "join", "leave", "leave", "join"))]
+    rows += [(2, 600, START, "join", None), (2, 601, START + dt.timedelta(minutes=3101), "leave", None)]
+    given = sorted(rows, key=lambda r: (r[2] + dt.timedelta(minutes=rng.randrange(0, 50)), r[1]))
+    assert given != sorted(rows, key=lambda r: r[2])
+    closing = [(-2, 10_000, START + dt.timedelta(days=60), "bp", None), (5, 10_001, None, "join", None)]
+    out = jobs.stream_pairing(_stream(spark, tmp_path, [*_cut(given, cuts), closing], EVENT), "2 DAYS")
+    raw, _ = _run(spark, out, tmp_path, "append")
+    day = F.expr("left_at <= ts + INTERVAL 2 DAYS")
+    want = E.session_pairing(spark.createDataFrame(rows, EVENT)).withColumns({c: F.when(day, F.col(c)) for c in ("left_at", "micros")})
+    key = lambda r: tuple((v is None, v or 0) if not isinstance(v, dt.datetime) else (False, v.timestamp()) for v in r)
+    assert sorted(jobs.settled_pairs(raw.drop("batch")).collect(), key=key) == sorted(want.collect(), key=key)
+    assert raw.count() == sum(r[3] == "join" for r in rows)
+    assert _state(spark, tmp_path, "open") == []
+
+
 ENTITY = "entity_id long, kind string, created timestamp, removed boolean"
 
 
