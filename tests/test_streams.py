@@ -179,3 +179,26 @@ def test_a_batch_of_several_files_is_one_trigger(spark, tmp_path, name):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert got == want
+
+
+@pytest.mark.parametrize("name, like", [("autosave", "save_world"), ("stream_faces", None)])
+def test_a_store_has_a_version_a_batch(spark, tmp_path, monkeypatch, name, like):
+    """Edits in several files make no more versions than batches."""
+    from latticeworks.plans import registry, streams
+
+    for table in ("events", "lineitem"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
+    monkeypatch.setattr(streams, "new_folder", lambda spark, what: f"file://{tmp_path}/{what}")
+    conf = {"spark.sql.files.maxPartitionBytes": "8k", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rows = registry.queries()[name](spark, str(tmp_path)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(list((tmp_path / "replay" / "0").glob("*.parquet"))) > 1
+    assert rows and 1 < len(list((tmp_path / {"autosave": "autosave", "stream_faces": "faces"}[name]).glob("batch=*"))) <= 5
+    if like:
+        assert set(rows) == set(registry.queries()[like](spark, str(tmp_path)).collect())
