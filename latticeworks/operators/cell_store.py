@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..plans.storage import written
 from .neighbors import FACES, dirty_cells, visible_faces
 from .voxels import overlay_layers
 from .world import rle_encode, to_cells
@@ -91,12 +92,14 @@ def upsert_cells(edits: DataFrame, path: str, batch: int) -> None:
     """Merge edits (ts, event_id, x, y, z, v) into the store as the version ``batch``.
 
     The write of greatest (ts, event_id) holds for each voxel, in whatever order batches bring them.  Only the regions of the
-    touched cells are read; a cell's row holds at most as many writes as a cell has voxels.
+    touched cells are read; a cell's row holds at most as many writes as a cell has voxels.  The edits are read once: their last
+    writes are written first, and all that follows goes by these.
     """
     new = to_cells(edits.withColumn("v", F.struct(F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("v").cast("int").alias("v")))).select(*CELL, "off", "v.*")
+    last = lambda rows: rows.groupBy(*CELL, "off").agg(F.max(F.struct("ts", "event_id", "v")).alias("w")).select(*CELL, "off", "w.*")
+    new = written(last(new))
     old = stored_cells(edits.sparkSession, path, batch, new.select(*CELL).distinct())
-    both = old.select(*CELL, F.explode("writes").alias("w")).select(*CELL, "w.*").unionByName(new)
-    merged = both.groupBy(*CELL, "off").agg(F.max(F.struct("ts", "event_id", "v")).alias("w")).select(*CELL, "off", "w.*")
+    merged = last(old.select(*CELL, F.explode("writes").alias("w")).select(*CELL, "w.*").unionByName(new))
     writes = merged.groupBy(*CELL).agg(F.array_sort(F.collect_list(F.struct("off", "ts", "event_id", "v"))).alias("writes"))
     coded = rle_encode(merged.select(*CELL, "off", (F.col("v") + 1).alias("v")))
     _with_regions(writes.join(coded, CELL)).write.mode("overwrite").partitionBy("rx", "rz").parquet(f"{path}/batch={batch}")
@@ -120,7 +123,7 @@ def update_faces(edits: DataFrame, layer: str, store: str, faces: str, batch: in
     face too, so that a version without faces replaces earlier ones.
     """
     spark = edits.sparkSession
-    dirty = dirty_cells(edits)
+    dirty = written(dirty_cells(edits))
     needed = _and_beside(dirty)
     voxels = overlay_layers(read_layer(spark, layer, needed), stored_voxels(spark, store, batch + 1, needed))
     seen = visible_faces(voxels, transparent, doors=doors, within=dirty)

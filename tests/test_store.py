@@ -94,6 +94,22 @@ def test_faces_over_edits_equal_faces_from_scratch(spark, tmp_path):
         assert _faces(C.stored_faces(spark, f"{tmp_path}/faces")) == _faces(want)
 
 
+def test_a_batch_is_read_once_for_the_store_and_once_for_faces(spark, tmp_path):
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        reads.add(1)
+        return x
+
+    batch = _batches(random.Random(5), 1)[0]
+    df = spark.createDataFrame(batch, EDIT).withColumn("x", F.udf(counted, "int").asNondeterministic()("x"))
+    C.write_layer(spark.createDataFrame([(0, 0, 0, 1)], "x int, y int, z int, v int"), f"{tmp_path}/layer")
+    C.upsert_cells(df, f"{tmp_path}/store", 0)
+    assert reads.value == len(batch)
+    C.update_faces(df, f"{tmp_path}/layer", f"{tmp_path}/store", f"{tmp_path}/faces", 0, spark.createDataFrame([(1,)], "v int"))
+    assert reads.value == 2 * len(batch)
+
+
 def test_door_panels(spark):
     rows = spark.createDataFrame([(0, 0, 0, 2), (1, 0, 0, 1), (0, 0, 5, 3), (0, 0, 9, 4)], "x int, y int, z int, v int")
     clear, doors = spark.createDataFrame([(2,), (3,), (4,)], "v int"), spark.createDataFrame([(2, "x", False), (3, "x", True), (4, "z", False)], "v int, axis string, open boolean")
