@@ -38,6 +38,10 @@ def _rates(rows):
     return rows.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+#: A replayed batch's files hold so many rows at most, so its tasks are even where the table lies in order of time too.
+FILE_ROWS = 250_000
+
+
 def _replay(spark, sf_dir, name: str, run, batches: int = 4) -> None:
     """Call run with a stream of the view's rows after each of several batches in order of time, and after a last row that closes
     it: of session or event -1, without a kind, a hundred days later.
@@ -51,7 +55,7 @@ def _replay(spark, sf_dir, name: str, run, batches: int = 4) -> None:
     closing = rows.limit(1).select(*(F.lit(-1).cast(t).alias(c) if c.endswith("_id") else (F.lit(cuts.last) + F.expr("INTERVAL 100 DAYS")).alias(c) if c == "ts" else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes))
     stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/*")
     for k, batch in enumerate([*(rows.where(place == k) for k in range(batches)), closing]):
-        batch.write.parquet(f"{folder}/{k}")
+        batch.write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{folder}/{k}")
         run(stream)
 
 

@@ -202,3 +202,17 @@ def test_a_store_has_a_version_a_batch(spark, tmp_path, monkeypatch, name, like)
     assert rows and 1 < len(list((tmp_path / {"autosave": "autosave", "stream_faces": "faces"}[name]).glob("batch=*"))) <= 5
     if like:
         assert set(rows) == set(registry.queries()[like](spark, str(tmp_path)).collect())
+
+
+def test_a_batch_of_one_input_file_is_split_among_tasks(spark, tmp_path, monkeypatch):
+    """A batch's files hold some rows each, though the table is one file in order of time."""
+    from latticeworks.plans import registry, streams
+
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").coalesce(1).sortWithinPartitions("ts").write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(streams, "FILE_ROWS", 100, raising=False)
+    monkeypatch.setattr(streams, "new_folder", lambda spark, what: f"file://{tmp_path}/{what}")
+    rows = registry.queries()["autosave"](spark, str(tmp_path)).collect()
+    sizes = [spark.read.parquet(f"file://{f}").count() for f in (tmp_path / "replay").glob("[0-3]/*.parquet")]
+    assert max(sizes) <= 100 and sum(sizes) == spark.read.parquet(f"{tmp_path}/events.parquet").count()
+    assert len(list((tmp_path / "autosave").glob("batch=*"))) <= 5
+    assert set(rows) == set(registry.queries()["save_world"](spark, str(tmp_path)).collect())
