@@ -75,6 +75,17 @@ def test_repeats(docs, texts, empty, words):
     assert f(empty).count() == 0
 
 
+def test_passages_of_over_50_words_are_cut_from_400_bytes_on(spark):
+    """A shared passage of 57 words stays at 399 bytes and goes at 400, whatever its words; clean documents stay."""
+    rng = random.Random(17)
+    line = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    short, long = (line(57)[: size - 3] + "end" for size in (399, 400))
+    rows = [(k, f"{line(30)} {mark}{passage}{mark} {line(30)}") for k, (passage, mark) in enumerate([(short, "p"), (short, "q"), (long, "r"), (long, "s"), (line(57), "t")])]
+    assert len(short.split()) > 50 and len(long.split()) > 50
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in repeat_removal.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: (len(t), 400 if k in (2, 3) else 0, int(k in (2, 3))) for k, t in rows}
+
+
 def thue_morse(n, a="a", b="b"):
     return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
 
